@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ["clean"]
+PARTS = ["clean", "reads", "dashboards", "features"]
 
 
 def load_catalog():

@@ -6,6 +6,8 @@ the same text as a CTE, so both engines start from equal input.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -63,7 +65,9 @@ FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey"""
 # place x level rates
 BINDINGS["b_edu"] = """
 SELECT p_partkey AS row_id, p_brand AS place, concat('R', CAST(p_partkey % 25 AS STRING)) AS region,
-       2015 + p_partkey % 8 AS year, p_type AS level, p_size AS enrolled,
+       2015 + p_partkey % 8 AS year,
+       CASE p_size % 4 WHEN 0 THEN 'preescolar' WHEN 1 THEN 'primaria' WHEN 2 THEN 'secundaria' ELSE 'media' END AS level,
+       p_size AS enrolled,
        p_retailprice % 100 AS net_rate, CAST(p_size AS DOUBLE) / 5 AS dropout_rate
 FROM part"""
 
@@ -199,20 +203,28 @@ FROM customer c JOIN (VALUES
 NEEDS = {"b_site_month": ["b_toll", "b_climate_month"]}
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Views over the Parquet tables of one scale-factor folder."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+_FRAMES: dict[tuple, DataFrame] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One Parquet table; the resolved plan is kept so that a session reads each footer once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FRAMES:
+        _FRAMES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _FRAMES[key]
 
 
 def binding(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The binding as a DataFrame, or the table itself for a plain table name."""
-    register_tables(spark, sf_dir)
     if name in TABLES:
-        return spark.table(name)
+        return table(spark, sf_dir, name)
+    text = BINDINGS[name]
+    for t in TABLES:
+        if re.search(rf"(FROM|JOIN) {t}\b", text):
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
     for other in NEEDS.get(name, []):
         binding(spark, sf_dir, other).createOrReplaceTempView(other)
-    return spark.sql(BINDINGS[name].replace('"', "`"))
+    return spark.sql(text)
 
 
 def with_bindings(sql: str, *names: str) -> str:
