@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ["clean", "reads", "dashboards", "features"]
+PARTS = ["ingest", "clean", "reads", "dashboards", "features"]
 
 
 def load_catalog():
