@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ["ingest", "clean", "reads", "dashboards", "features"]
+PARTS = ["ingest", "clean", "reads", "dashboards", "features", "texts"]
 
 
 def load_catalog():
