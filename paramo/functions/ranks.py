@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from paramo.session import fan_out
 
 
-def one_row(df: DataFrame, **parts: Column) -> Column:
-    """A one-row aggregate as a struct-valued scalar subquery (no join)."""
-    return df.agg(F.struct(*[c.alias(n) for n, c in parts.items()]).alias("s")).scalar()
+def with_row(df: DataFrame, name: str, source: DataFrame, **parts: Column) -> DataFrame:
+    """Add the one-row aggregate of ``source`` as a struct column: a scalar subquery, run once,
+    instead of a join.  Callers drop the column when done."""
+    row = source.agg(F.struct(*[c.alias(n) for n, c in parts.items()]).alias("s")).scalar()
+    return df.withColumn(name, row)
 
 
 def running_totals(
@@ -29,8 +31,8 @@ def running_totals(
     by: Sequence[str] = (),
     buckets: int | None = None,
 ) -> DataFrame:
-    """One row per distinct value (per group) with, for each weight ``w``, its sum at the
-    value and ``w_before``: the sum over all smaller values of the group."""
+    """One row per distinct value (per group) with, for each weight ``w``, its sum at the value,
+    ``w_before`` (the sum over all smaller values of the group) and ``w_total`` (over the group)."""
     by = list(by)
     buckets = buckets or fan_out(df.sparkSession)
     names = list(weights)
@@ -46,17 +48,16 @@ def running_totals(
     ).drop("_cuts")
     lower = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     # at most `buckets` rows per group reach this window
-    starts = (
-        placed.groupBy(*by, "_bucket").agg(*[F.sum(n).alias(n) for n in names])
-        .select(*by, "_bucket", *[F.coalesce(F.sum(n).over(lower), F.lit(0)).alias(f"_{n}_start")
-                                  for n in names])
-    )
+    starts = placed.groupBy(*by, "_bucket").agg(*[F.sum(n).alias(n) for n in names]).select(
+        *by, "_bucket", *[F.coalesce(F.sum(n).over(lower), F.lit(0)).alias(f"_{n}_start") for n in names],
+        *[F.sum(n).over(W.partitionBy(*by)).alias(f"{n}_total") for n in names])
     inside = W.partitionBy(*by, "_bucket").orderBy(value)
     prior = inside.rowsBetween(W.unboundedPreceding, -1)
     return placed.join(starts, [*by, "_bucket"]).select(
         *by, value, *names,
         *[(F.col(f"_{n}_start") + F.coalesce(F.sum(n).over(prior), F.lit(0))).alias(f"{n}_before")
           for n in names],
+        *[f"{n}_total" for n in names],
     )
 
 
@@ -75,23 +76,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
     plus ``n`` (non-null values)."""
     by = list(by)
     ranked = running_totals(df.where(F.col(value).isNotNull()), value, {"_n": F.lit(1)}, by, buckets)
-    if by:
-        sizes = ranked.groupBy(*by).agg(F.sum("_n").alias("_total"))
-        ranked = ranked.join(sizes, by)
-    else:
-        ranked = ranked.withColumn("_total", ranked.agg(F.sum("_n")).scalar())
-
     def value_at(rank: Column) -> Column:
         here = (F.col("_n_before") <= rank) & (rank < F.col("_n_before") + F.col("_n"))
         return F.max(F.when(here, F.col(value)))
 
     outs = []
     for out, p in probs.items():
-        place = (F.col("_total") - 1) * F.lit(float(p))
+        place = (F.col("_n_total") - 1) * F.lit(float(p))
         low, high = value_at(F.floor(place)), value_at(F.ceil(place))
         part = F.max(place - F.floor(place))
         outs.append((low + (high - low) * part).alias(out))
-    return ranked.groupBy(*by).agg(F.max("_total").alias("n"), *outs)
+    return ranked.groupBy(*by).agg(F.max("_n_total").alias("n"), *outs)
 
 
 def hash_ranks(df: DataFrame, keys: Sequence[str], seed: int, by: Sequence[str] = ()) -> DataFrame:
@@ -100,10 +95,5 @@ def hash_ranks(df: DataFrame, keys: Sequence[str], seed: int, by: Sequence[str]
     by = list(by)
     drawn = df.withColumn("draw", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]))
     ranks = running_totals(drawn, "draw", {"_n": F.lit(1)}, by)
-    if by:
-        sizes = df.groupBy(*by).agg(F.count("*").alias("group_size"))
-        ranks = ranks.join(sizes, by)
-    else:
-        ranks = ranks.withColumn("group_size", df.agg(F.count("*")).scalar())
-    return drawn.join(
-        ranks.select(*by, "draw", F.col("_n_before").alias("draw_rank"), "group_size"), [*by, "draw"])
+    return drawn.join(ranks.select(
+        *by, "draw", F.col("_n_before").alias("draw_rank"), F.col("_n_total").alias("group_size")), [*by, "draw"])

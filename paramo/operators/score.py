@@ -11,26 +11,27 @@ from pyspark.sql import functions as F
 
 from paramo import fixed_values as fv
 from paramo.functions.parsing import rounded
-from paramo.functions.ranks import one_row
+from paramo.functions.ranks import with_row
 
 
 def clip(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
-def minmax(df: DataFrame, value: str, bounds: tuple[float, float] | None = None) -> Column:
-    """Position of the value in the range of the data (or of fixed bounds); 0.5 without a range."""
+def minmax(df: DataFrame, value: str, out: str, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """Add the position of the value in the range of the data (or of fixed bounds); 0.5 without a range."""
     if bounds:
-        low, high = F.lit(float(bounds[0])), F.lit(float(bounds[1]))
+        df = df.withColumn("_span", F.struct(F.lit(float(bounds[0])).alias("low"), F.lit(float(bounds[1])).alias("high")))
     else:
-        span = one_row(df, low=F.min(value), high=F.max(value))
-        low, high = span["low"], span["high"]
-    return F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.5))
+        df = with_row(df, "_span", df, low=F.min(value), high=F.max(value))
+    low, high = F.col("_span")["low"], F.col("_span")["high"]
+    return df.withColumn(out, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.5))).drop("_span")
 
 
 def components(df: DataFrame, bounds: tuple[float, float] | None = None) -> DataFrame:
     """Price, climate and calendar parts of the score (each already weighted)."""
-    norm = minmax(df, "upra_indice_total", bounds)
+    df = minmax(df, "upra_indice_total", "_norm", bounds)
+    norm = F.col("_norm")
     change = (clip(F.col("upra_var_mensual_pct"), -5.0, 10.0) + 5) / 15
     rain, temp = F.col("ideam_precipitacion_anomalia"), F.col("ideam_temperatura_anomalia")
     dry = clip(-rain / 120, 0.0, 1.0)
@@ -44,7 +45,7 @@ def components(df: DataFrame, bounds: tuple[float, float] | None = None) -> Data
         "price_part": (norm * 0.55 + change * 0.45) * 100 * 0.40,
         "climate_part": (rain_risk * 0.65 + heat * 0.35) * 100 * 0.35,
         "calendar_part": F.least(F.lit(100.0), harvest + inflation) * 0.25,
-    })
+    }).drop("_norm")
 
 
 def score(df: DataFrame, bounds: tuple[float, float] | None = None, digits: int | None = 2, out: str = "score") -> DataFrame:

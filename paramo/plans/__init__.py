@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ["ingest", "clean", "reads", "dashboards", "features", "texts"]
+PARTS = ["ingest", "clean", "reads", "dashboards", "features", "texts", "outliers"]
 
 
 def load_catalog():

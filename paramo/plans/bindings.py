@@ -81,7 +81,8 @@ GROUP BY 1, 2"""
 
 # region x month matrix under the feature names: traffic as the price proxy, climate of the region's sites
 BINDINGS["b_region_month"] = """
-SELECT n.n_name AS region,
+SELECT CAST(key * 1000 + (year(month) - 2018) * 12 + month(month) AS BIGINT) AS row_id, r.*
+FROM (SELECT n.n_nationkey AS key, n.n_name AS region,
        CAST(date_trunc('month', l.l_shipdate) + INTERVAL '23' YEAR AS DATE) AS month,
        sum(l.l_quantity) AS upra_indice_total,
        avg(l.l_tax) * 100 AS upra_var_mensual_pct,
@@ -92,7 +93,7 @@ SELECT n.n_name AS region,
        22 + (avg(l.l_discount) - CAST(0.05 AS DOUBLE)) * 100 AS ideam_temperatura_c,
        (avg(l.l_discount) - CAST(0.05 AS DOUBLE)) * 100 AS ideam_temperatura_anomalia
 FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN nation n ON n.n_nationkey = s.s_nationkey
-GROUP BY 1, 2"""
+GROUP BY 1, 2, 3) r"""
 
 # site x month rows for supervised learning: change per site, national climate of the month
 BINDINGS["b_site_month"] = """

@@ -162,8 +162,7 @@ def feat_latest_inputs(i: Inputs):
 @query("score_minmax", """SELECT row_id, (upra_indice_total - min(upra_indice_total) OVER ()) /
  (max(upra_indice_total) OVER () - min(upra_indice_total) OVER ()) AS position FROM b_site_month""", "b_site_month")
 def score_minmax(i: Inputs):
-    df = i("b_site_month")
-    return df.select("row_id", s.minmax(df, "upra_indice_total").alias("position"))
+    return s.minmax(i("b_site_month"), "upra_indice_total", "position").select("row_id", "position")
 
 
 @query("score_clip_components", f"SELECT row_id, price_part, climate_part, calendar_part FROM ({SITE_SCORED}) q", "b_site_month")
