@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ["ingest", "clean", "reads", "dashboards", "features", "texts", "outliers"]
+PARTS = ["ingest", "clean", "reads", "dashboards", "features", "texts", "outliers", "forecasts"]
 
 
 def load_catalog():
