@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ["ingest", "clean", "reads", "dashboards", "features", "texts", "outliers", "forecasts"]
+PARTS = ["ingest", "clean", "reads", "dashboards", "features", "texts", "outliers", "forecasts", "learning"]
 
 
 def load_catalog():
