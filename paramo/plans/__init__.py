@@ -2,7 +2,7 @@
 
 import importlib
 
-PARTS = ["ingest", "clean", "reads", "dashboards", "features", "texts", "outliers", "forecasts", "learning"]
+PARTS = ["ingest", "clean", "reads", "dashboards", "features", "texts", "outliers", "forecasts", "learning", "live"]
 
 
 def load_catalog():
