@@ -150,7 +150,9 @@ def paired(left: DataFrame, right: DataFrame, pairs: DataFrame, fn, schema: str)
     x, y = side(left, "a"), side(right, "b")
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return fn(p, q)
+        out = fn(p, q)
+        # plain objects: text that pandas holds in several Arrow chunks cannot be handed back
+        return out.astype({c: object for c in out.columns if not pd.api.types.is_numeric_dtype(out[c])})
 
     return x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(run, schema)
 

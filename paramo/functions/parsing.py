@@ -51,7 +51,7 @@ def to_int(c: Column | str) -> Column:
 def to_date(c: Column | str) -> Column:
     """ISO date or timestamp text -> date; anything else, or an impossible day, becomes null."""
     day = F.regexp_extract(col(c), DATE_PATTERN, 1)
-    return F.when(day != "", F.try_to_date(day, "yyyy-M-d"))
+    return F.nullif(day, F.lit("")).try_cast("date")
 
 
 def blank_to_null(c: Column | str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from paramo import fixed_values as fv
 from paramo.functions import neighbours as nb
 from paramo.functions.ranks import exact_quantiles, long_form, with_row
+from paramo.session import cut_lineage, materialise
 
 CONTAMINATION = 0.10
 
@@ -73,9 +74,9 @@ def local_outlier_factor(df: DataFrame, key: str, columns: Sequence[str], k: int
     Densities of the set leave a point itself out; the score asks for the neighbours of the row as if
     it were new, so its own copy counts.  The cut is the contamination quantile of the set's factors.
     """
-    z = nb.standardised(df, columns, [key])
+    z = materialise(nb.standardised(df, columns, [key]))
     points = nb.distinct_points(z, columns, key)
-    k = k or default_neighbours(df.count())
+    k = k or default_neighbours(z.count())
     pts, near = nb.nearest(points, len(columns), k, size)
     kdist = near.groupBy("uid").agg(F.max("dist").alias("kdist"))
     to_other = kdist.select(F.col("uid").alias("other"), F.col("kdist").alias("other_kdist"))
@@ -211,15 +212,16 @@ class IsolationForest:
 def fit_isolation_forest(df: DataFrame, key: str, columns: Sequence[str] = tuple(fv.MEASURES),
                          contamination: float = CONTAMINATION, seed: int = 2026) -> IsolationForest:
     """50 to 200 trees over at most 256 rows each; only the nodes, the scaling and the cut reach the driver."""
-    data = filled(df, columns)
+    data = materialise(filled(df, columns).select(key, *columns))
     stats = data.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns],
                      *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first().asDict()
     n = stats["n"]
     trees, per_tree = min(200, max(50, n * 2)), min(n, 256)
-    z = nb.standardised(df, columns, [key])
+    z = nb.standardised(data, columns, [key])
     nodes = grow_trees(forest_sample(z, key, columns, trees, per_tree, n, seed), per_tree, seed).toPandas()
     model = IsolationForest(nodes, columns, stats, per_tree)
-    model.cut = exact_quantiles(model.score(data), "if_score", {"cut": contamination}).first()["cut"]
+    scores = cut_lineage(model.score(data).select("if_score"))
+    model.cut = exact_quantiles(scores, "if_score", {"cut": contamination}).first()["cut"]
     return model
 
 

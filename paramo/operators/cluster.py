@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from paramo import fixed_values as fv
 from paramo.functions import neighbours as nb
 from paramo.functions.ranks import exact_quantiles, long_form, running_totals
-from paramo.session import cut_lineage
+from paramo.session import cut_lineage, materialise
 
 EPS, MIN_POINTS = 0.8, 3
 
@@ -88,7 +88,8 @@ def quality(df: DataFrame, columns: Sequence[str], cluster: str = "cluster", exa
         data = df.select(F.col(cluster).alias("prediction"), array_to_vector(F.array(*columns)).alias("features"))
         return totals.withColumn("silhouette", F.lit(float(ClusteringEvaluator().evaluate(data))))
     ids = df.withColumn("_id", F.monotonically_increasing_id())
-    points = cut_lineage(ids.select(F.col("_id").cast("string").alias("uid"), F.array(*columns).alias("v"),
+    # written out before use, so that the ids stay what they are
+    points = materialise(ids.select(F.col("_id").cast("string").alias("uid"), F.array(*columns).alias("v"),
                                     F.lit(1).cast("long").alias("w"), F.col("_id").alias("first"), F.col(cluster).cast("long").alias("c")))
     pts = nb.blocked(points, dims, size)
     inner = nb.boxes(pts, dims).withColumn("reach", F.lit(float("inf")))
@@ -119,7 +120,7 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float = EPS, mi
     boxes where possible, so a region that holds a third of all points costs no distances at all.
     """
     dims = len(columns)
-    z = nb.standardised(df, columns, [key]) if scale else df.select(key, *columns)
+    z = materialise(nb.standardised(df, columns, [key]) if scale else df.select(key, *columns))
     pts = nb.blocked(nb.distinct_points(z, columns, key), dims, size)
     inner = nb.boxes(pts, dims).withColumn("reach", F.lit(float(eps)))
     outer = nb.outer_boxes(inner, dims)

@@ -50,6 +50,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write the rows once as a table in the shared folder and read that: for inputs that several
+    later passes scan column by column.  Like a checkpoint it survives executor loss."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fan_out(spark: SparkSession) -> int:
     """How many pieces a large ordered set is cut into: the session's shuffle width."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

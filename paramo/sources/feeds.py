@@ -14,13 +14,14 @@ from paramo.operators.query import latest
 CORRUPT = "_corrupt"
 
 
-def landed_json(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
-    """Landed JSON pages (one object per line) as one dataset of strings.
+def landed_json(spark: SparkSession, path: str, fields: Sequence[str], multi_line: bool = False) -> DataFrame:
+    """Landed JSON pages as one dataset of strings.
 
-    No schema inference pass; a line that is not JSON keeps its text in ``_corrupt``.
+    A line may be one object or one array of objects; ``multi_line`` reads pages whose array spans lines
+    (such a file is not split).  There is no inference pass, and text that is not JSON stays in ``_corrupt``.
     """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, CORRUPT]])
-    return (spark.read.schema(schema).option("mode", "PERMISSIVE")
+    return (spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", multi_line)
             .option("columnNameOfCorruptRecord", CORRUPT).option("primitivesAsString", "true").json(path))
 
 

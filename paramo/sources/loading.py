@@ -18,12 +18,11 @@ def all_filled(columns: Sequence[str]) -> Column:
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key.  An aggregation, so copies collapse before the shuffle and a key
     that fills a third of the batch is no heavier than any other.  Rows with a null in the key
-    are never equal to one another and all stay."""
+    are never equal to one another and all stay: each gets a group of its own."""
     rest = [c for c in df.columns if c not in keys]
-    filled = df.where(all_filled(keys))
-    kept = filled.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
-    return kept.select(*df.columns).unionByName(df.where(~all_filled(keys)))
+    solo = F.when(~all_filled(keys), F.monotonically_increasing_id())
+    kept = df.withColumn("_solo", solo).groupBy(*keys, "_solo").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return kept.select(*keys, "_row.*").select(*df.columns)
 
 
 def unseen(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
