@@ -151,8 +151,8 @@ def paired(left: DataFrame, right: DataFrame, pairs: DataFrame, fn, schema: str)
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = fn(p, q)
-        # plain objects: text that pandas holds in several Arrow chunks cannot be handed back
-        return out.astype({c: object for c in out.columns if not pd.api.types.is_numeric_dtype(out[c])})
+        # an empty frame has float columns, which cannot be handed back as text
+        return out if len(out) else out.astype(object)
 
     return x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(run, schema)
 
