@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from paramo.functions.ranks import running_totals, with_row
 from paramo.session import cut_lineage
 
-BLOCK = 2048
+BLOCK = 1024
 
 
 def standardised(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -37,7 +37,7 @@ def running_totals(
     buckets = buckets or fan_out(df.sparkSession)
     names = list(weights)
     distinct = df.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
-    cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)
+    cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], max(1000, 10 * buckets))
     if by:
         bounds = distinct.groupBy(*by).agg(cuts.alias("_cuts"))
         placed = distinct.join(bounds, by)

@@ -125,7 +125,7 @@ def sink_insert_ignore(i: Inputs):
     batch = conformed_tolls(i).select(*KEY, *ORDER, "fecha", "cantidad_trafico")
     path = shared_path(i.spark, "tolls")
     loading.first_per_key(batch.where("fecha < date '1997-01-01'"), KEY, ORDER).write.parquet(path)
-    loading.insert_ignore(i.spark, path, batch, KEY, ORDER)
+    loading.insert_ignore(i.spark, path, batch, KEY, ORDER, prune_by="fecha_inicio")
     return i.spark.read.parquet(path).drop("fecha")
 
 

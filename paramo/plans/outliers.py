@@ -84,7 +84,7 @@ LOF = f"""z AS ({z_sql(M, 'b_region_month')}),
 
 
 def lof(i: Inputs):
-    return an.local_outlier_factor(i("b_region_month"), "row_id", M, size=256)
+    return an.local_outlier_factor(i("b_region_month"), "row_id", M)
 
 
 @query("ano_lof", f"WITH {LOF} SELECT * FROM lofs", "b_region_month")
@@ -154,7 +154,7 @@ SELECT (SELECT avg((b - a) / greatest(a, b)) FROM ab) AS silhouette, (SELECT v F
 @query("clu_quality", QUAL, "b_region_month")
 def clu_quality(i: Inputs):
     z = nb.standardised(i("b_region_month"), M, ["row_id"]).withColumn("cluster", F.expr(GIVEN_CLUSTER))
-    return cl.quality(z, M, size=512)
+    return cl.quality(z, M)
 
 
 @query("clu_kmeans")
@@ -181,7 +181,7 @@ DBSCAN = f"""z AS ({z_sql(SHORT, 'b_region_month')}),
 
 
 def density(i: Inputs):
-    return cl.dbscan(i("b_region_month"), "row_id", SHORT, eps=0.25, size=256)
+    return cl.dbscan(i("b_region_month"), "row_id", SHORT, eps=0.25)
 
 
 @query("clu_dbscan", f"WITH RECURSIVE {DBSCAN} SELECT * FROM dbs", "b_region_month")

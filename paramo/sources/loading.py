@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paramo.schemas import Table
+from paramo.session import materialise
 
 
 def all_filled(columns: Sequence[str]) -> Column:
@@ -26,17 +27,33 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def unseen(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows of the batch an insert-ignore would add: first of its key and not in the target."""
-    return first_per_key(batch, keys, order).join(target.select(*keys), list(keys), "left_anti")
+    """Rows of the batch an insert-ignore would add: first of its key and not in the target.
+
+    The target is first reduced to the keys the batch brings.  With a batch below Spark's broadcast size
+    the target is only streamed past it and never shuffled; a large batch becomes a shuffled join.
+    """
+    known = target.select(*keys).join(batch.where(all_filled(keys)).select(*keys).distinct(), list(keys), "left_semi")
+    return first_per_key(batch, keys, order).join(known, list(keys), "left_anti")
 
 
-def insert_ignore(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def insert_ignore(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str],
+                  prune_by: str | None = None) -> DataFrame:
     """Append the unseen rows of the batch to the Parquet table at ``path``; returns one row of
-    counts: batch, inserted, skipped.  Running it again inserts nothing."""
+    counts: batch, inserted, skipped.  Running it again inserts nothing.
+
+    ``prune_by`` names a key column (a date, say): only target files and partitions within the batch's
+    range of it are read.  The new rows are staged first, so nothing reads the table while it grows and
+    the count costs no pass over it.
+    """
+    batch = materialise(batch)  # conformed once, read three times
     target = spark.read.schema(batch.schema).parquet(path)
-    before, offered = target.count(), batch.count()
-    unseen(target, batch, keys, order).write.mode("append").parquet(path)
-    inserted = spark.read.schema(batch.schema).parquet(path).count() - before
+    bounds = [F.min(prune_by).alias("lo"), F.max(prune_by).alias("hi")] if prune_by else []
+    facts = batch.agg(F.count("*").alias("offered"), *bounds).first()
+    if prune_by and facts["lo"] is not None:
+        target = target.where(F.col(prune_by).between(facts["lo"], facts["hi"]))
+    fresh = materialise(unseen(target, batch, keys, order))
+    fresh.write.mode("append").parquet(path)
+    offered, inserted = facts["offered"], fresh.count()
     return spark.createDataFrame([(offered, inserted, offered - inserted)], "batch long, inserted long, skipped long")
 
 
