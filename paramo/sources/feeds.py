@@ -6,10 +6,12 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paramo.operators.query import latest
+from paramo.session import materialise
 
 CORRUPT = "_corrupt"
 
@@ -74,9 +76,25 @@ def catalog(df: DataFrame, columns: Sequence[str], code: str) -> DataFrame:
     return df.select(*columns).orderBy(code)
 
 
-def page(df: DataFrame, order: Sequence[str], number: int, size: int) -> DataFrame:
-    """Page ``number`` (from 0) over a total order: a top-k while pages stay shallow."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+SHALLOW = 100_000
+
+
+def page(df: DataFrame, order: Sequence[str], number: int, size: int, shallow: int = SHALLOW) -> DataFrame:
+    """Page ``number`` (from 0) over a total order.
+
+    A shallow page is a distributed top-k.  For a deep one that would move everything before it through the
+    driver, so the rows are sorted into a written table and found by their exact rank: row ids grow with the
+    sort order, and the rows of earlier partitions are added up (one row per partition).
+    """
+    first = number * size
+    if first + size <= shallow:
+        return df.orderBy(*order).offset(first).limit(size)
+    ranked = materialise(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    ranked = ranked.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranked.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.col("_start") + F.col("_row")
+    return ranked.join(starts, "_part").where((rank >= first) & (rank < first + size)).drop("_id", "_part", "_row", "_start").orderBy(*order)
 
 
 def page_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
