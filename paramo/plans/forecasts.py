@@ -75,6 +75,14 @@ def fc_stationarity(i: Inputs):
     return fc.stationarity(regular(i))
 
 
+@query("fc_stationarity_no_lags", f"""WITH {REGULAR.format(src=GAPPY)}, d AS (SELECT series_key, lag(y) OVER w AS x, y - lag(y) OVER w AS dy FROM reg WINDOW w AS (PARTITION BY series_key ORDER BY month)),
+ r AS (SELECT series_key, count(*) AS n, regr_slope(dy, x) AS b, regr_sxx(dy, x) AS sxx, regr_syy(dy, x) AS syy, regr_sxy(dy, x) AS sxy FROM d WHERE x IS NOT NULL GROUP BY 1)
+SELECT series_key, 0 AS lag, b / sqrt((syy - b * sxy) / (n - 2) / sxx) AS t_stat, -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.040 / (n * n * n) AS critical,
+ b / sqrt((syy - b * sxy) / (n - 2) / sxx) < -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.040 / (n * n * n) AS stationary FROM r""", B)
+def fc_stationarity_no_lags(i: Inputs):
+    return fc.stationarity(regular(i), max_lag=0)
+
+
 @query("fc_intervals")
 def fc_intervals(i: Inputs):
     return fc.holt_winters_intervals(fc.holt_winters(regular(i), kind="log", grid=[FIXED]))

@@ -100,6 +100,7 @@ FROM ({_rates_sql(fv.CONNECTIVITY_RATES, ['internet', 'mobile', 'computer'], (40
 SELECT * FROM real UNION ALL SELECT place_id, zone, pct_internet, fuente FROM ({CONNECT_RATES}) f
 WHERE NOT EXISTS (SELECT 1 FROM real r WHERE r.place_id = f.place_id AND r.zone = f.zone)""", "b_connect b_place")
 def src_fallback_fill(i: Inputs):
+    # every third place has no measurements
     real = (i("b_connect").where("place_id % 3 <> 0").groupBy("place_id", "zone")
             .agg(F.avg("pct_internet").alias("pct_internet")).withColumn("fuente", F.lit(fv.SOURCE_CONNECTIVITY)))
     fallback = reference_rates.connectivity(i("b_place")).select("place_id", "zone", "pct_internet", "fuente")

@@ -53,6 +53,14 @@ def ml_class_weights(i: Inputs):
     return mo.class_weights(sc.labelled(sc.score(i(SITES), digits=None)))
 
 
+TEST_SIZES = f"SELECT {CLASS} AS class_id, count(*) AS rows, CAST(ceil(count(*) * 0.2) AS BIGINT) AS test_rows FROM ({SITE_SCORED}) q GROUP BY 1"
+
+
+@query("ml_stratified_split_sizes", TEST_SIZES, SITES)
+def ml_stratified_split_sizes(i: Inputs):
+    return mo.stratified_split(labelled(i), "row_id").groupBy("class_id").agg(F.count("*").alias("rows"), F.count_if("is_test").alias("test_rows"))
+
+
 def spread(df, *keep):
     p = F.col("proba")
     return df.select(*keep, p[0].alias("p_baja"), p[1].alias("p_media"), p[2].alias("p_alta"), "predicted")
@@ -186,26 +194,30 @@ def ml_predict_batch(i: Inputs):
 
 
 GRID_SQL = f"""SELECT site_id, row_id, upra_indice_total, v AS upra_var_mensual_pct, r AS ideam_precipitacion_mm, r - 150 AS ideam_precipitacion_anomalia,
- ideam_temperatura_anomalia, mes, anio FROM (SELECT * FROM b_site_month WHERE month = DATE '2021-06-01') b,
+ ideam_temperatura_anomalia, mes, anio FROM b_site_month b,
  (SELECT unnest(generate_series(0, 10)) * CAST(50 AS DOUBLE) AS r) q, (SELECT unnest(generate_series(0, 8)) * CAST(2.5 AS DOUBLE) - 5 AS v) p"""
 
 
-@query("ml_scenarios", f"SELECT row_id, upra_var_mensual_pct, ideam_precipitacion_mm, score, {CLASS} AS class_id FROM ({score_sql(f'({GRID_SQL})', '80', '200')}) q", SITES)
+@query("ml_scenarios", f"""SELECT upra_var_mensual_pct, ideam_precipitacion_mm, {CLASS} AS class_id, count(*) AS rows, avg(score) AS mean_score
+FROM ({score_sql(f'({GRID_SQL})', '80', '200')}) q GROUP BY 1, 2, 3""", SITES)
 def ml_scenarios(i: Inputs):
-    base = i(SITES).where("month = date '2021-06-01'").drop("upra_var_mensual_pct", "ideam_precipitacion_mm", "ideam_precipitacion_anomalia")
+    base = i(SITES).drop("upra_var_mensual_pct", "ideam_precipitacion_mm", "ideam_precipitacion_anomalia")
     grid = mo.scenario_grid(base, {"ideam_precipitacion_mm": (0, 500, 50), "upra_var_mensual_pct": (-5, 15, 2.5)})
     grid = grid.withColumn("ideam_precipitacion_anomalia", F.col("ideam_precipitacion_mm") - fv.RAIN_NORMAL_MM)
-    return sc.labelled(sc.score(grid, (80, 200), digits=None)).select("row_id", "upra_var_mensual_pct", "ideam_precipitacion_mm", "score", "class_id")
+    # every site month under 99 scenarios, reported per scenario and class
+    return sc.labelled(sc.score(grid, (80, 200), digits=None)).groupBy("upra_var_mensual_pct", "ideam_precipitacion_mm", "class_id").agg(
+        F.count("*").alias("rows"), F.avg("score").alias("mean_score"))
 
 
-@query("ml_save_load")
+@query("ml_save_load", f"SELECT CAST(sum(test_rows) AS BIGINT) AS rows, 0 AS changed FROM ({TEST_SIZES}) t", SITES)
 def ml_save_load(i: Inputs):
     train, test = split(i)
     model, path = mo.fit_forest(train, trees=20), shared_path(i.spark, "forest")
     mo.save(model, path, mo.importances(model, i.spark))
     again, _ = mo.load(i.spark, path)
     a = mo.predict_batch(model, test).select("row_id", F.col("ivt_clase").alias("before"))
-    return a.join(mo.predict_batch(again, test).select("row_id", F.col("ivt_clase").alias("after")), "row_id").withColumn("same", F.col("before") == F.col("after"))
+    both = a.join(mo.predict_batch(again, test).select("row_id", F.col("ivt_clase").alias("after")), "row_id")
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("before") != F.col("after")).alias("changed"))
 
 
 # --- attribution -----------------------------------------------------------------------------------
