@@ -20,8 +20,8 @@ from paramo.operators.query import latest
 
 def pct_change(df: DataFrame, value: str, date: str = "month", by: Sequence[str] = (),
                out: str = "upra_var_mensual_pct", digits: int | None = 3) -> DataFrame:
-    """Change against the previous month in percent; the first month gets 0."""
-    before = F.lag(value).over(W.partitionBy(*by).orderBy(date))
+    """Change against the last known earlier month in percent; the first month gets 0."""
+    before = F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy(date).rowsBetween(W.unboundedPreceding, -1))
     change = (F.col(value) / F.nullif(before, F.lit(0)) - 1) * 100
     return df.withColumn(out, F.coalesce(rounded(change, digits), F.lit(0.0)))
 

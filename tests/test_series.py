@@ -40,6 +40,11 @@ def test_trend_of_index(spark):
     assert [r["change_pct"] for r in q.index_trend(df).orderBy("month").collect()] == [None, None, 10.0, None, None]
 
 
+def test_change_reaches_over_gaps(spark):
+    df = frame(spark, a=[10, None, 12, 12]).withColumnRenamed("y", "idx_total")
+    assert [r["upra_var_mensual_pct"] for r in f.pct_change(df, "idx_total").orderBy("month").collect()] == [0.0, 0.0, 20.0, 0.0]
+
+
 def test_min_month_guard(spark):
     normals = f.seasonal_normals(spark, "2021-01-01", "2021-12-01", fv.RAIN)
     real = spark.createDataFrame([(m, 5.0) for m in months(2)], "month date, value double")
