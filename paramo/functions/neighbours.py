@@ -205,25 +205,51 @@ def nearest(points: DataFrame, dims: int, k: int, size: int = BLOCK) -> tuple[Da
     return pts, cut_lineage(ranked.select("uid", "other", "dist", F.least(F.col("w"), k - F.col("_before")).alias("take")))
 
 
+#: A node with over 1/HUBS of all edge ends is a hub; there are at most HUBS of them.
+HUBS = 1000
+
+
+def _beside(edges: DataFrame, low: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Every edge (u, v) with m, the least neighbour of u.
+
+    Edges at a hub meet a broadcast list of at most HUBS rows, all others a shuffled join, so no
+    task receives all edges of one node."""
+    if hubs is None:
+        return edges.join(low, "u")
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    return marked.where("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m")).unionByName(
+        marked.where("hub IS NULL").select("u", "v").join(low, "u"))
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): the least node of each connected component.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): every round is two groupings
-    by node, and the number of rounds grows with the logarithm of the graph.
+    by node, and the number of rounds grows with the logarithm of the graph.  Rounds end when the
+    set of edges, compared by count and hash sums, stays as it was.
     """
     now = cut_lineage(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct())
     nodes = now.select(F.col("u").alias("node")).unionByName(now.select(F.col("v").alias("node"))).distinct()
-    while True:
+
+    def state(df: DataFrame):
+        return df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+
+    was = state(now)
+    while was[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        stars = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("ends")))
+        hubs = stars.where(F.col("ends") > 2 * was[0] / HUBS).select("u", F.col("m").alias("hub"))
+        # below this many edges a shuffled join has no large partition
+        large = _beside(both.where("v > u"), stars.select("u", "m"), hubs if was[0] > 100 * HUBS else None)
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
+        # every u here is the larger end, and the large star has left it few smaller neighbours
         small = (down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        after = cut_lineage(small)
-        if after.count() == now.count() and after.exceptAll(now).isEmpty():
+        now = cut_lineage(small)
+        if (after := state(now)) == was:
             break
-        now = after
+        was = after
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
