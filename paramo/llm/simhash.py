@@ -15,7 +15,7 @@ from paramo.session import cut_lineage, materialise
 #: Shingles hashed at a time; bounds the memory of a very long text.
 BLOCK = 1 << 16
 #: A tile aims at this many fingerprints and holds at most about this many.
-TILE = 4096
+TILE = 32768
 #: Ways to cut the 64 bits into parts whose population counts are compared, coarse to fine.
 PARTS = (1, 2, 4, 8)
 
