@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paramo.llm import simhash
+from paramo.llm import bpe, classifier, mixing, simhash, spans
 from paramo.llm.common import read
 
 QUERIES, ORACLES = {}, {}
 
 
+def tokenizer() -> str:
+    """The tokenizer file of the encoding queries."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(key: str, oracle: str | None = None):
     def add(build):
         QUERIES[key] = build
@@ -25,6 +32,80 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, radius=3, seed=42)
 
 
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@query("op6_bpe_encoding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer()
+    ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                     F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+    return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars_kept"),
+                        F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP9_SQL = f"""
+WITH RECURSIVE counts AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS tokens
+  FROM documents),
+sources AS (SELECT source, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM counts GROUP BY source),
+total AS (SELECT CAST(sum(tokens) AS DOUBLE) AS t FROM sources),
+shares AS (SELECT source, tokens, tokens / t AS p FROM sources, total WHERE tokens > 0),
+aim AS (SELECT -sum(p * ln(p)) + 0.5 * (ln(count(*)) + sum(p * ln(p))) AS entropy, list(p) AS ps, list(tokens) AS ts FROM shares),
+lifts(step, low, width) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, CASE WHEN (
+    SELECT ln(list_sum(list_transform(ps, lambda p: exp((low + width / 2) * ln(p)))))
+      - (low + width / 2) * list_sum(list_transform(ps, lambda p: exp((low + width / 2) * ln(p)) * ln(p)))
+        / list_sum(list_transform(ps, lambda p: exp((low + width / 2) * ln(p)))) >= entropy - 1e-12 FROM aim)
+    THEN low + width / 2 ELSE low END, width / 2
+  FROM lifts WHERE step < {mixing.STEPS}),
+repeats(step, low, width) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, CASE WHEN (
+    SELECT list_max(list_transform(list_zip(ps, ts), lambda x: exp((low + width / 2) * ln(x[1])) / x[2])) * t
+      / list_sum(list_transform(ps, lambda p: exp((low + width / 2) * ln(p)))) > 4 * (1 + 1e-12) FROM aim, total)
+    THEN low + width / 2 ELSE low END, width / 2
+  FROM repeats WHERE step < {mixing.STEPS}),
+power AS (
+  SELECT greatest(CASE WHEN (SELECT count(*) FROM shares) = 1 THEN 1 ELSE (SELECT low FROM lifts WHERE step = {mixing.STEPS}) END,
+    (SELECT CASE WHEN low > 0 THEN low + width ELSE 0 END FROM repeats WHERE step = {mixing.STEPS})) AS a),
+weights AS (
+  SELECT source, tokens, exp(a * ln(p)) / sum(exp(a * ln(p))) OVER () AS weight FROM shares, power),
+budgets AS (
+  SELECT source, tokens, CAST(floor(weight * t + 0.5) AS BIGINT) AS target FROM weights, total),
+passes AS (
+  SELECT source, target // tokens AS epochs, target - target // tokens * tokens AS rest FROM budgets WHERE target > 0),
+uses AS (
+  SELECT doc_id, c.source, c.tokens, block, epochs, rest,
+    CAST('0x' || substr(md5('42:' || block || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, {mixing.DRAW_BITS // 4}) AS BIGINT) AS draw
+  FROM (SELECT *, unnest(range(0, epochs + 1)) AS block FROM passes) p JOIN counts c ON c.source IS NOT DISTINCT FROM p.source
+  WHERE block < epochs OR rest > 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY source, block ORDER BY draw, doc_id, tokens) AS place,
+    coalesce(sum(tokens) OVER (PARTITION BY source, block ORDER BY draw RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM uses)
+SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(place AS BIGINT) AS place, draw, tokens
+FROM ordered WHERE block < epochs OR before < rest
+"""
+
+
+@query("op9_source_mixing", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), lift=0.5, max_epochs=4.0, seed=42)[0]
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
