@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramo.llm import bpe, classifier, mixing, simhash, spans
+from paramo.llm import bpe, classifier, mixing, preference, rules, simhash, spans
 from paramo.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -37,6 +37,41 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
 
 
+OP4_SQL = """
+WITH rows AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+pairs AS (SELECT c.conv_id // 2 AS pair_id, c.conv_id AS chosen, r.conv_id AS rejected
+  FROM (SELECT DISTINCT conv_id FROM rows) c JOIN (SELECT DISTINCT conv_id FROM rows) r ON c.conv_id % 2 = 0 AND r.conv_id = c.conv_id + 1),
+placed AS (
+  SELECT pair_id, 'chosen' AS side, turn, role, text FROM pairs JOIN rows ON conv_id = chosen
+  UNION ALL SELECT pair_id, 'rejected', turn, role, text FROM pairs JOIN rows ON conv_id = rejected),
+told AS (SELECT pair_id, side, turn, list((role, text) ORDER BY role, text) AS said FROM placed GROUP BY ALL),
+firsts AS (
+  SELECT pair_id, min(turn) AS first FROM (
+    SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.turn, b.turn) AS turn, a.said AS x, b.said AS y
+    FROM (SELECT * FROM told WHERE side = 'chosen') a FULL JOIN (SELECT * FROM told WHERE side = 'rejected') b
+      ON a.pair_id = b.pair_id AND a.turn = b.turn) WHERE x IS DISTINCT FROM y GROUP BY pair_id),
+parts AS (
+  SELECT p.pair_id, CASE WHEN first IS NULL OR turn < first THEN 'prompt' ELSE side END AS part, side, turn, role, text,
+    '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment
+  FROM placed p LEFT JOIN firsts f ON p.pair_id = f.pair_id),
+shown AS (
+  SELECT *, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY pair_id, part ORDER BY turn, role, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM parts WHERE part <> 'prompt' OR side = 'chosen')
+SELECT pair_id, part, turn, role, segment, start,
+  CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(head) END AS mask_from,
+  CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(segment) - 1 END AS mask_to
+FROM shown
+"""
+
+
+@query("op4_preference_formatting", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return preference.segments(turns, preference.neighbours(turns))
+
+
 @query("op6_bpe_encoding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer()
@@ -106,6 +141,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), lift=0.5, max_epochs=4.0, seed=42)[0]
 
 
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
