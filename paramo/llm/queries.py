@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramo.llm import bpe, classifier, mixing, preference, rules, simhash, spans
+from paramo.llm import bpe, caps, classifier, mixing, preference, rules, simhash, spans
 from paramo.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -72,6 +72,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.segments(turns, preference.neighbours(turns))
 
 
+@query("op5_embedding_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.93)
+
+
 @query("op6_bpe_encoding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer()
