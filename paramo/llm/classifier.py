@@ -118,7 +118,7 @@ def bag(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct features of a text and their shares."""
     words = (text or b"").split()
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     number = {w: i for i, w in enumerate(dict.fromkeys(words))}
     at = np.array([number[w] for w in words])
     flat, sizes = features(list(number))
@@ -129,16 +129,20 @@ def bag(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         times.append(np.ones(len(words) - 1, np.int64))
     found, place = np.unique(np.concatenate(ids), return_inverse=True)
     n = np.bincount(place, weights=np.concatenate(times))
-    return found, (n / n.sum()).astype(np.float32)
+    return found.astype(np.int32), (n / n.sum()).astype(np.float32)
 
 
 def train(texts: list[bytes | None], labels: np.ndarray, epochs: int, rate: float, seed: int) -> Model:
-    """Stochastic gradient descent on the softmax loss, one document at a time, the rate falling linearly."""
+    """Stochastic gradient descent on the softmax loss, one document at a time, the rate falling linearly.
+
+    ``texts`` is emptied from its end; ``labels`` are in that order."""
     rng = np.random.default_rng(seed)
     classes, y = np.unique(labels, return_inverse=True)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    bags = [bag(t) for t in texts]
+    bags = []
+    while texts:  # a text is let go once its features are known
+        bags.append(bag(texts.pop()))
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -158,7 +162,7 @@ def train(texts: list[bytes | None], labels: np.ndarray, epochs: int, rate: floa
     return Model(table, out, bias, classes)
 
 
-def fit(labelled: DataFrame, most: int = 4000, epochs: int = 8, rate: float = 0.5, seed: int = 42) -> Model | None:
+def fit(labelled: DataFrame, most: int = 2000, epochs: int = 8, rate: float = 0.5, seed: int = 42) -> Model | None:
     """A model of (id, text, label) rows, or None if fewer than two labels occur.
 
     ``most`` bounds the rows learnt from: those of the least hashes of their ids.  One task trains; only the
@@ -170,7 +174,9 @@ def fit(labelled: DataFrame, most: int = 4000, epochs: int = 8, rate: float = 0.
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_h", "id"])
         texts = [None if t is None else t.encode() for t in pdf["text"]]
-        m = train(texts, pdf["label"].to_numpy(), epochs, rate, seed)
+        labels = pdf["label"].to_numpy()[::-1].copy()  # texts are taken from the end
+        del pdf
+        m = train(texts, labels, epochs, rate, seed)
         return pd.DataFrame({"table": [m.table.tobytes()], "out": [m.out.tobytes()], "bias": [m.bias.tobytes()],
                              "classes": [m.classes.astype(np.int64).tolist()]})
 
@@ -225,7 +231,7 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                          F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
-def training(own: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int = 4000, seed: int = 42) -> DataFrame:
+def training(own: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int = 2000, seed: int = 42) -> DataFrame:
     """(id, text, label) of the labelled ids that are not held out; texts are fetched for twice ``most`` ids only,
     so that enough remain where a labelled id has no text."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(~held_out(F.col("id")) & F.col("label").isNotNull())
