@@ -17,7 +17,7 @@ from paramo.session import cut_lineage, materialise
 #: Parts of a filter direction, each from a random code of its own.
 PARTS = 3
 #: Filters a vector exceeds, on average; the recall follows from it.
-PER_VECTOR = 12
+PER_VECTOR = 20
 #: Least number of filters; there are more if there are many vectors.
 FILTERS = 4096
 #: Rows of a bucket that are compared at once, and rows that one task group takes.
@@ -177,7 +177,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     Vectors of equal non-null label (and dimension) with a cosine of ``least`` or more are linked.  Every
     vector is decoded to all filter directions it exceeds, about ``per_vector`` of a structured random product
     code; vectors that share a filter are compared in double precision.  A link is found if the two share a
-    filter; a pair of cosine 0.93 shares about six, so nearly all are found, and none below ``least`` is made.  A pair is
+    filter; a pair of cosine 0.93 shares about ten, so nearly all are found, and none below ``least`` is made.  A pair is
     counted in the least filter it shares.  Buckets are compared in tiles, so a common direction is spread
     over tasks; of a bucket's links only counts and a spanning set leave the task.  Equal vectors are one class.
 
