@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramo.llm import bpe, caps, classifier, mixing, preference, rules, simhash, spans, suffixes
+from paramo.llm import bpe, caps, classifier, licences, mixing, preference, rules, simhash, spans, suffixes
 from paramo.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -94,6 +94,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query("op7_license_scans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 @query("op8_substring_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
