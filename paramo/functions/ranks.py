@@ -91,9 +91,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
 
 def hash_ranks(df: DataFrame, keys: Sequence[str], seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Rows with ``draw`` (a repeatable 64-bit hash of the key), ``draw_rank`` (0-based rank of
-    the draw inside the group) and ``group_size``; independent of partitioning."""
+    the draw inside the group, equal draws in order of the key) and ``group_size``; independent of
+    partitioning.  Rows with equal keys are in any order among themselves, each with a rank of its own."""
     by = list(by)
     drawn = df.withColumn("draw", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]))
     ranks = running_totals(drawn, "draw", {"_n": F.lit(1)}, by)
-    return drawn.join(ranks.select(
+    joined = drawn.join(ranks.select(
         *by, "draw", F.col("_n_before").alias("draw_rank"), F.col("_n_total").alias("group_size")), [*by, "draw"])
+    # a partition holds the rows of one draw: one key, but for collisions
+    tied = F.row_number().over(W.partitionBy(*by, "draw").orderBy(*keys)) - 1
+    return joined.withColumn("draw_rank", F.col("draw_rank") + tied)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from math import factorial
 
 import numpy as np
@@ -11,16 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paramo import fixed_values as fv
-from paramo.functions.ranks import hash_ranks
+from paramo.functions.ranks import hash_ranks, running_totals
 from paramo.operators import score as sc
+from paramo.session import cut_lineage
 
-MAX_BACKGROUND = 100
 
-
-def _with_background(rows: DataFrame, background: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each row next to each background row; the background is a list of at most 100 rows."""
-    listed = background.select(*columns).limit(MAX_BACKGROUND).agg(F.collect_list(F.struct(*columns))).scalar()
-    return rows.withColumn("_bg", listed).withColumn("_b", F.explode("_bg")).drop("_bg")
+def summary(background: DataFrame, columns: Sequence[str] = tuple(fv.FEATURES), by: Sequence[str] = ("class_id",)) -> DataFrame:
+    """The mean row of each group with its number of rows as ``weight``: a background of a few rows that all rows enter."""
+    return background.groupBy(*by).agg(*[F.avg(c).alias(c) for c in columns], F.count("*").cast("double").alias("weight")).drop(*by)
 
 
 def model_shapley(rows: DataFrame, background: DataFrame, key: str, predict: Callable[[DataFrame], DataFrame], value: str,
@@ -29,54 +27,99 @@ def model_shapley(rows: DataFrame, background: DataFrame, key: str, predict: Cal
 
     For every row, background row and feature order, features move from the background to the row one by
     one; all of these hybrid rows go through the model in one batch.  Each step's change belongs to the
-    feature that moved, so contributions of a row add up to its value minus the mean of the background.
+    feature that moved, so contributions of a row add up to its value minus the weighted mean of the background.
+    The whole background is used, a column ``weight`` counting if it has one, and the model is asked
+    rows x background x permutations x features times: pass a ``summary`` of a large background.
     """
     rng = np.random.default_rng(seed)
     k = len(columns)
     orders = [rng.permutation(k).tolist() for _ in range(permutations)]
     place = F.array(*[F.array(*[F.lit(int(o.index(j))) for j in range(k)]) for o in orders])
     at = F.array(*[F.array(*[F.lit(int(j)) for j in o]) for o in orders])
-    full = _with_background(rows.select(key, *columns), background, columns)
+    weight = F.col("weight").cast("double") if "weight" in background.columns else F.lit(1.0)
+    listed = background.select(F.struct(*columns).alias("_b"), weight.alias("_w"))
+    full = rows.select(key, *columns).crossJoin(listed)
     full = (full.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
             .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(k)))))
-    hybrid = full.select(key, "_perm", "_step", *[
+    hybrid = full.select(key, "_perm", "_step", "_w", *[
         F.when(F.get(F.get(place, F.col("_perm")), F.lit(j)) < F.col("_step"), F.col(c).cast("double")).otherwise(F.col(f"_b.{c}").cast("double")).alias(c)
         for j, c in enumerate(columns)])
-    valued = predict(hybrid).select(key, "_perm", "_step", F.col(value).alias("_v"))
+    valued = predict(hybrid).select(key, "_perm", "_step", "_w", F.col(value).alias("_v"))
     moved = lambda step: F.get(F.get(at, F.col("_perm")), step)
     parts = F.filter(F.array(
         F.when(F.col("_step") > 0, F.struct(moved(F.col("_step") - 1).alias("f"), F.col("_v").alias("d"))),
         F.when(F.col("_step") < k, F.struct(moved(F.col("_step")).alias("f"), (-F.col("_v")).alias("d")))), lambda p: p.isNotNull())
     # each background row and order adds one positive and one negative part per feature
-    sums = valued.select(key, F.explode(parts).alias("_p")).groupBy(key, F.col("_p.f").alias("_f")).agg((F.sum("_p.d") / (F.count("*") / 2)).alias("contribution"))
+    sums = valued.select(key, "_w", F.explode(parts).alias("_p")).groupBy(key, F.col("_p.f").alias("_f")).agg(
+        (F.sum(F.col("_w") * F.col("_p.d")) / (F.sum("_w") / 2)).alias("contribution"))
     return sums.select(key, F.get(F.array(*[F.lit(c) for c in columns]), F.col("_f")).alias("feature"), "contribution")
 
 
-# feature groups whose members move together in the exact attribution of the score
+# feature groups whose members move together in the exact attribution of the score; the score is the sum
+# of one part per group, kept within 0-100
 GROUPS = {
     "precio": ["upra_indice_total", "upra_var_mensual_pct"],
     "lluvia": ["ideam_precipitacion_anomalia"],
     "temperatura": ["ideam_temperatura_anomalia"],
     "calendario": ["mes", "anio"],
 }
+_LOW, _HIGH = 0.0, 100.0
+
+
+def _parts(df: DataFrame, bounds: tuple[float, float]) -> DataFrame:
+    """The part of each group, by columns named as the groups."""
+    rain, heat = F.col("ideam_precipitacion_anomalia"), F.col("ideam_temperatura_anomalia")
+    zero = F.lit(0.0)
+    whole = df.withColumns({"_rain": rain, "_heat": heat})
+    dry = sc.components(whole.withColumn("ideam_temperatura_anomalia", F.when(heat.isNotNull(), zero)), bounds)
+    dry = dry.withColumnsRenamed({"price_part": "precio", "calendar_part": "calendario", "climate_part": "lluvia"})
+    warm = dry.withColumns({"ideam_precipitacion_anomalia": F.when(F.col("_rain").isNotNull(), zero), "ideam_temperatura_anomalia": F.col("_heat")})
+    return sc.components(warm, bounds).withColumnRenamed("climate_part", "temperatura").drop("price_part", "calendar_part", "_rain", "_heat")
 
 
-def score_shapley(rows: DataFrame, background: DataFrame, key: str, bounds: tuple[float, float], groups: Mapping[str, Sequence[str]] = GROUPS) -> DataFrame:
-    """(key, feature, contribution): exact Shapley values of the score over all sets of feature groups."""
-    names = list(groups)
+def score_shapley(rows: DataFrame, background: DataFrame, key: str, bounds: tuple[float, float]) -> DataFrame:
+    """(key, feature, contribution): exact Shapley values of the score over all sets of feature groups.
+
+    The whole background counts, without a row meeting it: the score is a sum of parts, so a group's value
+    is its part less the background's mean of that part.  Only the limits of the score, 0 and 100, make
+    groups interact.  For each set of groups that come from the row, how far the limits cut the
+    background's mean follows from running sums over the sorted background, read at the row's own sum.
+    """
+    names = list(GROUPS)
     g = len(names)
-    columns = [c for cs in groups.values() for c in cs]
-    full = _with_background(rows.select(key, *columns), background, columns).withColumn(
-        "_mask", F.explode(F.sequence(F.lit(0), F.lit(2 ** g - 1))))
-    hybrid = full.select(key, "_mask", *[
-        F.when(F.col("_mask").bitwiseAND(F.lit(1 << names.index(n))) > 0, F.col(c)).otherwise(F.col(f"_b.{c}")).alias(c)
-        for n, cs in groups.items() for c in cs])
-    means = sc.score(hybrid, bounds, digits=None).groupBy(key, "_mask").agg(F.avg("score").alias("v"))
+    columns = [c for cs in GROUPS.values() for c in cs]
+    own = cut_lineage(_parts(rows.select(key, *columns), bounds).select(key, *names))
+    other = cut_lineage(_parts(background.select(*columns), bounds).select(*names).dropna())
+    total = F.struct(*[F.avg(n).alias(n) for n in names])
+    linear = own.withColumn("_mean", other.agg(total).scalar())
+    linear = linear.select(key, *[(F.col(n) - F.col(f"_mean.{n}")).alias(n) for n in names])
+
+    def part_sum(mask: int, inside: bool) -> Column:
+        return sum((F.col(n) for j, n in enumerate(names) if bool(mask >> j & 1) == inside), F.lit(0.0))
+
+    masks = range(2 ** g)
+    ends = own.agg(*[F.struct(F.min(part_sum(m, True)), F.max(part_sum(m, True))).alias(f"m{m}") for m in masks]).first()
+    rest = other.agg(*[F.struct(F.min(part_sum(m, False)), F.max(part_sum(m, False))).alias(f"m{m}") for m in masks]).first()
+    cut = [m for m in masks if None not in (*ends[m], *rest[m]) and (ends[m][0] + rest[m][0] < _LOW or ends[m][1] + rest[m][1] > _HIGH)]
     weight = lambda size: factorial(size) * factorial(g - size - 1) / factorial(g)
-    table = [[weight(bin(m).count("1") - 1) if m >> j & 1 else -weight(bin(m).count("1")) for j in range(g)] for m in range(2 ** g)]
-    coef = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in table]), F.col("_mask"))
-    sums = means.groupBy(key).agg(*[F.sum(F.get(coef, F.lit(j)) * F.col("v")).alias(n) for j, n in enumerate(names)])
-    return sums.select(key, F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("contribution")) for n in names])))
+    coef = [[weight(bin(m).count("1") - 1) if m >> j & 1 else -weight(bin(m).count("1")) for j in range(g)] for m in masks]
+    if cut:
+        by_mask = lambda inside: F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), part_sum(m, inside).alias("x")) for m in cut]))
+        asked = own.select(key, by_mask(True).alias("q")).select(key, "q.mask", F.col("q.x").alias("_x")).where("_x IS NOT NULL")
+        asked = cut_lineage(asked.withColumns({"_top": F.lit(_HIGH) - F.col("_x"), "_low": F.lit(_LOW) - F.col("_x")}))
+        held = other.select(by_mask(False).alias("q")).select("q.mask", F.col("q.x").alias("b"), F.lit(1.0).alias("n"))
+        marks = asked.select("mask", F.col("_top").alias("b"), F.lit(0.0).alias("n")).unionByName(
+            asked.select("mask", F.col("_low").alias("b"), F.lit(0.0).alias("n")))
+        sums = cut_lineage(running_totals(held.unionByName(marks), "b", {"n": F.col("n"), "s": F.col("b") * F.col("n")}, ["mask"]))
+        at_top = sums.select("mask", F.col("b").alias("_top"), (F.col("n_total") - F.col("n_before") - F.col("n")).alias("_n_up"),
+                             (F.col("s_total") - F.col("s_before") - F.col("s")).alias("_s_up"), F.col("n_total").alias("_all"))
+        at_low = sums.select("mask", F.col("b").alias("_low"), F.col("n_before").alias("_n_down"), F.col("s_before").alias("_s_down"))
+        off = asked.join(at_top, ["mask", "_top"]).join(at_low, ["mask", "_low"]).withColumn(
+            "_d", (F.col("_low") * F.col("_n_down") - F.col("_s_down") - F.col("_s_up") + F.col("_top") * F.col("_n_up")) / F.col("_all"))
+        table = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in coef]), F.col("mask"))
+        moved = off.groupBy(key).agg(*[F.sum(F.get(table, F.lit(j)) * F.col("_d")).alias(f"_o_{n}") for j, n in enumerate(names)])
+        linear = linear.join(moved, key, "left").select(key, *[(F.col(n) + F.coalesce(f"_o_{n}", F.lit(0.0))).alias(n) for n in names])
+    return linear.select(key, F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("contribution")) for n in names])))
 
 
 def global_importance(contributions: DataFrame, feature: str = "feature", value: str = "contribution") -> DataFrame:
