@@ -23,18 +23,22 @@ def filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
 
 
+def feature_moments(df: DataFrame, columns: Sequence[str] = tuple(fv.MEASURES)) -> DataFrame:
+    """Per feature: mean and sample deviation (at least 1e-6)."""
+    return long_form(filled(df, columns), columns).groupBy("feature").agg(
+        F.avg("value").alias("mean"), F.greatest(F.stddev_samp("value"), F.lit(1e-6)).alias("std"))
+
+
 def feature_stats(df: DataFrame, columns: Sequence[str] = tuple(fv.MEASURES)) -> DataFrame:
     """Per feature: mean, sample deviation (at least 1e-6) and exact 5 % and 95 % quantiles."""
     rows = long_form(filled(df, columns), columns)
-    moments = rows.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.greatest(F.stddev_samp("value"), F.lit(1e-6)).alias("std"))
-    return moments.join(exact_quantiles(rows, "value", {"p05": 0.05, "p95": 0.95}, ["feature"]).drop("n"), "feature")
+    return feature_moments(df, columns).join(exact_quantiles(rows, "value", {"p05": 0.05, "p95": 0.95}, ["feature"]).drop("n"), "feature")
 
 
 def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Add ``_stats``: feature -> (mean, std, p05, p95), one map entry per feature column."""
+    """Add ``_stats``: feature -> its statistics, one map entry per feature column."""
     known = stats.agg(F.map_from_entries(F.collect_list(F.struct(
-        "feature", F.struct("mean", "std", "p05", "p95"))))).scalar()
+        "feature", F.struct(*[c for c in stats.columns if c != "feature"]))))).scalar()
     return df.withColumn("_stats", known)
 
 
@@ -44,7 +48,7 @@ def z_of(c: str) -> Column:
 
 
 def z_scores(df: DataFrame, stats: DataFrame, columns: Sequence[str] = tuple(fv.MEASURES)) -> DataFrame:
-    """Add ``z_<feature>`` for each feature, the largest |z| and its feature (first listed wins ties)."""
+    """``stats`` needs mean and deviation only (``feature_moments``).  Add ``z_<feature>`` for each feature, the largest |z| and its feature (first listed wins ties)."""
     df = with_stats(df, stats).withColumns({f"z_{c}": z_of(c) for c in columns}).drop("_stats")
     sizes = [F.abs(F.col(f"z_{c}")) for c in columns]
     top = F.greatest(*sizes) if len(sizes) > 1 else sizes[0]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from paramo import fixed_values as fv
 from paramo.operators import aggregates as agg
 from paramo.operators.query import latest
+from paramo.session import cut_lineage
 
 RULE_COLUMNS = ["seq", "rule", "kind", "priority", "metric", "threshold", "actions"]
 
@@ -106,7 +107,8 @@ def priority_rank(c: str = "priority") -> Column:
 
 def prioritised(index: DataFrame, obs: DataFrame, tolls: DataFrame, region: str | None = None, n: int = 8) -> DataFrame:
     """All alerts, most urgent first, at most ``n``; monitoring rows when there are none."""
-    alerts = price_rules(index).unionByName(climate_rules(obs, region=region)).unionByName(evasion_rule(tolls, region))
+    # at most a handful of rows, looked at three times
+    alerts = cut_lineage(price_rules(index).unionByName(climate_rules(obs, region=region)).unionByName(evasion_rule(tolls, region)))
     alerts = alerts.unionByName(compound(alerts))
     some = F.coalesce(alerts.agg(F.count("*")).scalar(), F.lit(0))
     rows = alerts.unionByName(standard(index).where(some == 0))

@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from paramo import fixed_values as fv
 from paramo.functions import parsing as p
 from paramo.operators import aggregates as agg
-
-HOT_SHARE = 0.01
-
+from paramo.session import fan_out, materialise
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) for all one- and two-word terms of the whole text."""
@@ -36,21 +34,33 @@ def term_idf(counts: DataFrame, n_texts: Column) -> DataFrame:
         "idf", F.ln((1 + n_texts) / (1 + F.col("df"))) + 1)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least as many partitions as the session shuffles to: a table of few row groups is dealt out before heavy work."""
+    width = fan_out(df.sparkSession)
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+
+
+def counted_terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms): per text its distinct one- and two-word terms with their counts, computed inside the row.
+
+    The terms are sorted; a run of equal ones is one term, and its length the count."""
+    grams = df.select(key, F.sort_array(p.text_grams(p.words(p.clean_text(text)))).alias("_g")).withColumn("_n", F.size("_g"))
+    places = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = grams.select(key, "_g", "_n", F.filter(places, lambda i: (i == 0) | (F.get("_g", i) != F.get("_g", i - 1))).alias("_s"))
+    pairs = F.transform("_s", lambda i, k: F.struct(F.get("_g", i).alias("term"), (F.coalesce(F.get("_s", k + 1), F.col("_n")) - i).alias("tf")))
+    return starts.select(key, pairs.alias("terms"))
+
+
 def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): logarithmic term counts, smoothed idf, unit length.
 
-    A common term may sit in every text, so the join with the idf table is salted.  Terms found in
-    more than 1 % of the texts get one salt per 1 %; their number is at most 100 times the mean
-    number of terms per text, which bounds the broadcast list of salts.
+    Terms are counted inside each text's row and written once.  Rows of terms are shuffled twice: to meet
+    the idf of the term (a skewed join that AQE splits at common terms) and back to their text.
     """
-    counts = term_counts(df, key, text)
-    n = df.agg(F.count("*")).scalar()
-    idf = term_idf(counts, n).withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("df") / (n * HOT_SHARE))).cast("int"))
-    hot = idf.where("salts > 1").select("term", "salts")
-    left = counts.join(F.broadcast(hot), "term", "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(key), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    right = idf.select("term", "idf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"))
-    weighted = left.join(right, ["term", "_salt"]).select(key, "term", (tf_weight(F.col("tf")) * F.col("idf")).alias("weight"))
+    listed = materialise(counted_terms(spread(df.select(key, text)), key, text))
+    counts = listed.select(key, F.explode("terms").alias("_t")).select(key, "_t.term", F.col("_t.tf").cast("long").alias("tf"))
+    n = listed.agg(F.count("*")).scalar()
+    weighted = counts.join(term_idf(counts, n).select("term", "idf"), "term").select(key, "term", (tf_weight(F.col("tf")) * F.col("idf")).alias("weight"))
     return unit_length(weighted, key)
 
 

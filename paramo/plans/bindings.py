@@ -40,12 +40,19 @@ FROM orders GROUP BY 1"""
 BINDINGS["b_sensor"] = """
 SELECT e.event_id AS obs_id, e.user_id AS station, n.n_name AS region, e.ts,
        CAST(e.ts AS DATE) AS obs_date,
-       CASE e.event_type WHEN 'view' THEN 'precipitacion_mm' WHEN 'click' THEN 'temperatura_c' END AS variable,
+       CASE e.event_type WHEN 'view' THEN 'precipitacion_mm' WHEN 'click' THEN 'temperatura_c' WHEN 'purchase' THEN 'humedad_pct'
+            WHEN 'signup' THEN 'viento_ms' ELSE 'presion_hpa' END AS variable,
        e.value
-FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 25
-WHERE e.event_type IN ('view', 'click')"""
+FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 25"""
+
+# monthly climate
+BINDINGS["b_climate_all"] = """
+SELECT CAST(date_trunc('month', l_shipdate) + INTERVAL '23' YEAR AS DATE) AS month,
+       avg(l_quantity) * 6 AS rain_mm,
+       22 + (avg(l_discount) - CAST(0.05 AS DOUBLE)) * 100 AS temp_c
+FROM lineitem GROUP BY 1"""
 
-# monthly climate, every seventh month missing
+# the same with every seventh month missing, for the operators that fill gaps
 BINDINGS["b_climate_month"] = """
 SELECT CAST(date_trunc('month', l_shipdate) + INTERVAL '23' YEAR AS DATE) AS month,
        avg(l_quantity) * 6 AS rain_mm,
@@ -109,7 +116,7 @@ SELECT t.site_id, t.month, t.site_id * 1000 + (year(t.month) - 2018) * 12 + mont
        CAST(month(t.month) AS INT) AS mes, CAST(year(t.month) AS INT) AS anio
 FROM (SELECT site_id, month, sum(traffic) AS traffic, sum(evaders) AS evaders, avg(fare) AS fare
       FROM b_toll GROUP BY site_id, month) t
-LEFT JOIN b_climate_month c ON c.month = t.month"""
+LEFT JOIN b_climate_all c ON c.month = t.month"""
 
 # --- raw feed records: all strings, with planted bad values --------------------------
 BINDINGS["r_toll"] = """
@@ -147,13 +154,13 @@ SELECT CASE WHEN e.event_id % 2 = 0 THEN p.name END AS municipio,
        CASE WHEN e.event_id % 3 = 0 THEN '4.5' END AS latitud, '-74.25' AS longitud_alt,
        concat(substr(CAST(e.ts AS STRING), 1, 10), 'T', substr(CAST(e.ts AS STRING), 12, 8)) AS fechaobservacion,
        CAST(e.user_id AS STRING) AS codigoestacion_alt, CAST(e.user_id % 7 AS STRING) AS codigosensor,
-       CASE e.event_type WHEN 'view' THEN 'precipitacion_mm' ELSE 'temperatura_c' END AS tipo_variable,
+       CASE e.event_type WHEN 'view' THEN 'precipitacion_mm' WHEN 'click' THEN 'temperatura_c' WHEN 'purchase' THEN 'humedad_pct'
+            WHEN 'signup' THEN 'viento_ms' ELSE 'presion_hpa' END AS tipo_variable,
        CASE WHEN e.event_id % 50 = 0 THEN 'nan?' ELSE CAST(CAST(floor(e.value) AS BIGINT) AS STRING) END AS valorobservado_alt,
        'u' AS unidadmedida, CAST(e.event_id AS STRING) AS src_id
 FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 25
      JOIN (VALUES (0, 'Medellín'), (1, ' BOGOTÁ '), (2, 'Cali'), (3, 'Pueblo nuevo'), (4, 'QUIBDÓ'),
-                  (5, CAST(NULL AS STRING)), (6, '')) AS p(k, name) ON p.k = e.user_id % 7
-WHERE e.event_type IN ('view', 'click')"""
+                  (5, CAST(NULL AS STRING)), (6, '')) AS p(k, name) ON p.k = e.user_id % 7"""
 
 BINDINGS["r_connect"] = """
 SELECT CASE WHEN c_custkey % 2 = 0 THEN concat(' Region ', CAST(c_nationkey AS STRING)) END AS departamento,
@@ -201,7 +208,7 @@ FROM customer c JOIN (VALUES
   (6, 'Detección de valores atípicos en Chocó'), (7, 'Pronóstico y tendencia para los próximos meses #'),
   (8, 'zzz qqq #'), (9, '')) AS q(k, text) ON q.k = c.c_custkey % 10"""
 
-NEEDS = {"b_site_month": ["b_toll", "b_climate_month"]}
+NEEDS = {"b_site_month": ["b_toll", "b_climate_all"]}
 
 
 _FRAMES: dict[tuple, DataFrame] = {}

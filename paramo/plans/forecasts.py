@@ -22,12 +22,15 @@ def gappy(i: Inputs):
 
 
 def regular(i: Inputs):
-    return fc.regularise(gappy(i))
+    return fc.regularise(i(B))
+
+
+WHOLE = f"SELECT * FROM {B}"
 
 
 @query("fc_regularise", f"WITH {REGULAR.format(src=GAPPY)} SELECT * FROM reg", B)
 def fc_regularise(i: Inputs):
-    return regular(i)
+    return fc.regularise(gappy(i))
 
 
 @query("fc_transform", f"""SELECT series_key, month, t, CASE k WHEN 'log' THEN exp(t) WHEN 'sqrt' THEN t * t ELSE t END AS back FROM (
@@ -41,7 +44,7 @@ def fc_transform(i: Inputs):
 
 FIXED = (0.3, 0.1, 0.2, 0.95)
 _A, _B, _G, _P = (f"CAST({v} AS DOUBLE)" for v in FIXED)
-HW = f"""{REGULAR.format(src=GAPPY)},
+HW = f"""{REGULAR.format(src=WHOLE)},
  arr AS (SELECT series_key, max(month) AS last_month, list(ln(greatest(y, 0.01)) ORDER BY month) AS y FROM reg GROUP BY 1 HAVING count(*) >= 24),
  init AS (SELECT *, list_avg(y[1:12]) AS l, (list_avg(y[13:24]) - list_avg(y[1:12])) / 12 AS b FROM arr),
  fold(series_key, last_month, y, i, l, b, s, e) AS (
@@ -75,7 +78,7 @@ def fc_stationarity(i: Inputs):
     return fc.stationarity(regular(i))
 
 
-@query("fc_stationarity_no_lags", f"""WITH {REGULAR.format(src=GAPPY)}, d AS (SELECT series_key, lag(y) OVER w AS x, y - lag(y) OVER w AS dy FROM reg WINDOW w AS (PARTITION BY series_key ORDER BY month)),
+@query("fc_stationarity_no_lags", f"""WITH {REGULAR.format(src=WHOLE)}, d AS (SELECT series_key, lag(y) OVER w AS x, y - lag(y) OVER w AS dy FROM reg WINDOW w AS (PARTITION BY series_key ORDER BY month)),
  r AS (SELECT series_key, count(*) AS n, regr_slope(dy, x) AS b, regr_sxx(dy, x) AS sxx, regr_syy(dy, x) AS syy, regr_sxy(dy, x) AS sxy FROM d WHERE x IS NOT NULL GROUP BY 1)
 SELECT series_key, 0 AS lag, b / sqrt((syy - b * sxy) / (n - 2) / sxx) AS t_stat, -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.040 / (n * n * n) AS critical,
  b / sqrt((syy - b * sxy) / (n - 2) / sxx) < -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.040 / (n * n * n) AS stationary FROM r""", B)

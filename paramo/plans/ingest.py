@@ -47,12 +47,12 @@ def src_last_n_days(i: Inputs):
     return feeds.last_days(i("events").select("event_id", "user_id", "value", "ts"), "ts", 7).drop("ts")
 
 
-@query("src_union_discriminator", """SELECT event_id, value, CASE event_type WHEN 'view' THEN 'precipitacion_mm' ELSE 'temperatura_c' END AS variable
-FROM events WHERE event_type IN ('view', 'click')""")
+@query("src_union_discriminator", """SELECT event_id, value, CASE event_type WHEN 'view' THEN 'precipitacion_mm' WHEN 'click' THEN 'temperatura_c' ELSE event_type END AS variable
+FROM events""")
 def src_union_discriminator(i: Inputs):
     ev = i("events").select("event_id", "value", "event_type")
-    return feeds.stacked({fv.RAIN: ev.where("event_type = 'view'").drop("event_type"),
-                          fv.TEMP: ev.where("event_type = 'click'").drop("event_type")})
+    kinds = {fv.RAIN: "view", fv.TEMP: "click"} | {k: k for k in ("purchase", "signup", "error")}
+    return feeds.stacked({name: ev.where(F.col("event_type") == kind).drop("event_type") for name, kind in kinds.items()})
 
 
 @query("src_count", "SELECT count(*) AS rows FROM lineitem WHERE l_discount >= 0.05")

@@ -311,7 +311,7 @@ def insight_state(i: Inputs):
     first = fc.linear_trend(series, 1).select("trend").scalar()
     last = rows.agg(F.max_by("upra_indice_total", "fecha")).scalar()
     filled = an.filled(rows, fv.MEASURES)
-    odd = an.z_scores(filled, an.feature_stats(filled)).where(F.col("max_z") >= fv.Z_HIGH).agg(F.count("*")).scalar()
+    odd = an.z_scores(filled, an.feature_moments(filled)).where(F.col("max_z") >= fv.Z_HIGH).agg(F.count("*")).scalar()
     return i.spark.range(1).select(label.alias("label"), first.alias("_f"), last.alias("_l"), odd.alias("n_anomalies")).select(
         "label", ((F.col("_f") - F.col("_l")) / F.col("_l") * 100).alias("forecast_change_pct"), "n_anomalies")
 

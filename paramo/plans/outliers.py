@@ -41,7 +41,7 @@ ZTOP = f"""SELECT *, {ZMAX} AS max_z FROM ({Z}) z"""
 @query("ano_zscore", f"SELECT row_id, {', '.join(f'z_{c}' for c in M)}, max_z FROM ({ZTOP}) t", "b_site_month")
 def ano_zscore(i: Inputs):
     df = i("b_site_month")
-    out = an.z_scores(df, an.feature_stats(df))
+    out = an.z_scores(df, an.feature_moments(df))
     return out.select("row_id", *[f"z_{c}" for c in M], "max_z")
 
 
@@ -63,7 +63,7 @@ FROM (SELECT row_id, max_z, z_upra_var_mensual_pct AS p, z_ideam_precipitacion_a
 
 def classified(i: Inputs):
     df = i("b_site_month")
-    return an.classified(an.z_scores(df, an.feature_stats(df)))
+    return an.classified(an.z_scores(df, an.feature_moments(df)))
 
 
 @query("ano_classify", f"SELECT row_id, kind, severity FROM ({CLASSIFIED}) c", "b_site_month")

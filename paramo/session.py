@@ -39,9 +39,18 @@ def shared_root(spark: SparkSession) -> str:
     return configured or sc.getCheckpointDir()
 
 
+def run_root(spark: SparkSession) -> str:
+    """The run's own folder below the shared one; the file system removes it when the driver ends."""
+    sc = spark.sparkContext
+    root = f"{shared_root(spark).rstrip('/')}/run-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return root
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the run's folder; gone when the driver ends."""
+    return f"{run_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -52,7 +61,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write the rows once as a table in the shared folder and read that: for inputs that several
-    later passes scan column by column.  Like a checkpoint it survives executor loss."""
+    later passes scan column by column.  Like a checkpoint it survives executor loss; it lasts as long as the driver."""
     path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -57,6 +57,31 @@ def insert_ignore(spark: SparkSession, path: str, batch: DataFrame, keys: Sequen
     return spark.createDataFrame([(offered, inserted, offered - inserted)], "batch long, inserted long, skipped long")
 
 
+#: Partition column of tables whose loads can be repeated.
+LOAD = "load_id"
+
+
+def create(spark: SparkSession, path: str, schema) -> None:
+    """An empty table that takes loads by id."""
+    spark.createDataFrame([], schema).write.parquet(f"{path}/{LOAD}=none")
+
+
+def loaded(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all loads."""
+    return spark.read.parquet(path).drop(LOAD)
+
+
+def insert_once(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], load_id: str) -> None:
+    """Insert-ignore of a batch as the load ``load_id``.
+
+    The rows are compared with all other loads and replace the folder of this one, so the same load
+    can run again after a failure and leaves the table as if it had run once.
+    """
+    others = spark.read.parquet(path).where(F.col(LOAD).cast("string") != load_id).select(*batch.columns)
+    fresh = materialise(unseen(others, materialise(batch), keys, order))
+    fresh.write.mode("overwrite").parquet(f"{path}/{LOAD}={load_id}")
+
+
 def quality_report(df: DataFrame, table: Table) -> DataFrame:
     """Failures of the declared rules: (check, column, failures)."""
     checks = {("missing", c): F.count_if(F.col(c).isNull()) for c in table.required if c in df.columns}

@@ -29,18 +29,19 @@ def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
 
 
 def insert_ignore(stream: DataFrame, table: str, keys: Sequence[str], order: Sequence[str], checkpoint: str,
-                  ts: str | None = None, delay: str | None = None, available_now: bool = True):
-    """Load the stream into the Parquet table, first row of a key wins.
+                  ts: str | None = None, delay: str | None = None, available_now: bool = True, name: str = "stream"):
+    """Load the stream into a table of ``loading.create``, first row of a key wins.
 
-    Each micro-batch is an idempotent load, so a batch that runs again adds nothing.  With ``ts`` and
+    Each micro-batch is a load under its own id, so a batch that runs again replaces what it wrote before, rows
+    with a null in the key included.  ``name`` tells the loads of several streams into one table apart.  With ``ts`` and
     ``delay`` a bounded state drops repeats before they reach the table; rows later than the delay are
     then dropped too, so the default keeps every row and lets the table decide.
     """
     if ts and delay:
         stream = event_time(stream, ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
-    def load(batch: DataFrame, _: int) -> None:
-        loading.insert_ignore(batch.sparkSession, table, batch, keys, order)
+    def load(batch: DataFrame, number: int) -> None:
+        loading.insert_once(batch.sparkSession, table, batch, keys, order, f"{name}-{number}")
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -65,16 +66,37 @@ def climate_alerts(obs: DataFrame, ts: str = "ts", delay: str = "1 day", width:
 def zscore_flags(obs: DataFrame, stats: DataFrame) -> DataFrame:
     """Each observation with its z-score and severity against fitted statistics.
 
-    ``stats`` is a written table with one row per variable (feature, mean, std); that bounds the broadcast.
+    ``stats`` is a written table with one row per variable (feature, mean, std); Spark broadcasts it if it is small.
+    An observation whose variable has no statistics stays, with a null z and severity.
     """
-    known = F.broadcast(stats.select(F.col("feature").alias("variable"), F.col("mean").alias("_m"), F.col("std").alias("_s")))
+    known = stats.select(F.col("feature").alias("variable"), F.col("mean").alias("_m"), F.col("std").alias("_s"))
     z = (F.col("value") - F.col("_m")) / F.col("_s")
     size = F.abs("z")
-    level = (F.when(size >= fv.Z_CRITICAL, "CRÍTICA").when(size >= fv.Z_HIGH, "ALTA").when(size >= fv.Z_MODERATE, "MODERADA").otherwise("NORMAL"))
-    return obs.join(known, "variable").withColumn("z", z).withColumn("severity", level).drop("_m", "_s")
+    level = (F.when(size >= fv.Z_CRITICAL, "CRÍTICA").when(size >= fv.Z_HIGH, "ALTA").when(size >= fv.Z_MODERATE, "MODERADA").when(size.isNotNull(), "NORMAL"))
+    return obs.join(known, "variable", "left").withColumn("z", z).withColumn("severity", level).drop("_m", "_s")
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     """Append the stream to a Parquet folder."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def upsert(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Keep every group of a streaming aggregate up to date, open windows included.
+
+    Each micro-batch writes the groups it changed to a folder of its own, which a batch that runs again
+    replaces; ``latest`` reads the newest version of each group.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest version of each group that ``upsert`` has written."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "version")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_row")).select(*keys, "_row.*")

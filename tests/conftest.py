@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,8 @@ def make_session():
     from paramo.session import build_session
     spark = build_session(
         "paramo-tests", spark__master="local[8]", spark__sql__shuffle__partitions="8",
-        spark__ui__enabled="false", spark__driver__memory="8g", spark__driver__host="127.0.0.1")
+        spark__ui__enabled="false", spark__driver__memory="8g", spark__driver__host="127.0.0.1",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="paramo-tests-"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

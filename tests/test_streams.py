@@ -2,6 +2,7 @@ import datetime as dt
 
 from paramo import fixed_values as fv
 from paramo.session import shared_path
+from paramo.sources import loading
 from paramo.streaming import streams as st
 
 SCHEMA = "k string, ts timestamp, value double, variable string"
@@ -21,26 +22,40 @@ def test_insert_ignore_over_micro_batches(spark):
     land(spark, src, [("a", at(1), 1.0, "x"), ("a", at(2), 2.0, "x")], [("a", at(3), 3.0, "x"), ("b", at(3), 4.0, "x"), (None, at(3), 5.0, "x")],
          [("b", at(1), 6.0, "x"), ("c", at(1), 7.0, "x")])
     schema = spark.createDataFrame([], SCHEMA).schema
-    spark.createDataFrame([], schema).write.parquet(table)
+    loading.create(spark, table, schema)
     offsets = shared_path(spark, "offsets")
     stream = st.file_stream(spark, src, schema, files_per_trigger=1)
     st.insert_ignore(stream, table, ["k"], ["ts"], offsets).awaitTermination()
     # late rows are kept whole: c arrives after later days and is still loaded
-    assert sorted((r["k"] or "", r["value"]) for r in spark.read.parquet(table).collect()) == [("", 5.0), ("a", 1.0), ("b", 4.0), ("c", 7.0)]
+    assert sorted((r["k"] or "", r["value"]) for r in loading.loaded(spark, table).collect()) == [("", 5.0), ("a", 1.0), ("b", 4.0), ("c", 7.0)]
     st.insert_ignore(stream, table, ["k"], ["ts"], offsets).awaitTermination()
-    assert spark.read.parquet(table).count() == 4
+    assert loading.loaded(spark, table).count() == 4
 
 
-def test_climate_windows_close_at_the_watermark(spark):
+def test_a_replayed_load_adds_nothing(spark):
+    table = shared_path(spark, "out")
+    batch = spark.createDataFrame([("a", at(1), 1.0, "x"), (None, at(1), 2.0, "x")], SCHEMA)
+    loading.create(spark, table, batch.schema)
+    for load in ("s-0", "s-0", "s-1", "s-1"):
+        loading.insert_once(spark, table, batch, ["k"], ["ts"], load)
+    # a null key never conflicts, so each of the two loads has its own; replays add none
+    assert sorted(r["k"] or "" for r in loading.loaded(spark, table).collect()) == ["", "", "a"]
+
+
+def test_climate_windows_are_current_before_they_close(spark):
     src, out = shared_path(spark, "src"), shared_path(spark, "out")
     land(spark, src, [("s", at(1), 1.0, fv.RAIN), ("s", at(2), 3.0, fv.RAIN)], [("s", at(20), 200.0, fv.RAIN)],
          [("s", at(21), 200.0, fv.RAIN)], [("s", at(2), 9.0, fv.RAIN), ("s", at(25), 1.0, fv.TEMP)])
     stream = st.file_stream(spark, src, spark.createDataFrame([], SCHEMA).schema, files_per_trigger=1)
-    st.to_files(st.climate_alerts(stream), out, shared_path(spark, "offsets")).awaitTermination()
-    rows = spark.read.parquet(out).collect()
+    st.upsert(st.climate_alerts(stream), out, shared_path(spark, "offsets")).awaitTermination()
+    rows = st.latest(spark, out, ["window_start", "variable"]).collect()
     first = [r for r in rows if r["window_start"] == dt.datetime(2024, 1, 1)]
     assert first[0]["n"] == 2 and first[0]["mean"] == 2.0 and first[0]["alert"] == "sequia"
-    assert max(r["window_end"] for r in rows) <= dt.datetime(2024, 1, 24)
+    # the newest window is still open and already there; every window is there once
+    assert max(r["window_end"] for r in rows) == dt.datetime(2024, 2, 1)
+    assert len({(r["window_start"], r["variable"]) for r in rows}) == len(rows)
+    open_rain = [r for r in rows if r["window_start"] == dt.datetime(2024, 1, 20) and r["variable"] == fv.RAIN]
+    assert open_rain[0]["n"] == 2 and open_rain[0]["mean"] == 200.0
 
 
 def test_zscore_flags(spark):
@@ -49,4 +64,5 @@ def test_zscore_flags(spark):
     stats = spark.createDataFrame([(fv.TEMP, 10.0, 2.0)], "feature string, mean double, std double")
     stream = st.file_stream(spark, src, spark.createDataFrame([], SCHEMA).schema)
     st.to_files(st.zscore_flags(stream, stats), out, shared_path(spark, "offsets")).awaitTermination()
-    assert sorted((r["z"], r["severity"]) for r in spark.read.parquet(out).collect()) == [(0.0, "NORMAL"), (3.0, "CRÍTICA")]
+    found = {r["variable"] + str(r["value"]): (r["z"], r["severity"]) for r in spark.read.parquet(out).collect()}
+    assert found == {fv.TEMP + "10.0": (0.0, "NORMAL"), fv.TEMP + "16.0": (3.0, "CRÍTICA"), "other1.0": (None, None)}
