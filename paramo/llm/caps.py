@@ -14,12 +14,13 @@ from paramo.functions.neighbours import components
 from paramo.llm.simhash import Forest
 from paramo.session import cut_lineage, materialise
 
-#: Parts of a filter direction, each from a random code of its own.
-PARTS = 3
-#: Filters a vector exceeds, on average; the recall follows from it.
-PER_VECTOR = 20
-#: Least number of filters; there are more if there are many vectors.
-FILTERS = 4096
+#: Parts of a filter direction, each from a random block code of its own, and independent product codes.
+PARTS, CODES = 2, 4
+#: Filters of each code that a vector exceeds on average, and how many nearest ones it takes at least.  How many a
+#: product code gives a vector varies much; several codes and the nearest filters even that out.
+PER_CODE, NEAREST = 5, 3
+#: Least number of filters of a code; there are more if there are many vectors.
+FILTERS = 1024
 #: Rows of a bucket that are compared at once, and rows that one task group takes.
 TILE, GROUP = 1024, 8192
 #: Fewer dimensions are padded with zeros, so that projections spread alike.
@@ -41,16 +42,21 @@ class Code:
         return [p @ b.T for p, b in zip(parts, self.blocks)]
 
     def exceeded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of every filter direction that a unit vector exceeds, and of the one it is nearest to.
+        """(row, filter) of every filter direction that a unit vector exceeds, and of its NEAREST nearest ones.
 
         List decoding block by block: a prefix is followed only while the best that later blocks can add
         may still reach the threshold."""
         products = self.products(x)
         best = [p.max(axis=1) for p in products]
         rest = np.cumsum([np.zeros(len(x)), *best[::-1]], axis=0)[::-1]
+        # the nearest filters are made of the nearest words of each block
+        near = np.zeros((len(x), 1))
+        for p in products:
+            top = np.partition(p, -min(NEAREST, p.shape[1]), axis=1)[:, -NEAREST:]
+            near = (near[:, :, None] + top[:, None, :]).reshape(len(x), -1)
+        near = np.partition(near, -min(NEAREST, near.shape[1]), axis=1)[:, -min(NEAREST, near.shape[1])]
         rows, code, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
-        # the nearest filter reaches the least sum of its own vector
-        least = np.minimum(self.least, rest[0] - 1e-12)
+        least = np.minimum(self.least, near - 1e-12)
         for k, p in enumerate(products):
             sums = total[:, None] + p[rows]
             i, c = np.nonzero(sums + rest[k + 1][rows][:, None] >= least[rows][:, None])
@@ -69,16 +75,23 @@ def random_code(dims: int, filters: int, per_vector: float, seed: int) -> Code:
         b = rng.normal(size=(width, size // PARTS))
         blocks.append(b / np.linalg.norm(b, axis=1, keepdims=True))
     code = Code(rotation, blocks, 0.0)
-    trial = rng.normal(size=(400, size))
+    trial = rng.normal(size=(200, size))
     trial /= np.linalg.norm(trial, axis=1, keepdims=True)
     low, high = 0.0, float(PARTS)
     for _ in range(30):
         code.least = (low + high) / 2
-        # rows of the nearest filter alone count too, so the mean cannot fall under 1
-        low, high = (code.least, high) if len(code.exceeded(trial)[0]) > per_vector * len(trial) else (low, code.least)
+        low, high = (code.least, high) if beyond(code, trial) > per_vector * len(trial) else (low, code.least)
     return code
 
 
+def beyond(code: Code, x: np.ndarray) -> int:
+    """How many sums of block products reach the threshold, over all rows."""
+    total = np.zeros((len(x), 1))
+    for p in code.products(x):
+        total = (total[:, :, None] + p[:, None, :]).reshape(len(x), -1)
+    return int((total >= code.least).sum())
+
+
 def unit(values: np.ndarray) -> np.ndarray:
     x = values.astype(float)
     x /= np.abs(x).max(axis=1, keepdims=True)
@@ -91,8 +104,10 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda v: v != 0)
 
 
-def postings(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
-    """(label, filter, key, w, v, filters): one row per class of equal vectors and filter it exceeds."""
+def postings(classes: DataFrame, codes: dict[int, list[Code]]) -> DataFrame:
+    """(label, filter, key, w, v, filters): one row per class of equal vectors and filter it exceeds.
+
+    Filters of several codes are numbered one after another."""
     label_type = classes.schema["label"].dataType.simpleString()
     item = classes.schema["v"].dataType.simpleString()
 
@@ -105,7 +120,13 @@ def postings(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
                     rows = np.nonzero(sizes == d)[0]
                     own = part.take(pa.array(rows))
                     x = unit(own.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
-                    of, found = codes[int(d)].exceeded(x)
+                    of, found, first = [], [], 0
+                    for code in codes[int(d)]:
+                        rows_, filters = code.exceeded(x)
+                        of.append(rows_)
+                        found.append(filters + first)
+                        first += int(np.prod([len(b) for b in code.blocks]))
+                    of, found = np.concatenate(of), np.concatenate(found)
                     order = np.lexsort((found, of))
                     of, found = of[order], found[order]
                     counts = np.bincount(of, minlength=len(rows))
@@ -171,14 +192,14 @@ def bucket_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93,
-                    per_vector: float = PER_VECTOR, seed: int = 42, tile: int = TILE) -> DataFrame:
+                    per_code: float = PER_CODE, seed: int = 42, tile: int = TILE) -> DataFrame:
     """(id_col, n_links, component_id, kept), one row per row of ``df``.
 
     Vectors of equal non-null label (and dimension) with a cosine of ``least`` or more are linked.  Every
-    vector is decoded to all filter directions it exceeds, about ``per_vector`` of a structured random product
-    code; vectors that share a filter are compared in double precision.  A link is found if the two share a
-    filter; a pair of cosine 0.93 shares about ten, so nearly all are found, and none below ``least`` is made.  A pair is
-    counted in the least filter it shares.  Buckets are compared in tiles, so a common direction is spread
+    vector is decoded to all filter directions it exceeds, about ``per_code`` in each of CODES structured random
+    product codes; vectors that share a filter are compared in double precision.  A link is found if the two share a
+    filter; a pair of cosine 0.93 shares about twelve, and of such random pairs 999 in 1000 are found.  None below
+    ``least`` is made.  A pair is counted in the least filter it shares.  Buckets are compared in tiles, so a common direction is spread
     over tasks; of a bucket's links only counts and a spanning set leave the task.  Equal vectors are one class.
 
     ``n_links`` counts other vectors linked directly, ``component_id`` is the least id reachable and ``kept`` says
@@ -195,7 +216,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = materialise(members.groupBy("key", "label", "v").agg(F.min("id").alias("first"), F.count("*").alias("w")).withColumn("dims", F.size("v")))
     sizes = classes.groupBy("label", "dims").agg(F.count("*").alias("n")).groupBy("dims").agg(F.max("n").alias("n"))
     # one row per dimension that occurs
-    codes = {r["dims"]: random_code(r["dims"], max(FILTERS, int(r["n"] * per_vector / tile)), per_vector, seed) for r in sizes.collect()}
+    codes = {r["dims"]: [random_code(r["dims"], max(FILTERS, int(r["n"] * per_code / tile)), per_code, seed + k) for k in range(CODES)]
+             for r in sizes.collect()}
     posted = materialise(postings(classes, codes))
     bucket = ["label", "dims", "filter"]
     tiles = posted.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile)).drop("n")
