@@ -102,7 +102,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_substring_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars_kept"),
+    return found.select("doc_id", "n_removed", "emptied", F.length("text").cast("long").alias("n_chars_kept"),
                         F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -104,8 +104,8 @@ def repeated(df: DataFrame, id_col: str, text_col: str, least_sentences: int, le
     return later.groupBy("id").agg(F.collect_set(F.struct("pos", "n")).alias("covers"))
 
 
-def cut(text: bytes, covers: list) -> tuple[bytes, int, int]:
-    """The text without the covered sentences; how many there are and how many go."""
+def cut(text: bytes, covers: list) -> tuple[bytes, int, bool]:
+    """The text without the covered sentences, how many these are, and whether they are all."""
     starts, _ = sentences(text)
     gone = np.zeros(len(starts) + 1, np.int32)
     for c in covers:
@@ -114,12 +114,12 @@ def cut(text: bytes, covers: list) -> tuple[bytes, int, int]:
     gone = np.cumsum(gone[:-1]) > 0
     edges = starts + [len(text)]
     kept = text[:edges[0]] + b"".join([text[edges[i]:edges[i + 1]] for i in np.nonzero(~gone)[0].tolist()])
-    return kept, len(starts), int(gone.sum())
+    return kept, int(gone.sum()), bool(gone.all())
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    least_sentences: int = 3, least_words: int = 12) -> DataFrame:
-    """The columns of ``df`` with sentences removed from the text, and ``n_sentences``, ``n_removed``.
+    """The columns of ``df`` with sentences removed from the text, and ``n_removed`` and ``emptied`` (all sentences went).
 
     A span is the shortest run of consecutive sentences from a sentence on that has ``least_sentences``
     sentences and ``least_words`` words; white space within does not matter.  Every span that
@@ -127,14 +127,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that any other occurrence covers go.  Sentences end as END says, long ones are cut at words
     that their content picks.
 
-    Null and empty texts stay as they are with 0 sentences.  Rows that share an id are one
+    Null and empty texts stay as they are.  Rows that share an id are one
     document, so a copy under the same id is no repeat.  A row without an id counts as first
-    and is never changed.  A column of ``df`` named ``n_sentences`` or ``n_removed`` is
+    and is never changed.  A column of ``df`` named ``n_removed`` or ``emptied`` is
     replaced.  An empty table gives an empty one.
     """
     if id_col == text_col:
         raise ValueError("id and text must be different columns")
-    df = df.drop("n_sentences", "n_removed")
+    df = df.drop("n_removed", "emptied")
     found = repeated(df, id_col, text_col, least_sentences, least_words)
     found = found.select(F.col("id").alias("_id"), F.col("covers").alias("_covers"))
     joined = df.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id")
@@ -143,19 +143,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for batch in slices(batches, text_col):
             texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-            out = [(t, 0, 0) if not t else cut(t, c or []) for t, c in zip(texts, batch.column("_covers").to_pylist())]
+            out = [cut(t, c) if t and c else (t, 0, False) for t, c in zip(texts, batch.column("_covers").to_pylist())]
             columns = {n: batch.column(n) for n in keep}
             columns[text_col] = pa.array([o[0] for o in out], pa.binary()).cast(batch.column(text_col).type)
-            columns["n_sentences"] = pa.array([o[1] for o in out], pa.int64())
-            columns["n_removed"] = pa.array([o[2] for o in out], pa.int64())
+            columns["n_removed"] = pa.array([o[1] for o in out], pa.int64())
+            columns["emptied"] = pa.array([o[2] for o in out], pa.bool_())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInArrow(run, schema + ", n_sentences long, n_removed long")
+    return joined.mapInArrow(run, schema + ", n_removed long, emptied boolean")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` with repeated spans cut from their texts; texts that lose all sentences go."""
     columns = docs.columns
     cut_ = remove_repeats(docs, id_col, text_col, **how)
-    return cut_.where("n_removed = 0 OR n_removed < n_sentences").select(*[F.col(f"`{c}`") for c in columns])
+    return cut_.where("NOT emptied").select(*[F.col(f"`{c}`") for c in columns])
