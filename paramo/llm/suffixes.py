@@ -92,7 +92,7 @@ def all_runs(docs: DataFrame, length: int) -> DataFrame:
                     rows.append(np.full(len(found[-1][0]), i))
             if not found:
                 continue
-            own = batch.take(pa.array(np.concatenate(rows)))
+            own = batch.select(["id", "th"]).take(pa.array(np.concatenate(rows)))
             first, n, h, s = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([
                 own.column("id"), own.column("th"), pa.array(first, pa.int64()), pa.array(n, pa.int32()), pa.array(h),
