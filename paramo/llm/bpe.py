@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from paramo.llm import common
 
 #: Text that is merged at once; new pieces of many texts share one pass over the ranks.
-MERGE_BYTES = 16 << 20
+MERGE_BYTES = 8 << 20
+#: Positions that enter the pair index together at first.
+ENTER = 1 << 18
 #: A task forgets its known pieces beyond this many.
-KNOWN = 400_000
+KNOWN = 250_000
 #: How byte-level vocabularies of this family split text before merging (a fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -113,7 +115,8 @@ class Vocabulary:
                     index[r] = [p]
                     heapq.heappush(heap, r)
 
-        enter(np.arange(n))
+        for at in range(0, n, ENTER):
+            enter(np.arange(at, min(at + ENTER, n)))
         while heap:
             r = heapq.heappop(heap)
             lists = index.pop(r)
@@ -214,7 +217,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in keep] + [lists], names=[f.name for f in keep] + [ids_col])
                 at = end
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(common.give_back(run), schema)
 
 
 def merged(batches, most: int = MERGE_BYTES):
@@ -253,4 +256,4 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(texts, pa.string())],
                                              names=[f.name for f in keep] + [text_col])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(common.give_back(run), schema)

@@ -20,6 +20,8 @@ GRAMS = (3, 4)
 KNOWN = 200_000
 #: Words of a text that are looked at together; bounds the memory of a very long text.
 BLOCK = 1 << 16
+#: New words whose features are summed together.
+NEW_WORDS = 8192
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +73,15 @@ class Reader:
         new = list(dict.fromkeys(w for words in texts for w in words if w not in self.number))
         if not new:
             return
-        flat, sizes = features(new)
-        begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        sums = np.add.reduceat(self.model.table[flat].astype(float), begins, axis=0)
+        sums, counts, codes = [self.sums], [self.counts], [self.codes]
+        for at in range(0, len(new), NEW_WORDS):
+            flat, sizes = features(new[at:at + NEW_WORDS])
+            begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            sums.append(np.add.reduceat(self.model.table[flat].astype(float), begins, axis=0))
+            counts.append(sizes)
+            codes.append(flat[begins].astype(np.uint64))
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        self.sums = np.concatenate([self.sums, sums])
-        self.counts = np.concatenate([self.counts, sizes])
-        self.codes = np.concatenate([self.codes, flat[begins].astype(np.uint64)])
+        self.sums, self.counts, self.codes = np.concatenate(sums), np.concatenate(counts), np.concatenate(codes)
 
     def _mean(self, words: list[bytes]) -> np.ndarray:
         """The mean of the vectors of all features of a text; 0 without words."""
@@ -190,11 +194,11 @@ def fit(labelled: DataFrame, most: int = 2000, epochs: int = 8, rate: float = 0.
     return Model(as_array(found["table"], BUCKETS, DIM), as_array(found["out"], DIM, k), as_array(found["bias"], k), np.array(found["classes"]))
 
 
-def score(df: DataFrame, model: Model | None, text_col: str, positive: int = 1, name: str = "score") -> DataFrame:
-    """``df`` without its text and with ``name``: the probability of label ``positive``, 0.5 without a model."""
+def score(df: DataFrame, model: Model | None, text_col: str, positive: int = 1, name: str = "score", keep_text: bool = False) -> DataFrame:
+    """``df`` with ``name``, the probability of label ``positive`` (0.5 without a model), and without its text unless it is kept."""
     df = df.drop(name) if name in df.columns else df
     if model is None:
-        return df.drop(text_col).withColumn(name, F.lit(0.5))
+        return (df if keep_text else df.drop(text_col)).withColumn(name, F.lit(0.5))
     column = int(np.nonzero(model.classes == positive)[0][0]) if positive in model.classes else None
     held = df.sparkSession.sparkContext.broadcast(model)
 
@@ -204,7 +208,7 @@ def score(df: DataFrame, model: Model | None, text_col: str, positive: int = 1,
             reader = run.reader = Reader(held.value)
         return [[0.0] * len(texts) if column is None else reader.scores(texts)[:, column].tolist()]
 
-    return per_text(df, text_col, run, f"`{name}` double")
+    return per_text(df, text_col, run, f"`{name}` double", keep_text)
 
 
 def held_out(id_col: Column) -> Column:
@@ -247,5 +251,5 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = fit(training(own, labels, id_col, label_col, **{k: how[k] for k in ("most", "seed") if k in how}), **how)
     columns = docs.columns
-    scored = score(docs.withColumn("_text", F.col(text_col)), model, "_text", name="_score")
+    scored = score(docs, model, text_col, name="_score", keep_text=True)
     return scored.where(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in columns])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,6 +21,21 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def give_back(run: Callable) -> Callable:
+    """A task function that returns freed memory to the system at its end: workers are used again, and what
+    one operator has held must not add to what the next one needs."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform.startswith("linux"):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about BATCH_BYTES of ``text`` at most."""
     for batch in batches:
@@ -33,13 +51,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(at)
 
 
-def per_text(df: DataFrame, text: str, fn: Callable[[list], list], schema: str) -> DataFrame:
+def per_text(df: DataFrame, text: str, fn: Callable[[list], list], schema: str, keep_text: bool = False) -> DataFrame:
     """Append columns computed from whole texts in Python.
 
     ``fn`` takes a list of texts (``bytes`` or None) and returns one list per column of ``schema``;
-    all columns of ``df`` but the text itself are passed through.
+    all columns of ``df`` are passed through, the text itself only with ``keep_text``.
     """
-    keep = [f for f in df.schema.fields if f.name != text]
+    keep = [f for f in df.schema.fields if keep_text or f.name != text]
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [schema])
     names = [f.name for f in keep]
     spark = df.sparkSession
@@ -55,7 +73,7 @@ def per_text(df: DataFrame, text: str, fn: Callable[[list], list], schema: str)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + [pa.array(c, t) for c, t in zip(columns, types)], names=names + new)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(give_back(run), out)
 
 
 def words_of(text: Column) -> Column:

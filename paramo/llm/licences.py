@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paramo.llm.common import slices
+from paramo.llm.common import give_back, slices
 
 # Notices and opening sentences by which public licences are given, per family.
 TEMPLATES = {
@@ -274,7 +274,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
                     [own, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows]),
                      pa.array([r[4] for r in rows])], names=[id_col, "paragraph", "family", "probability", "similarity"])
 
-    found = source.mapInArrow(run, f"`{id_col}` {id_type}, paragraph long, family string, probability double, similarity double")
+    found = source.mapInArrow(give_back(run), f"`{id_col}` {id_type}, paragraph long, family string, probability double, similarity double")
     return found.withColumn("confirmed", F.col("similarity") >= alike)
 
 

@@ -187,8 +187,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         unnamed = docs.where(F.col(id_col).isNull())
         # the text is the only handle: fingerprint it again beside the row
         columns = unnamed.columns
-        again = per_text(unnamed.withColumn("_text", F.col(text_col)), "_text",
-                         lambda texts: [[fingerprint(t, how.get("shingle", 3), how.get("seed", 42)) for t in texts]], "_fp long")
+        again = per_text(unnamed, text_col, lambda texts: [[fingerprint(t, how.get("shingle", 3), how.get("seed", 42)) for t in texts]],
+                         "_fp long", keep_text=True)
         again = again.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).join(alone, "fingerprint", "left_semi")
         out = out.unionByName(again.select(*columns))
     return out

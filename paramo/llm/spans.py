@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paramo.llm.common import slices
+from paramo.llm.common import give_back, slices
 from paramo.session import materialise
 
 #: A sentence ends after a terminator that white space follows, after a wide terminator, or at a line end.
@@ -88,7 +88,7 @@ def all_runs(df: DataFrame, id_col: str, text_col: str, least_sentences: int, le
                 pa.array(np.concatenate([f[1] for f in full]).astype(np.int32)),
                 pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], names=["id", "pos", "n", "h1", "h2"])
 
-    return source.mapInArrow(run, f"id {id_type}, pos int, n int, h1 long, h2 long")
+    return source.mapInArrow(give_back(run), f"id {id_type}, pos int, n int, h1 long, h2 long")
 
 
 def repeated(df: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int) -> DataFrame:
@@ -151,7 +151,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInArrow(run, schema + ", n_removed long, emptied boolean")
+    return joined.mapInArrow(give_back(run), schema + ", n_removed long, emptied boolean")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paramo.llm.common import slices
+from paramo.llm.common import give_back, slices
 from paramo.session import materialise
 
 #: Bytes of the grams whose least hash in a window places the window in a group.
@@ -98,7 +98,7 @@ def all_runs(docs: DataFrame, length: int) -> DataFrame:
                 own.column("id"), own.column("th"), pa.array(first, pa.int64()), pa.array(n, pa.int32()), pa.array(h),
                 pa.array(s[:, 0]), pa.array(s[:, 1])], names=["id", "th", "first", "n", "h", "s1", "s2"])
 
-    return docs.mapInArrow(run, f"id {id_type}, th long, first long, n int, h long, s1 long, s2 long")
+    return docs.mapInArrow(give_back(run), f"id {id_type}, th long, first long, n int, h long, s1 long, s2 long")
 
 
 def suffix_order(text: bytes, wanted: np.ndarray, length: int) -> np.ndarray:
@@ -212,7 +212,7 @@ def fetched(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
                                                   pa.array(seg, pa.binary())], names=[*KEY, "seg"])
 
     # rows of one document are joined once each; their runs are the same
-    return joined.mapInArrow(run, "h long, s1 long, s2 long, n int, seg binary").dropDuplicates(KEY)
+    return joined.mapInArrow(give_back(run), "h long, s1 long, s2 long, n int, seg binary").dropDuplicates(KEY)
 
 
 def by_arrays(segs: DataFrame, length: int) -> DataFrame:
@@ -243,7 +243,7 @@ def by_counts(segs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(at_, pa.int64())],
                                                  names=[*KEY, "w1", "w2", "lo"])
 
-    windows = segs.mapInArrow(run, "h long, s1 long, s2 long, n int, w1 long, w2 long, lo long")
+    windows = segs.mapInArrow(give_back(run), "h long, s1 long, s2 long, n int, w1 long, w2 long, lo long")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
     return windows.join(twice, ["w1", "w2"], "left_semi").select(*KEY, "lo", (F.col("lo") + 1).alias("hi"))
 
@@ -310,4 +310,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 pa.array([o[1] for o in out], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
                 pa.array([o[0] for o in out], pa.binary())], names=[id_col, "n_bytes", "spans", "kept"])
 
-    return joined.mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, spans array<struct<lo: long, hi: long>>, kept binary")
+    return joined.mapInArrow(give_back(run), f"`{id_col}` {id_type}, n_bytes long, spans array<struct<lo: long, hi: long>>, kept binary")
