@@ -26,10 +26,12 @@ from paramo.session import cut_lineage
 BLOCK = 1024
 
 
-def standardised(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Mean 0 and population deviation 1 per column (nulls count as 0; a constant column stays 0)."""
-    filled = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    with_stats = with_row(filled, "_stats", filled, **{f"m_{c}": F.avg(c) for c in columns},
+def standardised(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), like: DataFrame | None = None) -> DataFrame:
+    """Mean 0 and population deviation 1 per column (nulls count as 0; a constant column stays 0), as measured
+    on ``like`` if given."""
+    fill = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
+    filled = df.select(*keep, *fill)
+    with_stats = with_row(filled, "_stats", filled if like is None else like.select(*fill), **{f"m_{c}": F.avg(c) for c in columns},
                           **{f"s_{c}": F.stddev_pop(c) for c in columns})
     stats = F.col("_stats")
     return with_stats.withColumns({
@@ -167,15 +169,12 @@ def nearest(points: DataFrame, dims: int, k: int, size: int = BLOCK) -> tuple[Da
 
     def own_reach(pdf: pd.DataFrame) -> pd.DataFrame:
         d, w = distances(m := matrix(pdf), m), pdf["w"].to_numpy()
-        reach = np.full(len(pdf), np.inf)
-        for i in range(len(pdf)):
-            order = np.argsort(d[i], kind="stable")
-            weights = w[order].copy()
-            weights[order == i] -= 1
-            hit = np.searchsorted(np.cumsum(weights), k)
-            if hit < len(order):
-                reach[i] = d[i, order[hit]]
-        return pdf.assign(reach=reach)
+        order = np.argsort(d, axis=1, kind="stable")
+        weights = w[order] - (order == np.arange(len(pdf))[:, None])
+        enough = np.cumsum(weights, axis=1) >= k
+        hit = enough.argmax(axis=1)
+        rows = np.arange(len(pdf))
+        return pdf.assign(reach=np.where(enough.any(axis=1), d[rows, order[rows, hit]], np.inf))
 
     pts = cut_lineage(pts.groupBy("block").applyInPandas(
         own_reach, "uid string, v array<double>, w long, first long, block long, reach double"))
@@ -187,16 +186,15 @@ def nearest(points: DataFrame, dims: int, k: int, size: int = BLOCK) -> tuple[Da
         if len(p) == 0 or len(q) == 0:
             return pd.DataFrame({"uid": [], "other": [], "dist": [], "w": []})
         d, uid, other = distances(matrix(p), matrix(q)), p["uid"].to_numpy(), q["uid"].to_numpy()
-        w, reach = q["w"].to_numpy(), p["reach"].to_numpy()
+        # columns in order of uid, so that a stable sort by distance leaves ties in that order
         rank = np.argsort(other, kind="stable")
-        rows = []
-        for i in range(len(p)):
-            near = rank[d[i, rank] <= reach[i]]
-            near = near[np.argsort(d[i, near], kind="stable")]
-            weights = np.where(other[near] == uid[i], w[near] - 1, w[near])
-            keep = (np.cumsum(weights) - weights < k) & (weights > 0)
-            rows.append(pd.DataFrame({"uid": uid[i], "other": other[near][keep], "dist": d[i, near][keep], "w": weights[keep]}))
-        return pd.concat(rows)
+        d, other, w = d[:, rank], other[rank], q["w"].to_numpy()[rank]
+        order = np.argsort(d, axis=1, kind="stable")
+        near = np.take_along_axis(d, order, axis=1)
+        weights = w[order] - (other[order] == uid[:, None])
+        weights = np.where(near <= p["reach"].to_numpy()[:, None], weights, 0)
+        i, j = np.nonzero((np.cumsum(weights, axis=1) - weights < k) & (weights > 0))
+        return pd.DataFrame({"uid": uid[i], "other": other[order[i, j]], "dist": near[i, j], "w": weights[i, j]})
 
     found = paired(pts.select("uid", "v", "reach", "block"), pts.select("uid", "v", "w", "block"), pairs, best,
                    "uid string, other string, dist double, w long")

@@ -213,14 +213,15 @@ class IsolationForest:
         return self.score(df).withColumn("if_outlier", F.col("if_score") < F.lit(self.cut))
 
 
-def fit_isolation_forest(df: DataFrame, key: str, columns: Sequence[str] = tuple(fv.MEASURES),
-                         contamination: float = CONTAMINATION, seed: int = 2026) -> IsolationForest:
-    """50 to 200 trees over at most 256 rows each; only the nodes, the scaling and the cut reach the driver."""
+def fit_isolation_forest(df: DataFrame, key: str, columns: Sequence[str] = tuple(fv.MEASURES), contamination: float = CONTAMINATION,
+                         seed: int = 2026, trees: int | None = None, per_tree: int = 256) -> IsolationForest:
+    """``trees`` trees (by default two per row, 50 at least and 200 at most) over ``per_tree`` rows each, all rows if
+    there are fewer; only the nodes, the scaling and the cut reach the driver."""
     data = materialise(filled(df, columns).select(key, *columns))
     stats = data.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns],
                      *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first().asDict()
     n = stats["n"]
-    trees, per_tree = min(200, max(50, n * 2)), min(n, 256)
+    trees, per_tree = trees or min(200, max(50, n * 2)), min(n, per_tree)
     z = nb.standardised(data, columns, [key])
     nodes = grow_trees(forest_sample(z, key, columns, trees, per_tree, n, seed), per_tree, seed).toPandas()
     model = IsolationForest(nodes, columns, stats, per_tree)
@@ -252,6 +253,29 @@ def classified(df: DataFrame, price: str = "z_upra_var_mensual_pct", rain: str =
     return df.withColumns({"kind": kind, "severity": level})
 
 
+def described(df: DataFrame) -> DataFrame:
+    """Add a sentence on what is unusual about a classified row."""
+    change, rain, temp = F.col("upra_var_mensual_pct"), F.col("ideam_precipitacion_anomalia"), F.col("ideam_temperatura_anomalia")
+    kind = F.col("kind")
+    text = (F.when(kind == "riesgo_compuesto", F.format_string("Precio (%+.1f%%) y lluvia (%+.0f mm) se apartan a la vez de lo normal.", change, rain))
+            .when(kind == "precio_extremo", F.format_string("Los insumos suben %.1f%% en el mes, muy por encima de lo habitual.", change))
+            .when(kind == "precio_minimo", F.format_string("Los insumos bajan %.1f%% en el mes, algo fuera de lo habitual.", F.abs(change)))
+            .when(kind == "sequia_extrema", F.format_string("Faltan %.0f mm de lluvia frente a lo normal.", F.abs(rain)))
+            .when(kind == "exceso_hidrico", F.format_string("Sobran %.0f mm de lluvia frente a lo normal.", rain))
+            .when(kind == "ola_calor", F.format_string("La temperatura supera en %.1f °C lo normal.", temp))
+            .otherwise(F.concat(F.lit("Combinación poco común; lo que más destaca es "), F.coalesce("max_feature", F.lit("un conjunto de medidas")), F.lit("."))))
+    return df.withColumn("description", text)
+
+
+def detected(df: DataFrame, key: str, columns: Sequence[str] = tuple(fv.MEASURES), contamination: float = CONTAMINATION) -> DataFrame:
+    """The whole path over every row: isolation forest and local outlier factor, combined, classified and described."""
+    rows = materialise(filled(df, columns))
+    forest = fit_isolation_forest(rows, key, columns, contamination).detect(rows)
+    factors = local_outlier_factor(rows, key, columns, contamination=contamination)
+    both = cut_lineage(z_scores(forest, feature_moments(rows, columns), columns).join(factors, key))
+    return described(classified(combined(both)))
+
+
 def ranked(df: DataFrame, key: str, n: int | None = 10) -> DataFrame:
     """Anomalies, highest combined score first; all of them when ``n`` is None."""
     out = df.where("is_anomaly").orderBy(F.col("combined").desc(), key)

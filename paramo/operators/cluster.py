@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from paramo import fixed_values as fv
 from paramo.functions import neighbours as nb
 from paramo.functions.ranks import exact_quantiles, long_form, running_totals
+from paramo.operators.models import at_once
 from paramo.session import cut_lineage, materialise
 
 EPS, MIN_POINTS = 0.8, 3
@@ -30,7 +31,7 @@ def kmeans(df: DataFrame, key: str, k: int, columns: Sequence[str] = tuple(fv.ME
     """Best of several k-means runs on standardised features: (assignment, inertia, model)."""
     data = vectors(df, key, columns).persist()
     try:
-        runs = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(data) for i in range(starts)]
+        runs = at_once([lambda i=i: KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(data) for i in range(starts)])
         best = min(runs, key=lambda m: m.summary.trainingCost)
         out = cut_lineage(best.transform(data).select(key, F.col("prediction").alias("cluster")))
     finally:
@@ -50,7 +51,7 @@ def best_k(df: DataFrame, key: str, columns: Sequence[str] = tuple(fv.MEASURES),
         top = max(2, min(highest, data.count() // 3))
         judge = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
         for k in range(2, top + 1):
-            runs = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(data) for i in range(starts)]
+            runs = at_once([lambda i=i: KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(data) for i in range(starts)])
             model = min(runs, key=lambda m: m.summary.trainingCost)
             rows.append((k, float(judge.evaluate(model.transform(data))), float(model.summary.trainingCost)))
     finally:
@@ -237,3 +238,19 @@ def assign(df: DataFrame, centres: DataFrame, columns: Sequence[str], cluster: s
         c["id"].alias("id")))
     out = df.withColumn("_best", F.array_min(ranked))
     return out.withColumns({cluster: F.col("_best")["id"], "distance": F.sqrt(F.col("_best")["d2"])}).drop("_every", "_best")
+
+
+def periods(df: DataFrame, new: DataFrame, key: str, k: int, columns: Sequence[str] = tuple(fv.MEASURES), starts: int = 20,
+            max_iter: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole path: (assigned new rows, profiles, quality).
+
+    K-means groups the rows of ``df``; quality and profiles describe the groups; rows of ``new`` are scaled like
+    ``df`` and get the nearest centre with the name and risk of its profile.
+    """
+    groups, _, _ = kmeans(df, key, k, columns, starts, max_iter)
+    scaled = cut_lineage(nb.standardised(df, columns, [key]).join(groups, key))
+    named = cut_lineage(profiles(df.join(groups, key), columns))
+    centres = cut_lineage(scaled.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in columns]))
+    nearest = assign(nb.standardised(new, columns, [key], like=df), centres, columns).select(key, "cluster", "distance")
+    found = nearest.join(named.select("cluster", "profile", "risk"), "cluster")
+    return found.select(key, "cluster", "distance", "profile", "risk"), named, quality(scaled, columns, exact=False)

@@ -8,6 +8,7 @@ sum their cross products in Spark and solve a small system per series.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from paramo import fixed_values as fv
 from paramo.functions.linear import cross_products, least_squares, solve, square
 from paramo.functions.parsing import rounded
 from paramo.operators.features import interpolate
+from paramo.session import cut_lineage, materialise
 
 SEASON = 12
 LEAST_POINTS = 12
@@ -375,6 +377,39 @@ def output(history: DataFrame, forecast: DataFrame, key: str = "series_key", las
     return actual.unionByName(ahead, allowMissingColumns=True)
 
 
+def pipeline(df: DataFrame, kinds: Mapping[str, str] | str = "log", horizon: int = 6, key: str = "series_key", month: str = "month", value: str = "y") -> DataFrame:
+    """The whole path for many series: (key, month, part, value, low, high, model, direction, changes, intensity, reading).
+
+    Series are made regular, transformed by their kind (one for all, or by key, 'none' where not listed), fitted by
+    Holt-Winters with simulated bounds and by seasonal ARIMA, and the two are averaged.  A series that
+    neither can fit, being too short, say, gets the linear trend.
+    """
+    named = df.select(F.col(key).alias("series_key"), F.col(month).alias("month"), F.col(value).cast("double").alias("y"))
+    rows = materialise(named)
+    regular = materialise(regularise(rows))
+    if isinstance(kinds, str):
+        groups = {kinds: F.lit(True)}
+    else:
+        table = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+        kind_of = F.coalesce(F.element_at(table, F.col("series_key")), F.lit("none"))
+        groups = {k: kind_of == k for k in sorted({*kinds.values(), "none"})}
+    parts = []
+    for kind, mine in groups.items():
+        own = regular.where(mine)
+        fits = cut_lineage(holt_winters(own, kind=kind))
+        bands = holt_winters_intervals(fits, horizon).select("series_key", "month", "low", "high")
+        hw = holt_winters_forecast(fits, horizon).select("series_key", "month", "hw").join(bands, ["series_key", "month"])
+        arima = sarima_forecast(sarima_fit(own, kind=kind), horizon).drop("step")
+        trend = linear_trend(rows.where(mine), horizon, kind=kind).drop("step")
+        parts.append(ensemble(hw, arima, trend))
+    forecast = cut_lineage(reduce(DataFrame.unionByName, parts))
+    shown = output(rows, forecast.drop("model")).join(forecast.select("series_key", "month", "model"), ["series_key", "month"], "left")
+    up = F.col("change_last_pct") > 0
+    reading = F.when(F.col("part") == "forecast", F.format_string("Se espera que %s %s %s: %+.1f%% en el primer mes y %+.1f%% al final del horizonte.",
+                     F.col("series_key"), F.when(up, "suba").otherwise("baje"), F.col("intensity"), F.col("change_first_pct"), F.col("change_last_pct")))
+    return shown.withColumn("reading", reading).withColumnRenamed("series_key", key)
+
+
 def series_list(df: DataFrame, key: str = "series_key", config: Mapping[str, tuple] = fv.FORECAST_SERIES) -> DataFrame:
     """Per series: title, unit, transform, points and first and last month."""
     spans = df.where(F.col("y").isNotNull()).groupBy(key).agg(

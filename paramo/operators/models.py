@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paramo import fixed_values as fv
@@ -21,6 +23,34 @@ from paramo.session import cut_lineage
 
 CLASSES = tuple(fv.LABELS)
 SEED = 2026
+#: Memory for the node statistics of one pass over the rows; more nodes at once mean fewer passes.
+NODE_MEMORY_MB = 1024
+#: Rows a training set must have.
+LEAST_ROWS = 10
+
+
+def checked(df: DataFrame, label: str = "class_id") -> list[int]:
+    """The classes of a training set, in order; refuses one that cannot be learnt from."""
+    counts = df.groupBy(label).agg(F.count("*").alias("n")).limit(len(CLASSES) + 1).collect()
+    seen = sorted(r[label] for r in counts if r[label] is not None)
+    rows = sum(r["n"] for r in counts)
+    if not set(seen) <= set(CLASSES) or len(seen) < len(counts):
+        raise ValueError(f"{label} must be one of {CLASSES} in every row")
+    if rows < LEAST_ROWS:
+        raise ValueError(f"a model needs {LEAST_ROWS} rows at least, there are {rows}")
+    if len(seen) < 2:
+        raise ValueError("a model needs rows of two classes at least")
+    return seen
+
+
+def at_once(jobs: Sequence) -> list:
+    """The results of independent fits, run side by side: their small Spark jobs fill each other's gaps."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    from pyspark import inheritable_thread_target
+    session = SparkSession.builder.getOrCreate()  # the running one, also on a thread of an outer call
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(session)(job)) for job in jobs]]
 
 
 def class_weights(df: DataFrame, label: str = "class_id") -> DataFrame:
@@ -56,21 +86,21 @@ def folds(df: DataFrame, key: str, k: int, label: str = "class_id", seed: int =
 
 
 def _stages(columns: Sequence[str]) -> list:
-    # string columns may not be filled here, so each feature is filled under its own name
+    # string columns may not be filled here, so each feature is filled under its own name; trees need no scaling
     fill = ", ".join(f"coalesce(cast({c} AS double), 0.0) AS _f_{c}" for c in columns)
     return [SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"),
-            VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="_raw"),
-            StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]
+            VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="features")]
 
 
 def _drop_working(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_f_")], "_raw", "features", "rawPrediction", "probability", "prediction")
+    return df.drop(*[c for c in df.columns if c.startswith("_f_")], "features", "rawPrediction", "probability", "prediction")
 
 
 def fit_forest(df: DataFrame, columns: Sequence[str] = tuple(fv.FEATURES), label: str = "class_id", trees: int = 300, seed: int = SEED) -> PipelineModel:
     """Random forest: depth 8, two rows per leaf, square root of the features, balanced classes."""
     forest = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=8, minInstancesPerNode=2,
-                                    featureSubsetStrategy="sqrt", seed=seed)
+                                    featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=NODE_MEMORY_MB)
+    checked(df, label)
     return Pipeline(stages=[*_stages(columns), forest]).fit(weighted(df, label))
 
 
@@ -102,12 +132,14 @@ def fit_boosting(df: DataFrame, columns: Sequence[str] = tuple(fv.FEATURES), lab
 
     Column subsampling 0.8 is set per split; the L1, L2 and gain penalties have no MLlib counterpart.
     """
-    seen = sorted(r[0] for r in df.select(label).distinct().collect())  # one value per class
-    models = {}
-    for c in seen:
-        boost = GBTClassifier(labelCol="_y", maxIter=rounds, maxDepth=5, stepSize=0.08, subsamplingRate=0.85, featureSubsetStrategy="0.8", seed=seed)
-        models[c] = Pipeline(stages=[*_stages(columns), boost]).fit(df.withColumn("_y", (F.col(label) == c).cast("double")))
-    return Boosting(models)
+    seen = checked(df, label)
+
+    def fit(c: int) -> PipelineModel:
+        boost = GBTClassifier(labelCol="_y", maxIter=rounds, maxDepth=5, stepSize=0.08, subsamplingRate=0.85, featureSubsetStrategy="0.8",
+                              seed=seed, maxMemoryInMB=NODE_MEMORY_MB)
+        return Pipeline(stages=[*_stages(columns), boost]).fit(df.withColumn("_y", (F.col(label) == c).cast("double")))
+
+    return Boosting(dict(zip(seen, at_once([lambda c=c: fit(c) for c in seen]))))
 
 
 @dataclass
@@ -133,16 +165,17 @@ class Calibration:
         return df.withColumn(out, F.array(*[known.get(c, F.lit(0.0)) for c in CLASSES])).drop(*names)
 
 
-def fit_calibration(scored: DataFrame, raw: str, kind: str, label: str = "class_id") -> Calibration:
+def fit_calibration(scored: DataFrame, raw: str, kind: str, label: str = "class_id", digits: int | None = None) -> Calibration:
     """Isotonic or sigmoid calibration of out-of-fold probabilities.
 
-    Scores are first pooled at four decimals (at most 10,001 weighted points per class), which bounds
-    what the isotonic fit brings together.
+    Equal scores are first pooled into one weighted point, exactly by default; with ``digits`` scores are rounded
+    before, which bounds what the isotonic fit brings together (10,001 points per class for four).
     """
     models = {}
     for c in CLASSES:
         hit = (F.col(label) == c).cast("double")
-        pooled = scored.groupBy(F.round(F.get(F.col(raw), F.lit(CLASSES.index(c))), 4).alias("_s"), hit.alias("_y")).agg(F.count("*").cast("double").alias("weight"))
+        score = F.get(F.col(raw), F.lit(CLASSES.index(c)))
+        pooled = scored.groupBy((score if digits is None else F.round(score, digits)).alias("_s"), hit.alias("_y")).agg(F.count("*").cast("double").alias("weight"))
         pooled = cut_lineage(pooled)
         if pooled.where("_y = 1").isEmpty():
             continue
@@ -157,11 +190,9 @@ def fit_calibration(scored: DataFrame, raw: str, kind: str, label: str = "class_
 def out_of_fold(df: DataFrame, key: str, fit, proba, k: int = 3, label: str = "class_id", seed: int = SEED) -> DataFrame:
     """Every row scored by a model that has not seen it: ``fit(train)`` then ``proba(model, rows)``."""
     parts = cut_lineage(folds(df, key, k, label, seed))
-    out = None
-    for f in range(k):
-        part = proba(fit(parts.where(F.col("fold") != f)), parts.where(F.col("fold") == f))
-        out = part if out is None else out.unionByName(part)
-    return cut_lineage(out)
+    models = at_once([lambda f=f: fit(parts.where(F.col("fold") != f)) for f in range(k)])
+    out = [proba(m, parts.where(F.col("fold") == f)) for f, m in enumerate(models)]
+    return cut_lineage(reduce(DataFrame.unionByName, out))
 
 
 @dataclass

@@ -91,6 +91,11 @@ def fc_intervals(i: Inputs):
     return fc.holt_winters_intervals(fc.holt_winters(regular(i), kind="log", grid=[FIXED]))
 
 
+@query("fc_pipeline")
+def fc_pipeline(i: Inputs):
+    return fc.pipeline(i(B), {f"NATION_{k}": kind for k, kind in ((0, "log"), (1, "sqrt"), (2, "log"), (3, "none"))})
+
+
 NAIVE = f"SELECT series_key, month, y, lag(y, 12) OVER (PARTITION BY series_key ORDER BY month) AS guess FROM {B}"
 
 

@@ -1,7 +1,8 @@
 """Registered queries: supervised models, evaluation (H), attribution (L) and model insights (E11, E12).
 
-The reference settings are the defaults of the operators (300 or 400 trees, 300 boosting rounds).  The plain
-forest runs with them; the other registered queries pass smaller ensembles over the same whole tables.
+The reference settings are the defaults of the operators (300 or 400 trees, 300 boosting rounds, 5 folds).  All queries
+run with them over whole tables but for those that fit the calibrated ensemble, twelve boosted models each, where
+ROUNDS bounds the boosting rounds.
 """
 
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from paramo.plans.texts import listed, with_actions
 from paramo.session import cut_lineage, shared_path
 
 SITES = "b_site_month"
-TREES, ROUNDS = 40, 10
+ROUNDS = 20
 
 
 def labelled(i: Inputs):
@@ -76,16 +77,26 @@ def ml_random_forest(i: Inputs):
 @query("ml_gradient_boosting")
 def ml_gradient_boosting(i: Inputs):
     train, test = split(i)
-    return spread(mo.predicted(mo.fit_boosting(train, rounds=ROUNDS).proba(test)), "row_id", "class_id")
+    return spread(mo.predicted(mo.fit_boosting(train).proba(test)), "row_id", "class_id")
 
 
 @query("ml_calibrate")
 def ml_calibrate(i: Inputs):
     train, test = split(i)
-    model = mo.fit_ensemble(train, "row_id", trees=20, rounds=4)
+    model = mo.fit_ensemble(train, "row_id", rounds=ROUNDS)
     return spread(model.predict(test), "row_id", "class_id")
 
 
+@query("ml_evaluate_ensemble")
+def ml_evaluate_ensemble(i: Inputs):
+    train, test = split(i)
+    rows = cut_lineage(mo.fit_ensemble(train, "row_id", rounds=ROUNDS).predict(test).select(
+        F.col("class_id").alias("actual"), "predicted", *[F.col("proba")[c].alias(f"s{c}") for c in range(3)]))
+    report = ev.class_report(ev.confusion(rows))
+    auc = ev.auc_one_vs_rest(rows, {0: "s0", 1: "s1", 2: "s2"})
+    return report.join(auc, "name", "left").select("name", "precision", "recall", "f1", "support", "auc")
+
+
 # given probabilities: two smooth functions of the score
 def given_sql(c1, c2):
     parts = [f"exp(-abs(score - {c}) / {c1 if j == 0 else c2})" for j in (0, 1) for c in (15, 33, 50)]
@@ -121,7 +132,7 @@ def ml_confidence_level(i: Inputs):
 
 @query("ml_cv_f1")
 def ml_cv_f1(i: Inputs):
-    return mo.cross_validate(labelled(i), "row_id", trees=15, k=3)
+    return mo.cross_validate(labelled(i), "row_id")
 
 
 CELLS = f"""v AS ({VOTED}), cells AS (SELECT a.c AS actual, p.c AS predicted, count(v.row_id) AS rows FROM (VALUES (0), (1), (2)) AS a(c)
@@ -180,18 +191,18 @@ def ml_metric_bands(i: Inputs):
 @query("ml_feature_importance")
 def ml_feature_importance(i: Inputs):
     train, _ = split(i)
-    return mo.importances(mo.fit_forest(train, trees=TREES), i.spark)
+    return mo.importances(mo.fit_forest(train), i.spark)
 
 
 @query("ml_base_comparison")
 def ml_base_comparison(i: Inputs):
-    return mo.compare_base(*split(i), trees=TREES, rounds=5)
+    return mo.compare_base(*split(i))
 
 
 @query("ml_predict_batch")
 def ml_predict_batch(i: Inputs):
     train, test = split(i)
-    return mo.predict_batch(mo.fit_forest(train, trees=TREES), test).select("row_id", "ivt_clase", "ivt_etiqueta")
+    return mo.predict_batch(mo.fit_forest(train), test).select("row_id", "ivt_clase", "ivt_etiqueta")
 
 
 GRID_SQL = f"""SELECT site_id, row_id, upra_indice_total, v AS upra_var_mensual_pct, r AS ideam_precipitacion_mm, r - 150 AS ideam_precipitacion_anomalia,
@@ -213,7 +224,7 @@ def ml_scenarios(i: Inputs):
 @query("ml_save_load", f"SELECT CAST(sum(test_rows) AS BIGINT) AS rows, 0 AS changed FROM ({TEST_SIZES}) t", SITES)
 def ml_save_load(i: Inputs):
     train, test = split(i)
-    model, path = mo.fit_forest(train, trees=20), shared_path(i.spark, "forest")
+    model, path = mo.fit_forest(train), shared_path(i.spark, "forest")
     mo.save(model, path, mo.importances(model, i.spark))
     again, _ = mo.load(i.spark, path)
     a = mo.predict_batch(model, test).select("row_id", F.col("ivt_clase").alias("before"))
@@ -292,7 +303,7 @@ def xai_text(i: Inputs):
 @query("xai_permutation_importance")
 def xai_permutation_importance(i: Inputs):
     train, test = split(i)
-    model = mo.fit_forest(train, trees=20)
+    model = mo.fit_forest(train)
     return at.permutation_importance(test, "row_id", lambda df: mo.predicted(mo.forest_proba(model, df)))
 
 
@@ -335,11 +346,11 @@ def rec_executive_summary(i: Inputs):
     series = rows.select(F.lit("upra_indice_total").alias("series_key"), F.col("fecha").alias("month"), F.col("upra_indice_total").alias("y"))
     ahead = fc.output(series, fc.holt_winters_forecast(fc.holt_winters(fc.regularise(series), kind="log"), 3)
                       .select("series_key", "month", F.col("hw").alias("value"), F.col("hw").alias("low"), F.col("hw").alias("high")))
-    groups, _, _ = cl.kmeans(rows, "row_id", 4, starts=2, max_iter=50)
+    groups, _, _ = cl.kmeans(rows, "row_id", 4)
     forest = an.fit_isolation_forest(rows, "row_id").detect(rows)
     lof = an.local_outlier_factor(rows, "row_id", fv.MEASURES)
     odd = cut_lineage(forest.join(lof, "row_id").select((F.col("if_outlier") | F.col("lof_outlier")).alias("odd")))
-    importances = mo.importances(mo.fit_forest(scored, trees=20), i.spark).where("rank <= 5")
+    importances = mo.importances(mo.fit_forest(scored), i.spark).where("rank <= 5")
     return (metric("score", "label", scored.agg(F.max_by("label", "fecha")).scalar())
             .unionByName(metric("forecast", "change_first_pct", ahead.agg(F.max("change_first_pct")).scalar()))
             .unionByName(metric("clusters", "profiles", groups.agg(F.countDistinct("cluster")).scalar()))

@@ -137,6 +137,12 @@ def ano_summary(i: Inputs):
     return an.summary(combined(i))
 
 
+@query("ano_pipeline")
+def ano_pipeline(i: Inputs):
+    return an.ranked(an.detected(i("b_region_month"), "row_id"), "row_id", None).select(
+        "row_id", "combined", "if_score", "lof", "kind", "severity", "max_z", "max_feature", "description")
+
+
 # --- clustering ------------------------------------------------------------------------------
 # a given assignment: one cluster per calendar quarter
 GIVEN_CLUSTER = "CAST(row_id % 4 AS INTEGER)"
@@ -159,13 +165,19 @@ def clu_quality(i: Inputs):
 
 @query("clu_kmeans")
 def clu_kmeans(i: Inputs):
-    out, _, _ = cl.kmeans(i("b_site_month"), "row_id", 4, starts=3, max_iter=100)
+    out, _, _ = cl.kmeans(i("b_site_month"), "row_id", 4)
     return out
 
 
+@query("clu_pipeline")
+def clu_pipeline(i: Inputs):
+    rows = i("b_site_month")
+    return cl.periods(rows.where("anio < 2023"), rows.where("anio >= 2023"), "row_id", 4)[0]
+
+
 @query("clu_best_k")
 def clu_best_k(i: Inputs):
-    return cl.best_k(i("b_region_month"), "row_id", starts=1, max_iter=40)
+    return cl.best_k(i("b_region_month"), "row_id")
 
 
 DBSCAN = f"""z AS ({z_sql(SHORT, 'b_region_month')}),
