@@ -76,19 +76,16 @@ def catalog(df: DataFrame, columns: Sequence[str], code: str) -> DataFrame:
     return df.select(*columns).orderBy(code)
 
 
-SHALLOW = 100_000
-
-
-def page(df: DataFrame, order: Sequence[str], number: int, size: int, shallow: int = SHALLOW) -> DataFrame:
+def page(df: DataFrame, order: Sequence[str], number: int, size: int) -> DataFrame:
     """Page ``number`` (from 0) over a total order.
 
-    A shallow page is a distributed top-k.  For a deep one that would move everything before it through the
-    driver, so the rows are sorted into a written table and found by their exact rank: row ids grow with the
+    The first page is a distributed top-k.  For any other that would move everything before it through one
+    task, so the rows are sorted into a written table and found by their exact rank: row ids grow with the
     sort order, and the rows of earlier partitions are added up (one row per partition).
     """
     first = number * size
-    if first + size <= shallow:
-        return df.orderBy(*order).offset(first).limit(size)
+    if not number:
+        return df.orderBy(*order).limit(size)
     ranked = materialise(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     ranked = ranked.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)

@@ -68,7 +68,7 @@ def test_scan_pushes_down(spark):
 def test_pages_meet(spark):
     df = spark.range(100)
     first = [r["id"] for r in feeds.page(df, ["id"], 1, 10).collect()]
-    deep = [r["id"] for r in feeds.page(df.repartition(7), [F.col("id").desc()], 3, 20, shallow=0).collect()]
+    deep = [r["id"] for r in feeds.page(df.repartition(7), [F.col("id").desc()], 3, 20).collect()]
     assert deep == list(range(39, 19, -1))
     assert first == [r["id"] for r in feeds.page_after(df, "id", 9, 10).collect()] == list(range(10, 20))
 
