@@ -18,7 +18,7 @@ from paramo.session import materialise
 END = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|(?<=\xe3\x80\x82)|(?<=\xef\xbc\x81)|(?<=\xef\xbc\x9f)|[\n\r][\x20\x09-\x0D]*")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 #: Sentences of more words are cut after every word whose CRC-32 is a multiple of CUT, so that the
-#: pieces of a passage do not depend on where the passage stands.
+#: pieces of a passage do not depend on where the passage stands, and after LONG words without such a word.
 LONG, CUT = 24, 8
 
 
@@ -43,7 +43,7 @@ def sentences(text: bytes) -> tuple[list[int], list[bytes]]:
             for m in WORD.finditer(text, at, end):
                 word = m.group().rstrip()
                 part.append(word)
-                if zlib.crc32(word) % CUT == 0:
+                if zlib.crc32(word) % CUT == 0 or len(part) == LONG:
                     starts.append(begin)
                     bodies.append(b" ".join(part))
                     part, begin = [], m.end()
