@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paramo.llm.common import per_text
+from paramo.llm.common import per_text, unused
 
 #: Rows of the embedding table; words, word pairs and character n-grams are hashed into it.
 BUCKETS = 1 << 16
@@ -251,5 +251,6 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = fit(training(own, labels, id_col, label_col, **{k: how[k] for k in ("most", "seed") if k in how}), **how)
     columns = docs.columns
-    scored = score(docs, model, text_col, name="_score", keep_text=True)
-    return scored.where(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in columns])
+    name = unused("_score", docs)
+    scored = score(docs, model, text_col, name=name, keep_text=True)
+    return scored.where(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in columns])

@@ -21,6 +21,14 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def give_back(run: Callable) -> Callable:
     """A task function that returns freed memory to the system at its end: workers are used again, and what
     one operator has held must not add to what the next one needs."""

@@ -147,8 +147,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     ends = materialise(sources.where("target > 0").select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"))
                        .join(last.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "_last"),
                              F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_epochs") == F.col("_b")), "left").drop("_s", "_b"))
-    uses = docs.join(ends, F.col(source_col).eqNullSafe(F.col("_source")))
+    # the row is one column, so that no name of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_own"))
+    uses = rows.join(ends, F.col("_own").eqNullSafe(F.col("_source")))
     uses = uses.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs"))))
-    uses = uses.withColumn("_draw", draw(F.col("_block"), F.col(id_col), seed))
+    uses = uses.withColumn("_draw", draw(F.col("_block"), F.col("_id"), seed))
     uses = uses.where("_block < _epochs OR _draw <= _last")
-    return uses.orderBy("_block", "_draw", id_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return uses.orderBy("_block", "_draw", "_id").select("_row.*")

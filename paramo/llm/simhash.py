@@ -184,11 +184,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not docs.where(F.col(id_col).isNull()).isEmpty():
         # fingerprints of groups that have no id at all
         alone = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-        unnamed = docs.where(F.col(id_col).isNull())
-        # the text is the only handle: fingerprint it again beside the row
-        columns = unnamed.columns
-        again = per_text(unnamed, text_col, lambda texts: [[fingerprint(t, how.get("shingle", 3), how.get("seed", 42)) for t in texts]],
-                         "_fp long", keep_text=True)
+        # the text is the only handle: fingerprint it again beside the row, which is one column so that no name clashes
+        unnamed = docs.where(F.col(id_col).isNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+        again = per_text(unnamed, "_text", lambda texts: [[fingerprint(t, how.get("shingle", 3), how.get("seed", 42)) for t in texts]], "_fp long")
         again = again.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).join(alone, "fingerprint", "left_semi")
-        out = out.unionByName(again.select(*columns))
+        out = out.unionByName(again.select("_row.*"))
     return out

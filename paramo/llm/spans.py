@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paramo.llm.common import give_back, slices
+from paramo.llm.common import give_back, slices, unused
 from paramo.session import materialise
 
 #: A sentence ends after a terminator that white space follows, after a wide terminator, or at a line end.
@@ -136,14 +136,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("id and text must be different columns")
     df = df.drop("n_removed", "emptied")
     found = repeated(df, id_col, text_col, least_sentences, least_words)
-    found = found.select(F.col("id").alias("_id"), F.col("covers").alias("_covers"))
-    joined = df.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    key, covers = unused("_id", df), unused("_covers", df)
+    found = found.select(F.col("id").alias(key), F.col("covers").alias(covers))
+    joined = df.join(found, F.col(id_col) == F.col(key), "left").drop(key)
     keep = df.columns
 
     def run(batches):
         for batch in slices(batches, text_col):
             texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-            out = [cut(t, c) if t and c else (t, 0, False) for t, c in zip(texts, batch.column("_covers").to_pylist())]
+            out = [cut(t, c) if t and c else (t, 0, False) for t, c in zip(texts, batch.column(covers).to_pylist())]
             columns = {n: batch.column(n) for n in keep}
             columns[text_col] = pa.array([o[0] for o in out], pa.binary()).cast(batch.column(text_col).type)
             columns["n_removed"] = pa.array([o[1] for o in out], pa.int64())

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from paramo.llm import simhash, spans, suffixes
 
-DOCS = "doc_id long, text string, fingerprint string, n_removed long"  # columns that clash with results
+DOCS = "doc_id long, text string, fingerprint string, n_removed long, _id string, _fp long"  # names that clash
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "own", 7) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "own", 7, "u", 1) for i, t in rows], DOCS)
 
 
 def words(rng, n):
@@ -89,7 +89,8 @@ def test_simhash_rows_without_ids_and_repeats(spark):
     got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted([(5, 5), (5, 5), (None, 5), (None, None), (9, 9)], key=str)
     kept = simhash.keep_first(docs(spark, rows))
-    assert kept.columns == ["doc_id", "text", "fingerprint", "n_removed"]
+    assert kept.columns == ["doc_id", "text", "fingerprint", "n_removed", "_id", "_fp"]
+    assert {(r["fingerprint"], r["_id"], r["_fp"]) for r in kept.collect()} == {("own", "u", 1)}
     assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == sorted(
         [(5, "a b c d e"), (None, "quite another text here"), (9, None)], key=str)
     assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.keep_first(docs(spark, [])).count() == 0
@@ -154,7 +155,7 @@ def test_spans_rows_without_ids_and_repeats(spark):
     text = "One two three four. Five six seven eight. Nine ten eleven twelve. "
     rows = [(2, text), (2, text), (None, text), (1, "Before it. " + text + "After it.")]
     out = spans.remove_repeats(docs(spark, rows))
-    assert out.columns == ["doc_id", "text", "fingerprint", "n_removed", "emptied"]
+    assert out.columns == ["doc_id", "text", "fingerprint", "_id", "_fp", "n_removed", "emptied"]
     got = sorted(((r["doc_id"], r["n_removed"]) for r in out.collect()), key=str)
     # the row without an id counts as first, so all others lose the passage
     assert got == sorted([(2, 3), (2, 3), (None, 0), (1, 3)], key=str)

@@ -125,10 +125,10 @@ def test_mixing_against_brute_force(spark, monkeypatch, lift, limit, budget):
 
 def test_mixed_rows_follow_the_plan(spark):
     rows = [(i, "w " * (1 + i % 5), "big" if i % 10 else "tiny", "x") for i in range(100)] + [(None, None, None, "x"), (101, "", "tiny", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, block string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _block string")
     plan, _ = mixing.mix(df, lift=0.9, max_epochs=3.0)
     out = mixing.mixed(df, lift=0.9, max_epochs=3.0)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and {r["_block"] for r in out.collect()} == {"x"}
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted((r["doc_id"] for r in plan.collect()), key=str)
     assert mixing.mix(df.limit(0))[0].count() == 0 and mixing.mixed(df.limit(0)).count() == 0
     assert mixing.mix(df.where("text IS NULL"))[0].count() == 0
