@@ -99,7 +99,8 @@ def repeated(df: DataFrame, id_col: str, text_col: str, least_sentences: int, le
     # two rows of one id are one document; a run is counted once per place
     twice = materialise(every.groupBy("h1", "h2").agg(F.count("*").alias("places")).where("places > 1").select("h1", "h2"))
     places = materialise(every.join(twice, ["h1", "h2"], "left_semi"))
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"))
+    # written out, so that the join below has a shuffle of its own, which AQE splits where a span is very common
+    first = materialise(places.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first")))
     later = places.where("id IS NOT NULL").join(first, ["h1", "h2"]).where("NOT (struct(id, pos) <=> first)")
     return later.groupBy("id").agg(F.collect_set(F.struct("pos", "n")).alias("covers"))
 
