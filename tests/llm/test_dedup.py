@@ -163,6 +163,48 @@ def test_spans_rows_without_ids_and_repeats(spark):
     assert spans.remove_repeats(docs(spark, [])).count() == 0
 
 
+def placed(rng, passage, stops):
+    """The passage in mid-sentence of a text of its own, whose sentences end every ``stops`` words if at all."""
+    def around(n):
+        found = [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+        return [w + "." if stops and k % stops == stops - 1 else w for k, w in enumerate(found)]
+
+    before, after = around(rng.randrange(30, 60)), around(rng.randrange(30, 60))
+    return [w.rstrip(".") if k >= len(before) - 5 else w for k, w in enumerate(before)], passage, after
+
+
+@pytest.mark.parametrize("length,stops", [(51, 0), (60, 0), (75, 0), (51, 17), (60, 19), (80, 22), (51, 9)])
+def test_passages_share_spans_wherever_they_stand(length, stops):
+    rng = random.Random(length * 100 + stops)
+    for _ in range(300):
+        shift = rng.randrange(stops or 1)
+        passage = [f"w{rng.randrange(10 ** 9)}" + ("." if stops and (k + shift) % stops == stops - 1 else "") for k in range(length)]
+        one, two = (" ".join(sum(placed(rng, passage, stops), [])).encode() for _ in range(2))
+        found = []
+        for text in (one, two):
+            _, bodies = spans.sentences(text)
+            first, sizes, hashes = spans.runs(bodies, 3, 12)
+            found.append({h: b" ".join(bodies[a:a + k]) for h, a, k in zip(map(tuple, hashes.tolist()), first.tolist(), sizes.tolist())})
+        common = found[0].keys() & found[1].keys()
+        assert common and all(found[0][h] in " ".join(passage).encode() for h in common)
+
+
+def test_spans_of_passages_in_mid_sentence(spark):
+    rng = random.Random(7)
+    rows, parts = [], []
+    for k in range(30):
+        length, stops = rng.randrange(51, 90), rng.choice([0, 0, 9, 17, 22])
+        passage = [f"w{rng.randrange(10 ** 9)}" + ("." if stops and j % stops == 3 else "") for j in range(length)]
+        for i in (2 * k, 2 * k + 1):
+            parts.append(placed(rng, passage, stops))
+            rows.append((i, " ".join(sum(parts[-1], []))))
+    got = {r["doc_id"]: r["text"].split() for r in spans.remove_repeats(docs(spark, rows)).collect()}
+    for i, (before, passage, after) in enumerate(parts):
+        kept = [w for w in passage if w in got[i]]
+        assert got[i] == before + kept + after  # no word outside the passage goes
+        assert kept == passage if i % 2 == 0 else len(passage) - len(kept) >= 12
+
+
 # --- suffix arrays -------------------------------------------------------------------
 
 
