@@ -92,8 +92,6 @@ NEAR_MISSES = [
 UNKNOWN = "unknown"
 #: Rows of the weight table; the loop of a word's n-grams.
 BUCKETS, GRAMS = 1 << 16, 3
-#: A paragraph of fewer words is not looked at.
-LEAST_WORDS = 3
 KNOWN_WORDS = 300_000
 STRIP = b".,;:!?()[]{}<>\"'`*#/\\|=-_"
 
@@ -226,7 +224,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
          model: Model | None = None) -> DataFrame:
     """(id_col, paragraph, family, probability, similarity, confirmed): one row per paragraph that gives a licence.
 
-    Paragraphs are the lines of a text (numbered from 0) with LEAST_WORDS words or more.  Word 1- to 3-grams
+    Paragraphs are the lines of a text (numbered from 0) that are not empty.  Word 1- to 3-grams
     are hashed into a sparse logistic regression over licence families and an unknown class; a paragraph is
     predicted if its best family has a calibrated probability of ``least`` or more.  ``similarity`` is the
     share of word pairs it has in common with the nearest template of the family, and ``confirmed`` says that this
@@ -251,7 +249,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
             for i, t in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 for j, line in enumerate((t or b"").lower().split(b"\n")):
                     found = line.split()
-                    if len(found) >= LEAST_WORDS:
+                    if found:
                         split.append(found)
                         places.append((i, j))
             rows = []

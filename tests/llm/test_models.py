@@ -202,3 +202,11 @@ def test_licences_odd_rows(spark):
     got = [(r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(docs, model=model).where("confirmed").collect()]
     assert sorted(got, key=str) == sorted([(1, 0, "MIT"), (1, 0, "MIT"), (4, 2, "MIT"), (None, 0, "MIT")], key=str)
     assert licences.scan(docs.limit(0)).count() == 0
+
+
+def test_licences_of_templates_alone_on_a_line(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lines = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts] + [("MIT", "MIT License"), ("BSD", "BSD License")]
+    rows = spark.createDataFrame([(i, f"Thank you\n\n{t}\nhello\n-") for i, (_, t) in enumerate(lines)], "doc_id long, text string")
+    got = licences.scan(rows, model=licences.fit(docs, "doc_id", "text")).where("confirmed").collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == [(i, 2, f) for i, (f, _) in enumerate(lines)]
