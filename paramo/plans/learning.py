@@ -1,8 +1,7 @@
 """Registered queries: supervised models, evaluation (H), attribution (L) and model insights (E11, E12).
 
 The reference settings are the defaults of the operators (300 or 400 trees, 300 boosting rounds, 5 folds).  All queries
-run with them over whole tables but for those that fit the calibrated ensemble, twelve boosted models each, where
-ROUNDS bounds the boosting rounds.
+run with them over whole tables.
 """
 
 from pyspark.sql import functions as F
@@ -25,7 +24,6 @@ from paramo.plans.texts import listed, with_actions
 from paramo.session import cut_lineage, shared_path
 
 SITES = "b_site_month"
-ROUNDS = 20
 
 
 def labelled(i: Inputs):
@@ -83,14 +81,14 @@ def ml_gradient_boosting(i: Inputs):
 @query("ml_calibrate")
 def ml_calibrate(i: Inputs):
     train, test = split(i)
-    model = mo.fit_ensemble(train, "row_id", rounds=ROUNDS)
+    model = mo.fit_ensemble(train, "row_id")
     return spread(model.predict(test), "row_id", "class_id")
 
 
 @query("ml_evaluate_ensemble")
 def ml_evaluate_ensemble(i: Inputs):
     train, test = split(i)
-    rows = cut_lineage(mo.fit_ensemble(train, "row_id", rounds=ROUNDS).predict(test).select(
+    rows = cut_lineage(mo.fit_ensemble(train, "row_id").predict(test).select(
         F.col("class_id").alias("actual"), "predicted", *[F.col("proba")[c].alias(f"s{c}") for c in range(3)]))
     report = ev.class_report(ev.confusion(rows))
     auc = ev.auc_one_vs_rest(rows, {0: "s0", 1: "s1", 2: "s2"})

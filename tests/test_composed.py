@@ -98,3 +98,19 @@ def test_anomaly_and_cluster_paths(spark):
     assert found[0]["id"] == 120 and found[0]["kind"] == "riesgo_compuesto" and "a la vez" in found[0]["description"]
     new, named, quality = cl.periods(df.where("id < 100"), df.where("id >= 100"), "id", 3, starts=2, max_iter=20)
     assert new.count() == 21 and new.where("profile IS NULL").count() == 0 and named.count() == 3 and quality.count() == 1
+
+
+@pytest.mark.parametrize("name", ["ml_calibrate", "ml_evaluate_ensemble"])
+def test_registered_ensembles_fit_at_the_defaults(name, monkeypatch):
+    from paramo.plans import learning
+    asked = {}
+
+    def fit_ensemble(df, key, **how):
+        asked.update(how)
+        raise InterruptedError
+
+    monkeypatch.setattr(learning, "split", lambda i: (None, None))
+    monkeypatch.setattr(learning.mo, "fit_ensemble", fit_ensemble)
+    with pytest.raises(InterruptedError):
+        getattr(learning, name)(None)
+    assert asked == {}
