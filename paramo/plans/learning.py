@@ -257,7 +257,7 @@ def xai_shapley_model(i: Inputs):
     train, test = split(i)
     model = mo.fit_forest(train)
     high = lambda df: mo.forest_proba(model, df).withColumn("_alta", F.col("proba")[2])
-    return at.model_shapley(test, at.summary(train), "row_id", high, "_alta", permutations=2)
+    return at.model_shapley(test, at.summary(train), "row_id", high, "_alta")
 
 
 @query("xai_global_importance", f"WITH {SHAP} SELECT feature, avg(abs(contribution)) AS importance FROM shap GROUP BY 1", MATRIX_USES)

@@ -114,3 +114,14 @@ def test_registered_ensembles_fit_at_the_defaults(name, monkeypatch):
     with pytest.raises(InterruptedError):
         getattr(learning, name)(None)
     assert asked == {}
+
+
+def test_registered_model_attribution_takes_the_default_orders(monkeypatch):
+    from paramo.plans import learning
+    asked = {}
+    monkeypatch.setattr(learning, "split", lambda i: (None, None))
+    monkeypatch.setattr(learning.mo, "fit_forest", lambda train: None)
+    monkeypatch.setattr(learning.at, "summary", lambda train: None)
+    monkeypatch.setattr(learning.at, "model_shapley", lambda *a, **how: asked.update(how, given=len(a)))
+    learning.xai_shapley_model(None)
+    assert asked == {"given": 5}
