@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramo.llm import bpe, caps, classifier, licences, mixing, preference, rules, simhash, spans, suffixes
-from paramo.llm.common import read
+from paramo.llm import bpe, caps, classifier, licences, mixing, periodic, preference, rules, simhash, spans, suffixes
+from paramo.llm.common import read, words_of
 
 QUERIES, ORACLES = {}, {}
 
@@ -164,6 +164,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the texts, picked by CRC-32 of the id, the words from one on are replaced by a repeating unit of theirs."""
+    draw = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", F.when(draw % 10 == 0, words_of(F.col("text"))).alias("words"), F.floor(draw / 10).alias("g"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    repeated = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return docs.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(repeated, " ")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(with_periods(read(spark, sf_dir, "documents")), least=24, times=3)
+    best = periodic.strongest("runs")
+    found = found.select("doc_id", "runs", best.alias("best"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length").cast("long"), F.col("best.period").cast("long")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").cast("long").alias("start"), length.alias("length"),
+                        period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+                        F.sha2(periodic.listed("runs"), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
