@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramo.llm import bpe, caps, classifier, licences, mixing, periodic, preference, rules, simhash, spans, suffixes
+from paramo.llm import alignment, bpe, caps, classifier, licences, mixing, periodic, preference, rules, simhash, spans, suffixes
 from paramo.llm.common import read, words_of
 
 QUERIES, ORACLES = {}, {}
@@ -185,6 +185,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(periodic.listed("runs"), 256).alias("runs_sha256"), "collapsed_sha256")
 
 
+@query("op12_cross_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

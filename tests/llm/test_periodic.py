@@ -44,14 +44,14 @@ def some_words(rng):
 @pytest.mark.parametrize("least,times", [(24, 3), (3, 3), (7, 3), (30, 4), (6, 5)])
 def test_runs_equal_all_lags(least, times):
     rng, total = random.Random(least), 0
-    for _ in range(400):
+    for _ in range(120):
         texts = [some_words(rng) for _ in range(rng.randint(0, 4))]
         ids, starts = periodic.numbered(texts)
         got = periodic.runs(ids, starts, least, times).tolist()
         want = [[s + int(starts[i]), n, q] for i, w in enumerate(texts) for s, n, q in brute(w, least, times)]
         assert got == want
         total += len(want)
-    assert total > 300
+    assert total > 90
 
 
 def test_nested_periods_that_repeat_inside_themselves():
