@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramo.llm import alignment, bpe, caps, classifier, licences, mixing, periodic, preference, rules, simhash, spans, suffixes
+from paramo.llm import alignment, bpe, caps, classifier, licences, mixing, periodic, preference, rules, simhash, spans, suffixes, toxicity
 from paramo.llm.common import read, words_of
 
 QUERIES, ORACLES = {}, {}
@@ -191,6 +191,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7)
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
