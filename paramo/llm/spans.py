@@ -18,15 +18,18 @@ from paramo.session import materialise
 END = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|(?<=\xe3\x80\x82)|(?<=\xef\xbc\x81)|(?<=\xef\xbc\x9f)|[\n\r][\x20\x09-\x0D]*")
 #: Within a sentence, the word of least CRC-32 (the first, if equal) of every WINDOW consecutive words ends a
 #: piece.  Only words near by decide, so two copies of a passage are cut alike but for the WINDOW words at its ends:
-#: 28 of 51 words are common at least, which are 3 pieces, wherever the passage stands.
+#: LEAST_WORDS of 51 words are common at least, in 3 pieces or more, wherever the passage stands: the last pick that both copies
+#: share is the twelfth word of the passage or before, the first one that they share again the twelfth from its end or after.
 WINDOW = 12
+LEAST_WORDS = 51 - 2 * WINDOW + 1
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def sentences(text: bytes) -> tuple[list[int], list[bytes]]:
-    """Where each sentence, or piece of a sentence of WINDOW words or more, starts, and its words joined by one space.
+def starts_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each sentence, or piece of a sentence of WINDOW words or more, starts, and how many words each has.
 
-    It reaches to the start of the next, white space after it included."""
+    It reaches to the start of the next, white space after it included.  Two wide letters (U+3000 to U+D7FF), which stand
+    without blanks, count as one word more."""
     marks = np.array([m.end() for m in END.finditer(text)], np.int64)
     blank = BLANK[np.frombuffer(text, np.uint8)]
     fresh = ~blank
@@ -36,7 +39,7 @@ def sentences(text: bytes) -> tuple[list[int], list[bytes]]:
     begins = np.nonzero(fresh)[0]
     n = len(begins)
     if not n:
-        return [], []
+        return begins, begins
     of = np.searchsorted(marks, begins, "right")
     new = np.ones(n, bool)
     new[1:] = of[1:] != of[:-1]
@@ -51,14 +54,26 @@ def sentences(text: bytes) -> tuple[list[int], list[bytes]]:
             least, size = np.minimum(least[:-step], least[step:]), size + step
         picked = least[of[:n - WINDOW + 1] == of[WINDOW - 1:]] & np.uint64(0xFFFFFFFF)
         new[picked[picked < n - 1].astype(np.int64) + 1] = True
-    starts = begins[new].tolist()
-    return starts, [b" ".join(text[i:j].split()) for i, j in zip(starts, [*starts[1:], len(text)])]
+    starts = begins[new]
+    counts = np.diff(np.append(np.nonzero(new)[0], n))
+    raw = np.frombuffer(text, np.uint8)
+    wide = (raw >= 0xE3) & (raw <= 0xED)
+    if wide.any():
+        counts = counts + np.add.reduceat(wide, starts, dtype=np.int64) // 2
+    return starts, counts
 
 
-def runs(bodies: list[bytes], least_sentences: int, least_words: int):
+def sentences(text: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The words of each sentence or piece, joined by one space, and how many there are."""
+    starts, counts = starts_of(text)
+    at = starts.tolist()
+    return [b" ".join(text[i:j].split()) for i, j in zip(at, [*at[1:], len(text)])], counts
+
+
+def runs(bodies: list[bytes], words: np.ndarray, least_sentences: int, least_words: int):
     """(first sentence, sentences, 128-bit hash as two longs) of every shortest run of consecutive
     sentences that has ``least_sentences`` sentences and ``least_words`` words."""
-    counts = np.cumsum([0] + [b.count(b" ") + 1 for b in bodies])
+    counts = np.concatenate(([0], np.cumsum(words)))
     n = len(bodies)
     first = np.arange(n)
     last = np.maximum(np.searchsorted(counts, counts[:-1] + least_words, "left"), first + least_sentences)
@@ -77,7 +92,7 @@ def all_runs(df: DataFrame, id_col: str, text_col: str, least_sentences: int, le
     def run(batches):
         for batch in slices(batches, "text"):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            found = [runs(sentences(t)[1], least_sentences, least_words) if t else None for t in texts]
+            found = [runs(*sentences(t), least_sentences, least_words) if t else None for t in texts]
             rows = [0 if f is None else len(f[0]) for f in found]
             if not sum(rows):
                 continue
@@ -95,8 +110,9 @@ def all_runs(df: DataFrame, id_col: str, text_col: str, least_sentences: int, le
 def repeated(df: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int) -> DataFrame:
     """(id, covers): per document the runs (pos, n) that occurred before, in order of (id, pos).
 
-    Hashes are counted first, so only runs that occur twice or more are looked at again."""
-    every = all_runs(df, id_col, text_col, least_sentences, least_words)
+    Texts are cut and hashed once and the runs written out; their hashes are counted first, and only those that occur twice or more
+    are looked at again."""
+    every = materialise(all_runs(df, id_col, text_col, least_sentences, least_words))
     # two rows of one id are one document; a run is counted once per place
     twice = materialise(every.groupBy("h1", "h2").agg(F.count("*").alias("places")).where("places > 1").select("h1", "h2"))
     places = materialise(every.join(twice, ["h1", "h2"], "left_semi"))
@@ -108,7 +124,7 @@ def repeated(df: DataFrame, id_col: str, text_col: str, least_sentences: int, le
 
 def cut(text: bytes, covers: list) -> tuple[bytes, int, bool]:
     """The text without the covered sentences, how many these are, and whether they are all."""
-    starts, _ = sentences(text)
+    starts = starts_of(text)[0].tolist()
     gone = np.zeros(len(starts) + 1, np.int32)
     for c in covers:
         gone[c["pos"]] += 1
@@ -120,14 +136,16 @@ def cut(text: bytes, covers: list) -> tuple[bytes, int, bool]:
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   least_sentences: int = 3, least_words: int = 12) -> DataFrame:
+                   least_sentences: int = 3, least_words: int = LEAST_WORDS) -> DataFrame:
     """The columns of ``df`` with sentences removed from the text, and ``n_removed`` and ``emptied`` (all sentences went).
 
     A span is the shortest run of consecutive sentences from a sentence on that has ``least_sentences``
     sentences and ``least_words`` words; white space within does not matter.  Every span that
     occurs in several places stays where it occurs first, in order of id and position; sentences
     that any other occurrence covers go.  Sentences end as END says; those of WINDOW words or more are
-    cut into pieces, which count as sentences here, at words that their content picks.
+    cut into pieces, which count as sentences here, at words that their content picks.  With the ``least_words`` given here
+    every passage of 51 words shares a span with its copies, wherever they stand; more would miss some, fewer cut more
+    that is no passage.
 
     Null and empty texts stay as they are.  Rows that share an id are one
     document, so a copy under the same id is no repeat.  A row without an id counts as first

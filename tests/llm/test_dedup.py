@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import pytest
@@ -99,11 +100,28 @@ def test_simhash_rows_without_ids_and_repeats(spark):
 # --- sentence spans ------------------------------------------------------------------
 
 
-def own_spans(rows, least_sentences=3, least_words=12):
+def own_cuts(text):
+    """Sentences by a walk over the words; in those of 12 words or more, the least CRC-32 of every 12 words in a row ends a piece."""
+    words = list(re.finditer("[^\x20\x09-\x0D]+", text or ""))
+    ends, at = set(), 0
+    for k, w in enumerate(words):
+        gap = text[w.end():words[k + 1].start()] if k + 1 < len(words) else ""
+        if k + 1 == len(words) or "\n" in gap or "\r" in gap or w.group()[-1] in ".!?":
+            least = range(at, k + 2 - 12)
+            ends |= {min(range(a, a + 12), key=lambda i: (zlib.crc32(words[i].group().encode()), i)) for a in least} | {k}
+            at = k + 1
+    found, at = [], 0
+    for k in sorted(ends):
+        found.append((words[at].start(), " ".join(w.group() for w in words[at:k + 1])))
+        at = k + 1
+    return found
+
+
+def own_spans(rows, least_sentences=3, least_words=28):
     """Every run compared with every other by its words."""
     places = defaultdict(list)
     for i, t in sorted(rows):
-        bodies = spans.sentences((t or "").encode())[1]
+        bodies = [b for _, b in own_cuts(t)]
         for a in range(len(bodies)):
             for b in range(a + least_sentences, len(bodies) + 1):
                 run = bodies[a:b]
@@ -137,7 +155,7 @@ def test_spans_against_all_runs(spark):
     gone = own_spans(rows)
     for i, t in rows:
         raw = (t or "").encode()
-        starts, _ = spans.sentences(raw)
+        starts = [len(t[:s].encode()) for s, _ in own_cuts(t)]
         edges = starts + [len(raw)]
         want = raw[:edges[0]] + b"".join(raw[edges[k]:edges[k + 1]] for k in range(len(starts)) if k not in gone[i])
         assert (got[i]["text"], got[i]["n_removed"]) == (None if t is None else want.decode(), len(gone[i])), i
@@ -147,12 +165,21 @@ def test_spans_against_all_runs(spark):
 def test_sentences_cover_the_text():
     for i, t in passages(random.Random(1)):
         raw = (t or "").encode()
-        starts, bodies = spans.sentences(raw)
-        assert b" ".join(bodies).split() == raw.split() and starts == sorted(starts)
+        starts, counts = spans.starts_of(raw)
+        bodies, _ = spans.sentences(raw)
+        assert [(len((t or "")[:s].encode()), b) for s, b in own_cuts(t)] == [(int(s), b.decode()) for s, b in zip(starts, bodies)]
+        assert counts.tolist() == [len(b.split()) for b in bodies]
+
+
+def test_wide_letters_count_as_words():
+    text = "これは長い文です。" * 2 + "短い。Latin words here."
+    bodies, counts = spans.sentences(text.encode())
+    assert [b.decode() for b in bodies] == ["これは長い文です。", "これは長い文です。", "短い。", "Latin words here."]
+    assert counts.tolist() == [1 + 9 // 2, 1 + 9 // 2, 1 + 3 // 2, 3]
 
 
 def test_spans_rows_without_ids_and_repeats(spark):
-    text = "One two three four. Five six seven eight. Nine ten eleven twelve. "
+    text = "".join(f"One{k} two three four five six seven eight nine ten. " for k in range(3))
     rows = [(2, text), (2, text), (None, text), (1, "Before it. " + text + "After it.")]
     out = spans.remove_repeats(docs(spark, rows))
     assert out.columns == ["doc_id", "text", "fingerprint", "_id", "_fp", "n_removed", "emptied"]
@@ -182,13 +209,27 @@ def test_passages_share_spans_wherever_they_stand(length, stops):
         one, two = (" ".join(sum(placed(rng, passage, stops), [])).encode() for _ in range(2))
         found = []
         for text in (one, two):
-            _, bodies = spans.sentences(text)
-            first, sizes, hashes = spans.runs(bodies, 3, 12)
+            bodies, counts = spans.sentences(text)
+            first, sizes, hashes = spans.runs(bodies, counts, 3, spans.LEAST_WORDS)
             found.append({h: b" ".join(bodies[a:a + k]) for h, a, k in zip(map(tuple, hashes.tolist()), first.tolist(), sizes.tolist())})
         common = found[0].keys() & found[1].keys()
         assert common and all(found[0][h] in " ".join(passage).encode() for h in common)
 
 
+def test_passages_go_and_short_repeats_stay(spark):
+    """Of 60 passages of over 50 words each copy but the first is cut; of 60 texts that share up to 27 words with others none is."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10 ** 9)}" + ("." if rng.random() < 0.1 else "") for _ in range(n)]
+    rows, shared = [], fresh(27)
+    for k in range(60):
+        passage = fresh(rng.randrange(51, 80))
+        rows += [(2 * k, " ".join(fresh(40) + passage + fresh(40))), (2 * k + 1, " ".join(fresh(25) + passage + fresh(60)))]
+    rows += [(1000 + k, " ".join(fresh(50) + shared[:rng.randrange(12, 28)] + fresh(50))) for k in range(60)]
+    got = {r["doc_id"]: r for r in spans.remove_repeats(docs(spark, rows)).collect()}
+    assert all(got[2 * k]["n_removed"] == 0 and got[2 * k + 1]["n_removed"] >= 3 for k in range(60))
+    assert all(got[1000 + k]["text"] == dict(rows)[1000 + k] for k in range(60))
+
+
 def test_spans_of_passages_in_mid_sentence(spark):
     rng = random.Random(7)
     rows, parts = [], []
