@@ -1,4 +1,4 @@
-"""Classifiers on MLlib: forest, boosting, calibration, the weighted vote, and their upkeep."""
+"""Classifiers: forest (MLlib), boosting, calibration, the weighted vote, and their upkeep."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from paramo import fixed_values as fv
 from paramo.functions.ranks import hash_ranks
-from paramo.operators import evaluate
+from paramo.operators import boosting, evaluate
+from paramo.operators.boosting import Boosting
 from paramo.operators.score import label_of
 from paramo.session import cut_lineage
 
@@ -25,6 +26,8 @@ CLASSES = tuple(fv.LABELS)
 SEED = 2026
 #: Memory for the node statistics of one pass over the rows; more nodes at once mean fewer passes.
 NODE_MEMORY_MB = 1024
+#: Fits that run side by side; each holds its trees and plans in the driver.
+AT_ONCE = 3
 #: Rows a training set must have.
 LEAST_ROWS = 10
 
@@ -49,7 +52,7 @@ def at_once(jobs: Sequence) -> list:
         return [job() for job in jobs]
     from pyspark import inheritable_thread_target
     session = SparkSession.builder.getOrCreate()  # the running one, also on a thread of an outer call
-    with ThreadPoolExecutor(len(jobs)) as pool:
+    with ThreadPoolExecutor(min(len(jobs), AT_ONCE)) as pool:
         return [f.result() for f in [pool.submit(inheritable_thread_target(session)(job)) for job in jobs]]
 
 
@@ -111,35 +114,11 @@ def forest_proba(model: PipelineModel, df: DataFrame, out: str = "proba") -> Dat
         F.array(*[F.lit(c) for c in CLASSES]), lambda c: F.coalesce(F.get(p, c), F.lit(0.0)))))
 
 
-@dataclass
-class Boosting:
-    """One boosted binary model per class; probabilities are scaled to sum to 1."""
-
-    models: dict[int, PipelineModel]
-
-    def proba(self, df: DataFrame, out: str = "proba") -> DataFrame:
-        names = []
-        for c, model in self.models.items():
-            names.append(f"_b_{c}")
-            df = _drop_working(model.transform(df).withColumn(f"_b_{c}", vector_to_array("probability")[1]))
-        total = sum((F.col(n) for n in names), F.lit(0.0))
-        known = {c: F.col(f"_b_{c}") / total for c in self.models}
-        return df.withColumn(out, F.array(*[known.get(c, F.lit(0.0)) for c in CLASSES])).drop(*names)
-
-
-def fit_boosting(df: DataFrame, columns: Sequence[str] = tuple(fv.FEATURES), label: str = "class_id", rounds: int = 300, seed: int = SEED) -> Boosting:
-    """Gradient-boosted trees per class: depth 5, step 0.08, 85 % of the rows per tree.
-
-    Column subsampling 0.8 is set per split; the L1, L2 and gain penalties have no MLlib counterpart.
-    """
-    seen = checked(df, label)
-
-    def fit(c: int) -> PipelineModel:
-        boost = GBTClassifier(labelCol="_y", maxIter=rounds, maxDepth=5, stepSize=0.08, subsamplingRate=0.85, featureSubsetStrategy="0.8",
-                              seed=seed, maxMemoryInMB=NODE_MEMORY_MB)
-        return Pipeline(stages=[*_stages(columns), boost]).fit(df.withColumn("_y", (F.col(label) == c).cast("double")))
-
-    return Boosting(dict(zip(seen, at_once([lambda c=c: fit(c) for c in seen]))))
+def fit_boosting(df: DataFrame, columns: Sequence[str] = tuple(fv.FEATURES), label: str = "class_id", rounds: int = 300, seed: int = SEED,
+                 key: str | None = None) -> Boosting:
+    """Gradient-boosted trees with a softmax over the classes: depth 5, step 0.08, 85 % of the rows and 80 % of the features per tree,
+    L1, L2 and gain penalties."""
+    return boosting.fit(df, columns, checked(df, label), label, boosting.Settings(rounds=rounds, seed=seed), key=key)[0]
 
 
 @dataclass
@@ -191,6 +170,11 @@ def out_of_fold(df: DataFrame, key: str, fit, proba, k: int = 3, label: str = "c
     """Every row scored by a model that has not seen it: ``fit(train)`` then ``proba(model, rows)``."""
     parts = cut_lineage(folds(df, key, k, label, seed))
     models = at_once([lambda f=f: fit(parts.where(F.col("fold") != f)) for f in range(k)])
+    return scored_folds(parts, models, proba)
+
+
+def scored_folds(parts: DataFrame, models: Sequence, proba) -> DataFrame:
+    """Every row of ``parts`` scored by the model of its fold."""
     out = [proba(m, parts.where(F.col("fold") == f)) for f, m in enumerate(models)]
     return cut_lineage(reduce(DataFrame.unionByName, out))
 
@@ -210,12 +194,17 @@ class Ensemble:
         return evaluate.soft_vote(df, "forest_proba", "boosting_proba")
 
 
-def fit_ensemble(df: DataFrame, key: str, trees: int = 400, rounds: int = 300, columns: Sequence[str] = tuple(fv.FEATURES), label: str = "class_id") -> Ensemble:
+def fit_ensemble(df: DataFrame, key: str, trees: int = 400, rounds: int = 300, columns: Sequence[str] = tuple(fv.FEATURES), label: str = "class_id",
+                 k: int = 3) -> Ensemble:
+    """Both base models on all rows, and their calibration from models of ``k`` folds.
+
+    The boosted models of all folds and of all rows are grown together (see ``boosting.fit``)."""
     forest = lambda d: fit_forest(d, columns, label, trees)
-    boost = lambda d: fit_boosting(d, columns, label, rounds)
-    a = out_of_fold(df, key, forest, forest_proba, label=label)
-    b = out_of_fold(df, key, boost, lambda m, d: m.proba(d), label=label)
-    return Ensemble(forest(df), boost(df), fit_calibration(a, "proba", "isotonic", label), fit_calibration(b, "proba", "sigmoid", label))
+    parts = cut_lineage(folds(df, key, k, label))
+    *partial, whole = boosting.fit(parts, columns, checked(df, label), label, boosting.Settings(rounds=rounds, seed=SEED), "fold", k, key)
+    b = scored_folds(parts, partial, lambda m, d: m.proba(d))
+    a = out_of_fold(df, key, forest, forest_proba, k, label)
+    return Ensemble(forest(df), whole, fit_calibration(a, "proba", "isotonic", label), fit_calibration(b, "proba", "sigmoid", label))
 
 
 def predicted(df: DataFrame, proba: str = "proba") -> DataFrame:
