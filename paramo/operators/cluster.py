@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paramo import fixed_values as fv
 from paramo.functions import neighbours as nb
 from paramo.functions.ranks import exact_quantiles, long_form, running_totals
-from paramo.operators.models import at_once
 from paramo.session import cut_lineage, materialise
 
 EPS, MIN_POINTS = 0.8, 3
+#: Fits that run side by side; each holds its plans in the driver.
+AT_ONCE = 8
+
+
+def at_once(jobs: Sequence) -> list:
+    """The results of independent fits, some side by side: their small Spark jobs fill each other's gaps."""
+    from pyspark import inheritable_thread_target
+    session = SparkSession.builder.getOrCreate()
+    with ThreadPoolExecutor(min(len(jobs), AT_ONCE)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(session)(job)) for job in jobs]]
 
 
 def vectors(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -1,33 +1,27 @@
-"""Classifiers: forest (MLlib), boosting, calibration, the weighted vote, and their upkeep."""
+"""Classifiers: forest, boosting, calibration, the weighted vote, and their upkeep."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paramo import fixed_values as fv
 from paramo.functions.ranks import hash_ranks
-from paramo.operators import boosting, evaluate
+from paramo.operators import boosting, evaluate, forest
 from paramo.operators.boosting import Boosting
+from paramo.operators.forest import Forest
 from paramo.operators.score import label_of
 from paramo.session import cut_lineage
 
 CLASSES = tuple(fv.LABELS)
 SEED = 2026
-#: Memory for the node statistics of one pass over the rows; more nodes at once mean fewer passes.
-NODE_MEMORY_MB = 1024
-#: Fits that run side by side; each holds its trees and plans in the driver.
-AT_ONCE = 3
 #: Rows a training set must have.
 LEAST_ROWS = 10
 
@@ -46,16 +40,6 @@ def checked(df: DataFrame, label: str = "class_id") -> list[int]:
     return seen
 
 
-def at_once(jobs: Sequence) -> list:
-    """The results of independent fits, run side by side: their small Spark jobs fill each other's gaps."""
-    if len(jobs) < 2:
-        return [job() for job in jobs]
-    from pyspark import inheritable_thread_target
-    session = SparkSession.builder.getOrCreate()  # the running one, also on a thread of an outer call
-    with ThreadPoolExecutor(min(len(jobs), AT_ONCE)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(session)(job)) for job in jobs]]
-
-
 def class_weights(df: DataFrame, label: str = "class_id") -> DataFrame:
     """(label, rows, weight): n / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("rows"))
@@ -88,30 +72,15 @@ def folds(df: DataFrame, key: str, k: int, label: str = "class_id", seed: int =
     return ranked.withColumn("fold", F.floor(F.col("draw_rank") * k / F.col("group_size")).cast("int")).drop("draw", "draw_rank", "group_size")
 
 
-def _stages(columns: Sequence[str]) -> list:
-    # string columns may not be filled here, so each feature is filled under its own name; trees need no scaling
-    fill = ", ".join(f"coalesce(cast({c} AS double), 0.0) AS _f_{c}" for c in columns)
-    return [SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"),
-            VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="features")]
-
-
-def _drop_working(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_f_")], "features", "rawPrediction", "probability", "prediction")
-
-
-def fit_forest(df: DataFrame, columns: Sequence[str] = tuple(fv.FEATURES), label: str = "class_id", trees: int = 300, seed: int = SEED) -> PipelineModel:
+def fit_forest(df: DataFrame, columns: Sequence[str] = tuple(fv.FEATURES), label: str = "class_id", trees: int = 300, seed: int = SEED,
+               key: str | None = None) -> Forest:
     """Random forest: depth 8, two rows per leaf, square root of the features, balanced classes."""
-    forest = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=8, minInstancesPerNode=2,
-                                    featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=NODE_MEMORY_MB)
-    checked(df, label)
-    return Pipeline(stages=[*_stages(columns), forest]).fit(weighted(df, label))
+    return forest.fit(df, columns, checked(df, label), label, forest.Settings(trees=trees, seed=seed), key=key)[0]
 
 
-def forest_proba(model: PipelineModel, df: DataFrame, out: str = "proba") -> DataFrame:
+def forest_proba(model: Forest, df: DataFrame, out: str = "proba") -> DataFrame:
     """Class probabilities in class order (a class never seen gets 0)."""
-    p = vector_to_array("probability")
-    return _drop_working(model.transform(df).withColumn(out, F.transform(
-        F.array(*[F.lit(c) for c in CLASSES]), lambda c: F.coalesce(F.get(p, c), F.lit(0.0)))))
+    return model.proba(df, out)
 
 
 def fit_boosting(df: DataFrame, columns: Sequence[str] = tuple(fv.FEATURES), label: str = "class_id", rounds: int = 300, seed: int = SEED,
@@ -166,13 +135,6 @@ def fit_calibration(scored: DataFrame, raw: str, kind: str, label: str = "class_
     return Calibration(models, kind)
 
 
-def out_of_fold(df: DataFrame, key: str, fit, proba, k: int = 3, label: str = "class_id", seed: int = SEED) -> DataFrame:
-    """Every row scored by a model that has not seen it: ``fit(train)`` then ``proba(model, rows)``."""
-    parts = cut_lineage(folds(df, key, k, label, seed))
-    models = at_once([lambda f=f: fit(parts.where(F.col("fold") != f)) for f in range(k)])
-    return scored_folds(parts, models, proba)
-
-
 def scored_folds(parts: DataFrame, models: Sequence, proba) -> DataFrame:
     """Every row of ``parts`` scored by the model of its fold."""
     out = [proba(m, parts.where(F.col("fold") == f)) for f, m in enumerate(models)]
@@ -183,7 +145,7 @@ def scored_folds(parts: DataFrame, models: Sequence, proba) -> DataFrame:
 class Ensemble:
     """Calibrated forest (0.45) and boosting (0.55)."""
 
-    forest: PipelineModel
+    forest: Forest
     boosting: Boosting
     forest_map: Calibration
     boosting_map: Calibration
@@ -198,13 +160,13 @@ def fit_ensemble(df: DataFrame, key: str, trees: int = 400, rounds: int = 300, c
                  k: int = 3) -> Ensemble:
     """Both base models on all rows, and their calibration from models of ``k`` folds.
 
-    The boosted models of all folds and of all rows are grown together (see ``boosting.fit``)."""
-    forest = lambda d: fit_forest(d, columns, label, trees)
-    parts = cut_lineage(folds(df, key, k, label))
-    *partial, whole = boosting.fit(parts, columns, checked(df, label), label, boosting.Settings(rounds=rounds, seed=SEED), "fold", k, key)
+    The models of all folds and of all rows are grown together (see ``boosting.fit``, ``forest.fit``)."""
+    parts, seen = cut_lineage(folds(df, key, k, label)), checked(df, label)
+    *partial, boost = boosting.fit(parts, columns, seen, label, boosting.Settings(rounds=rounds, seed=SEED), "fold", k, key)
     b = scored_folds(parts, partial, lambda m, d: m.proba(d))
-    a = out_of_fold(df, key, forest, forest_proba, k, label)
-    return Ensemble(forest(df), whole, fit_calibration(a, "proba", "isotonic", label), fit_calibration(b, "proba", "sigmoid", label))
+    *partial, trees_ = forest.fit(parts, columns, seen, label, forest.Settings(trees=trees, seed=SEED), "fold", k, key)
+    a = scored_folds(parts, partial, forest_proba)
+    return Ensemble(trees_, boost, fit_calibration(a, "proba", "isotonic", label), fit_calibration(b, "proba", "sigmoid", label))
 
 
 def predicted(df: DataFrame, proba: str = "proba") -> DataFrame:
@@ -212,7 +174,7 @@ def predicted(df: DataFrame, proba: str = "proba") -> DataFrame:
     return df.withColumn("predicted", F.get(F.array(*[F.lit(c) for c in CLASSES]), at.cast("int")))
 
 
-def predict_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict_batch(model: Forest, df: DataFrame) -> DataFrame:
     """Class and label of many rows; missing features count as 0."""
     out = predicted(forest_proba(model, df)).withColumnRenamed("predicted", "ivt_clase")
     return out.withColumn("ivt_etiqueta", label_of(F.col("ivt_clase")))
@@ -226,16 +188,17 @@ def cross_validate(df: DataFrame, key: str, trees: int = 300, k: int = 5, column
     """One row: folds used, mean and deviation of macro F1, mean accuracy."""
     least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
     k = max(2, min(k, least))
-    scored = out_of_fold(df, key, lambda d: fit_forest(d, columns, label, trees), lambda m, d: predicted(forest_proba(m, d)), k, label)
+    parts = cut_lineage(folds(df, key, k, label))
+    models = forest.fit(parts, columns, checked(df, label), label, forest.Settings(trees=trees), "fold", k, key, whole=False)
+    scored = scored_folds(parts, models, lambda m, d: predicted(forest_proba(m, d)))
     per = report(scored, label, ["fold"]).groupBy("fold").agg(
         F.max(F.when(F.col("name") == "macro", F.col("f1"))).alias("f1"), F.max(F.when(F.col("name") == "accuracy", F.col("f1"))).alias("accuracy"))
     return per.agg(F.count("*").alias("folds"), F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"), F.avg("accuracy").alias("accuracy_mean"))
 
 
-def importances(model: PipelineModel, spark, columns: Sequence[str] = tuple(fv.FEATURES), digits: int = 4) -> DataFrame:
+def importances(model: Forest, spark, columns: Sequence[str] = tuple(fv.FEATURES), digits: int = 4) -> DataFrame:
     """(feature, importance, rank): one row per feature column."""
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    rows = sorted(zip(columns, values), key=lambda r: -r[1])
+    rows = sorted(zip(columns, model.importance.tolist()), key=lambda r: -r[1])
     return spark.createDataFrame([(f, round(v, digits), i + 1) for i, (f, v) in enumerate(rows)], "feature string, importance double, rank int")
 
 
@@ -247,13 +210,13 @@ def compare_base(train: DataFrame, test: DataFrame, trees: int = 400, rounds: in
         F.max(F.when(F.col("name") == "macro", F.col("f1"))).alias("f1_macro"), F.max(F.when(F.col("name") == "accuracy", F.col("f1"))).alias("accuracy"))
 
 
-def save(model: PipelineModel, path: str, metadata: DataFrame) -> None:
-    model.write().overwrite().save(f"{path}/model")
+def save(model: Forest, path: str, metadata: DataFrame) -> None:
+    model.save(metadata.sparkSession, f"{path}/model")
     metadata.write.mode("overwrite").parquet(f"{path}/metadata")
 
 
-def load(spark, path: str) -> tuple[PipelineModel, DataFrame]:
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/metadata")
+def load(spark, path: str) -> tuple[Forest, DataFrame]:
+    return Forest.load(spark, f"{path}/model"), spark.read.parquet(f"{path}/metadata")
 
 
 def scenario_grid(base: DataFrame, ranges: dict[str, tuple[float, float, float]]) -> DataFrame:
