@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paramo.llm.common import give_back, slices
@@ -76,6 +76,20 @@ TEMPLATES = {
         "This document is confidential and proprietary. Unauthorized copying is prohibited.",
     ],
 }
+# Short names by which public licences are given, per family.
+SHORT = {
+    "MIT": ["MIT License", "The MIT License (MIT)", "MIT licensed", "License: MIT"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License", "License: Apache-2.0"],
+    "BSD": ["BSD License", "BSD 3-Clause License", "New BSD License", "License: BSD-3-Clause"],
+    "GPL": ["GNU GPL v3", "GNU GPL v2", "GPL v3", "GNU General Public License v3.0", "License: GPL-3.0"],
+    "LGPL": ["GNU LGPL v2.1", "GNU LGPL v3", "LGPL v3", "GNU Lesser General Public License v3.0", "License: LGPL-3.0"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "MPL 2.0", "License: MPL-2.0"],
+    "CC-BY": ["CC BY 4.0", "Creative Commons Attribution 4.0", "License: CC-BY-4.0"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0", "License: CC-BY-SA-4.0"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0", "License: CC-BY-NC-4.0"],
+    "public domain": ["CC0 1.0 Universal", "Released into the public domain.", "License: CC0-1.0"],
+    "proprietary": ["All rights reserved.", "Copyright 2020. All rights reserved.", "Proprietary and confidential."],
+}
 #: Sentences about licences that give none, for the unknown class.
 NEAR_MISSES = [
     "Please read the license carefully before you install anything.",
@@ -90,8 +104,8 @@ NEAR_MISSES = [
     "The work was licensed to a publisher in 1998.",
 ]
 UNKNOWN = "unknown"
-#: Rows of the weight table; the loop of a word's n-grams.
-BUCKETS, GRAMS = 1 << 16, 3
+#: Longest n-gram of words, and paragraphs of the unknown class that must have an n-gram which no licence has, for a weight of its own.
+GRAMS, LEAST_UNKNOWN = 3, 3
 KNOWN_WORDS = 300_000
 STRIP = b".,;:!?()[]{}<>\"'`*#/\\|=-_"
 
@@ -100,10 +114,10 @@ def word_code(word: bytes) -> int:
     return zlib.crc32(word.strip(STRIP) or word) + 1
 
 
-def gram_buckets(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, paragraph) of the word 1- to 3-grams of paragraphs laid out one after another."""
+def gram_hashes(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, paragraph) of the distinct word 1- to 3-grams of paragraphs laid out one after another."""
     of = np.repeat(np.arange(len(sizes)), sizes)
-    buckets, owners = [], []
+    hashes, owners = [], []
     mixed = np.zeros(len(codes), np.uint64)
     for n in range(1, GRAMS + 1):
         k = len(codes) - n + 1
@@ -112,9 +126,13 @@ def gram_buckets(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
         mixed = (mixed[:k] ^ codes[n - 1:]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(31)
         inside = of[:k] == of[n - 1:]
-        buckets.append((mixed[inside] % np.uint64(BUCKETS)).astype(np.int64))
+        hashes.append(mixed[inside])
         owners.append(of[:k][inside])
-    return np.concatenate(buckets), np.concatenate(owners)
+    hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+    order = np.lexsort((hashes, owners))
+    hashes, owners = hashes[order], owners[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])) if len(hashes) else np.zeros(0, bool)
+    return hashes[new], owners[new]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -124,16 +142,27 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights per bucket and class, biases, class names (UNKNOWN first) and the calibrated temperature."""
+    """Weights of the known n-grams (``keys``, ascending; the last row is that of all others, 0) and biases per class, class names
+    (UNKNOWN first) and the calibrated temperature."""
 
+    keys: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     classes: list[str]
     temperature: float = 1.0
 
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, len(self.keys))
+
     def probabilities(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        buckets, owners = gram_buckets(codes, sizes)
-        sums = np.stack([np.bincount(owners, self.weights[buckets, k], len(sizes)) for k in range(len(self.classes))], axis=1)
+        """Of every paragraph; each n-gram that it has counts once, as in training."""
+        hashes, owners = gram_hashes(codes, sizes)
+        known = self.rows(hashes)
+        sums = np.zeros((len(sizes), len(self.classes)))
+        use = np.nonzero(known < len(self.keys))[0]
+        for k in range(len(self.classes)):
+            sums[:, k] = np.bincount(owners[use], self.weights[known[use], k], len(sizes))
         grams = np.maximum(np.bincount(owners, minlength=len(sizes)), 1)
         return softmax((sums / np.sqrt(grams)[:, None] + self.bias) / self.temperature)
 
@@ -171,18 +200,26 @@ def train(unknown: list[list[bytes]], epochs: int = 12, rate: float = 0.5, seed:
     One temperature divides all scores, chosen for the least log loss on the rows held back."""
     rng = np.random.default_rng(seed)
     classes = [UNKNOWN, *TEMPLATES]
+    unknown = [p for p in unknown if p]
     rows = [(p, 0) for p in unknown] + [(words(s), 0) for s in NEAR_MISSES for _ in range(10)]
-    rows += [(v, k) for k, name in enumerate(classes) if k for t in TEMPLATES[name] for v in variants(t, rng, 24)]
-    rows = [r for r in rows if r[0]]
+    # words of licences give none by themselves, however often
+    alone = {w for name in TEMPLATES for t in TEMPLATES[name] + SHORT[name] for w in words(t)}
+    rows += [([w] * n, 0) for w in sorted(alone) for n in (1, 2, 3) for _ in range(8)]
+    rows += [(v, k) for k, name in enumerate(classes) if k for t in TEMPLATES[name] + SHORT[name] for v in variants(t, rng, 24)]
     held = rng.random(len(rows)) < 0.25
-    grams = [np.unique(gram_buckets(*encoded([p]))[0]) for p, _ in rows]
-    model = Model(np.zeros((BUCKETS, len(classes)), np.float32), np.zeros(len(classes), np.float32), classes)
+    grams = [gram_hashes(*encoded([p]))[0] for p, _ in rows]
+    every, times = np.unique(np.concatenate(grams[:len(unknown)] + [np.zeros(0, np.uint64)]), return_counts=True)
+    keys = np.unique(np.concatenate([every[times >= LEAST_UNKNOWN], *grams[len(unknown):]]))
+    model = Model(keys, np.zeros((len(keys) + 1, len(classes)), np.float32), np.zeros(len(classes), np.float32), classes)
+    grams = [model.rows(g) for g in grams]
+    sizes = [len(g) for g in grams]
+    grams = [g[g < len(keys)] for g in grams]
     learn = np.nonzero(~held)[0]
     for e in range(epochs):
         lr = np.float32(rate * (1 - e / epochs))
         for i in rng.permutation(learn):
             ids = grams[i]
-            share = np.float32(1 / np.sqrt(len(ids)))
+            share = np.float32(1 / np.sqrt(sizes[i]))
             z = model.weights[ids].sum(axis=0) * share + model.bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -209,24 +246,27 @@ def similarity(paragraph: list[bytes], templates: list[set]) -> float:
     return max((len(own & t) / min(len(own), len(t)) for t in templates if own and t), default=0.0)
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, documents: int = 400, paragraphs: int = 3000, seed: int = 42) -> Model:
-    """A model whose unknown class is learnt from at most ``paragraphs`` paragraphs (up to 2,000 characters each) of
-    ``documents`` documents, those of the least hashes; both bounds are small enough for the driver."""
+def fit(df: DataFrame, id_col: str, text_col: str, documents: int = 400, paragraphs: int = 3000, most_bytes: int = 8 << 20, seed: int = 42) -> Model:
+    """A model whose unknown class is learnt from paragraphs of every length of ``documents`` documents, those of the least hashes: at most
+    ``paragraphs`` of them and ``most_bytes`` in all; these bounds are small enough for the driver."""
     ids = df.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(documents)
     lines = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select(
-        F.explode(F.split("text", "\n")).alias("line")).where("length(line) BETWEEN 12 AND 2000").distinct()
-    sample = [words(r["line"]) for r in lines.orderBy(F.xxhash64(F.lit(seed), "line"), "line").limit(paragraphs).collect()]
-    known = [pairs_of(words(t)) for ts in TEMPLATES.values() for t in ts]
-    return train([p for p in sample if similarity(p, known) < 0.5], seed=seed)
+        F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0).where(F.octet_length("line") <= most_bytes // 8)
+    few = lines.distinct().orderBy(F.xxhash64(F.lit(seed), "line"), "line").limit(paragraphs)
+    before = Window.orderBy(F.xxhash64(F.lit(seed), "line"), "line").rowsBetween(Window.unboundedPreceding, 0)  # of ``paragraphs`` rows at most
+    rows = few.withColumn("_sum", F.sum(F.octet_length("line").cast("long")).over(before)).where(F.col("_sum") <= most_bytes).select("line").collect()
+    known = [pairs_of(words(t)) for name in TEMPLATES for t in TEMPLATES[name] + SHORT[name]]
+    return train([p for p in (words(r["line"]) for r in rows) if similarity(p, known) < 0.5], seed=seed)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, alike: float = 0.6,
          model: Model | None = None) -> DataFrame:
     """(id_col, paragraph, family, probability, similarity, confirmed): one row per paragraph that gives a licence.
 
-    Paragraphs are the lines of a text (numbered from 0) that are not empty.  Word 1- to 3-grams
-    are hashed into a sparse logistic regression over licence families and an unknown class; a paragraph is
-    predicted if its best family has a calibrated probability of ``least`` or more.  ``similarity`` is the
+    Paragraphs are the lines of a text (numbered from 0) that are not empty.  The distinct word 1- to 3-grams of a paragraph
+    enter a sparse logistic regression over licence families and an unknown class; a paragraph is
+    predicted if its best family has a calibrated probability of ``least`` or more.  Of families that are equally likely
+    the first of TEMPLATES is taken.  ``similarity`` is the
     share of word pairs it has in common with the nearest template of the family, and ``confirmed`` says that this
     is ``alike`` or more.
 
@@ -240,7 +280,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
 
     def run(batches):
         m = held.value
-        templates = {k: [pairs_of(words(t)) for t in ts] for k, ts in TEMPLATES.items()}
+        templates = {k: [pairs_of(words(t)) for t in ts + SHORT[k]] for k, ts in TEMPLATES.items()}
         code: dict[bytes, int] = Codes()
         for batch in slices(batches, "text"):
             if len(code) > KNOWN_WORDS:

@@ -1,8 +1,10 @@
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from paramo.llm import caps, classifier, licences, rules
@@ -190,7 +192,7 @@ def test_licences_of_planted_lines(spark):
         want = {(i, k) for i, t in texts.items() for k, x in enumerate((t or "").split("\n")) if x.strip() == line}
         mine = got[got.family == family]
         assert want and want <= set(zip(mine.doc_id, mine.paragraph))
-    marks = re.compile("licen|copyright|GNU|CC BY", re.I)
+    marks = re.compile("licen|copyright|GNU|CC BY|rights reserved", re.I)
     assert all(marks.search(texts[r.doc_id].split("\n")[r.paragraph]) for r in got.itertuples())
 
 
@@ -210,3 +212,64 @@ def test_licences_of_templates_alone_on_a_line(spark):
     rows = spark.createDataFrame([(i, f"Thank you\n\n{t}\nhello\n-") for i, (_, t) in enumerate(lines)], "doc_id long, text string")
     got = licences.scan(rows, model=licences.fit(docs, "doc_id", "text")).where("confirmed").collect()
     assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == [(i, 2, f) for i, (f, _) in enumerate(lines)]
+
+
+def own_scores(model, line):
+    """The classes' probabilities by plain lists: every n-gram of words once, by its hash."""
+    w = [model_word(x) for x in line.lower().encode().split()]
+    grams = {tuple(w[i:i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+    hashes, at = set(), {int(k): i for i, k in enumerate(model.keys)}
+    for gram in grams:
+        mixed = 0
+        for code in gram:
+            mixed = (mixed ^ code) * 0x9E3779B97F4A7C15 % (1 << 64)
+            mixed ^= mixed >> 31
+        hashes.add(mixed)
+    z = [(sum(float(model.weights[at[h], k]) for h in hashes if h in at) / len(hashes) ** 0.5 + float(model.bias[k])) / model.temperature for k in range(len(model.classes))]
+    top = max(z)
+    e = [math.exp(x - top) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def model_word(word):
+    return zlib.crc32(word.strip(licences.STRIP) or word) + 1
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licences.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text")
+
+
+def test_licence_scores_equal_plain_lists(licence_model):
+    lines = [t for ts in licences.TEMPLATES.values() for t in ts] + ["one", "the " * 300, "Some plain words, some plain words", "...", "MIT MIT license MIT license"]
+    got = licence_model.probabilities(*licences.encoded([licences.words(x) for x in lines]))
+    for line, row in zip(lines, got):
+        assert row.tolist() == pytest.approx(own_scores(licence_model, line), abs=1e-9)
+
+
+def test_repeated_words_give_no_licence(spark, licence_model):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300").select("text").collect()
+    seen = sorted({w for r in texts for w in (r["text"] or "").split()})[::15][:1500] + ["the", "version", "license", "copyright", "Software", "Orre"]
+    rows = [(i, " ".join([w] * n)) for i, w in enumerate(seen) for n in (1, 7, 300)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=licence_model).collect()
+    assert found == []
+
+
+def test_short_notices_are_found_and_prose_is_not(spark, licence_model):
+    wanted = [("proprietary", "All rights reserved."), ("GPL", "GNU GPL v3"), ("MIT", "MIT License"), ("BSD", "# BSD License"), ("Apache-2.0", "Apache License 2.0"),
+              ("CC-BY-SA", "Licensed under CC BY-SA 4.0."), ("proprietary", "Copyright 2015 the authors. All rights reserved.")]
+    prose = ["The driving license expired in March and was renewed.", "He said that all of them had the right to be there.", "a", "Version two", "x " * 40_000 + "end",
+             "word of the " * 20_000]
+    rows = [(i, t) for i, (_, t) in enumerate(wanted)] + [(100 + i, t) for i, t in enumerate(prose)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=licence_model).collect()
+    assert sorted((r["doc_id"], r["family"], r["confirmed"]) for r in found) == [(i, f, True) for i, (f, _) in enumerate(wanted)]
+
+
+def test_every_notice_of_the_corpus_is_found_and_nothing_else(spark, licence_model):
+    """Unconfirmed rows too: no line without a word of licences is reported, and every line that reserves all rights is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {(r["doc_id"], r["paragraph"]) for r in licences.scan(docs, model=licence_model).collect()}
+    marks = re.compile("licen|copyright|GNU|CC BY|rights reserved|permission|proprietary|public domain", re.I)
+    lines = {(r["doc_id"], i): x for r in docs.select("doc_id", "text").collect() for i, x in enumerate((r["text"] or "").split("\n"))}
+    assert all(marks.search(lines[at]) for at in found)
+    assert {at for at, x in lines.items() if x.strip() == "All rights reserved."} <= found
