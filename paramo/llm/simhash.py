@@ -172,15 +172,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` with one document of each group of near-duplicates, the least id.
 
-    Rows that share an id are one document: one of them stays.  A row without an id cannot be told
-    apart from others; it stays unless a document with an id is in its group.
+    Rows that share an id are one document, which joins the groups of all its texts; where it stays, its row with
+    the least text does.  A row without an id cannot be told apart from others; it stays unless a document with an id is in its group.
     """
     found = cut_lineage(near_duplicates(docs, id_col, text_col, **how))
-    ids = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(
-        F.min("component_id").alias("_group"), F.count("*").alias("_rows")).where(F.col("_group") == F.col(id_col))
+    named = found.where(F.col(id_col).isNotNull())
+    ids = named.groupBy(id_col).agg(F.min("component_id").alias("_group"), F.max("component_id").alias("_last"), F.count("*").alias("_rows"))
+    shared = cut_lineage(ids.where("_group <> _last").select(id_col, "_group"))
+    if not shared.isEmpty():
+        joined = components(named.join(shared, id_col).select(F.col("_group").alias("u"), F.col("component_id").alias("v")))
+        ids = ids.join(joined, F.col("_group") == F.col("node"), "left").withColumn("_group", F.coalesce("component", "_group"))
+    ids = ids.where(F.col("_group") == F.col(id_col))
     single = docs.join(ids.where("_rows = 1").select(id_col), id_col, "left_semi")
     several = docs.join(ids.where("_rows > 1").select(id_col), id_col, "left_semi")
-    out = single.unionByName(several.dropDuplicates([id_col])) if not ids.where("_rows > 1").isEmpty() else single
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    least = several.select(F.col(id_col).alias("_id_"), row.alias("_row_"), text.alias("_text_")).groupBy("_id_").agg(F.min_by("_row_", "_text_").alias("_row_"))
+    out = single.unionByName(least.select("_row_.*")) if not ids.where("_rows > 1").isEmpty() else single
     if not docs.where(F.col(id_col).isNull()).isEmpty():
         # fingerprints of groups that have no id at all
         alone = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()

@@ -97,6 +97,15 @@ def test_simhash_rows_without_ids_and_repeats(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.keep_first(docs(spark, [])).count() == 0
 
 
+def test_groups_that_share_an_id_leave_one_document(spark):
+    a, b, c = ("the first text of all of them " * 3, "a second one that says something else " * 3, "and the third, of its own " * 3)
+    rows = [(5, a), (2, a), (5, b), (7, b), (9, c), (9, c), (11, "zz " + c), (11, "aa " + c * 9)]
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_first(docs(spark, rows)).collect())
+    # 2, 5 and 7 are one group by the two texts of 5
+    assert [i for i, _ in kept if i < 9] == [2] and kept[0] == (2, a) and (9, c) in kept and len([1 for i, _ in kept if i == 9]) == 1
+    assert [t for i, t in kept if i == 11] in ([], ["aa " + c * 9])
+
+
 # --- sentence spans ------------------------------------------------------------------
 
 
