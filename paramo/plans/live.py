@@ -40,17 +40,16 @@ SELECT CAST(s AS DATE) AS window_start, variable, avg(value) AS mean, max(value)
 FROM w GROUP BY 1, 2""", "b_sensor")
 def stream_climate_alerts(i: Inputs):
     out = shared_path(i.spark, "alerts")
-    st.upsert(st.climate_alerts(observations(event_stream(i))), out, shared_path(i.spark, "offsets")).awaitTermination()
+    st.upsert(st.climate_alerts(observations(event_stream(i))), out, shared_path(i.spark, "offsets"), keys=["window_start", "variable"]).awaitTermination()
     rows = st.latest(i.spark, out, ["window_start", "variable"])
     return rows.withColumn("window_start", F.col("window_start").cast("date")).drop("window_end")
 
 
-@query("stream_zscore_flags", """WITH s AS (SELECT variable, avg(value) AS m, greatest(stddev_samp(value), 1e-6) AS d FROM b_sensor WHERE obs_date < DATE '2024-01-15' AND variable <> 'presion_hpa' GROUP BY 1)
+@query("stream_zscore_flags", """WITH s AS (SELECT variable, avg(value) AS m, greatest(stddev_samp(value), 1e-6) AS d FROM b_sensor WHERE obs_date < DATE '2024-01-15' GROUP BY 1)
 SELECT obs_id AS event_id, variable, value, (value - m) / d AS z, CASE WHEN abs((value - m) / d) >= 3 THEN 'CRÍTICA' WHEN abs((value - m) / d) >= 2.5 THEN 'ALTA'
  WHEN abs((value - m) / d) >= 2 THEN 'MODERADA' WHEN m IS NOT NULL THEN 'NORMAL' END AS severity FROM b_sensor LEFT JOIN s USING (variable)""", "b_sensor")
 def stream_zscore_flags(i: Inputs):
-    # one variable has no statistics: its observations pass unrated
-    past = observations(i("events")).where("ts < timestamp_ntz '2024-01-15' AND variable <> 'presion_hpa'")
+    past = observations(i("events")).where("ts < timestamp_ntz '2024-01-15'")
     moments = past.groupBy(F.col("variable").alias("feature")).agg(F.avg("value").alias("mean"), F.greatest(F.stddev_samp("value"), F.lit(1e-6)).alias("std"))
     out = shared_path(i.spark, "flags")
     flags = st.zscore_flags(observations(event_stream(i)), cut_lineage(moments)).select("event_id", "variable", "value", "z", "severity")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +68,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours on whatever file system it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def staged(df: DataFrame):
+    """Like ``materialise``, for a table that is needed within a block only: a load that runs for ever leaves nothing behind."""
+    path = shared_path(df.sparkSession, "stage")
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove(df.sparkSession, path)
+
+
 def fan_out(spark: SparkSession) -> int:
     """How many pieces a large ordered set is cut into: the session's shuffle width."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paramo.schemas import Table
-from paramo.session import materialise
+from paramo.session import materialise, staged
 
 
 def all_filled(columns: Sequence[str]) -> Column:
@@ -78,8 +78,8 @@ def insert_once(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence
     can run again after a failure and leaves the table as if it had run once.
     """
     others = spark.read.parquet(path).where(F.col(LOAD).cast("string") != load_id).select(*batch.columns)
-    fresh = materialise(unseen(others, materialise(batch), keys, order))
-    fresh.write.mode("overwrite").parquet(f"{path}/{LOAD}={load_id}")
+    with staged(batch) as rows, staged(unseen(others, rows, keys, order)) as fresh:
+        fresh.write.mode("overwrite").parquet(f"{path}/{LOAD}={load_id}")
 
 
 def quality_report(df: DataFrame, table: Table) -> DataFrame:

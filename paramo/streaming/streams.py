@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paramo import fixed_values as fv
+from paramo.session import remove
 from paramo.sources import loading
 
 
@@ -47,13 +48,14 @@ def insert_ignore(stream: DataFrame, table: str, keys: Sequence[str], order: Seq
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def climate_alerts(obs: DataFrame, ts: str = "ts", delay: str = "1 day", width: str = "7 days", slide: str = "1 day",
+def climate_alerts(obs: DataFrame, ts: str = "ts", delay: str | None = None, width: str = "7 days", slide: str = "1 day",
                    by: Sequence[str] = ()) -> DataFrame:
     """Sliding mean, maximum and count per variable with the drought, flood and heat rules.
 
-    State is one partial aggregate per open window, variable and group.
+    State is one partial aggregate per window, variable and group.  Without a ``delay`` every window stays open and no row is too
+    late; with one, windows close and rows later than that are dropped.
     """
-    rows = event_time(obs, ts, delay).groupBy(F.window(ts, width, slide), "variable", *by).agg(
+    rows = (event_time(obs, ts, delay) if delay else obs.withColumn(ts, F.col(ts).cast("timestamp"))).groupBy(F.window(ts, width, slide), "variable", *by).agg(
         F.avg("value").alias("mean"), F.max("value").alias("top"), F.count("*").alias("n"))
     rain, temp = F.col("variable") == fv.RAIN, F.col("variable") == fv.TEMP
     alert = (F.when(rain & (F.col("mean") < fv.RAIN_LOW_MEAN) & (F.col("top") < fv.RAIN_LOW_MAX), "sequia")
@@ -82,14 +84,36 @@ def to_files(stream: DataFrame, path: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def upsert(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+def write_version(path: str, batch: DataFrame, number: int, keys: Sequence[str], every: int) -> None:
+    """Write a micro-batch as its version, and before every ``every``-th one make one version of all earlier ones.
+
+    Those are of batches that are done and never run again.  The merged version has a name of its own, between the last
+    it holds and the next, and is complete before the others go; a batch that runs again after a crash finds it complete, or
+    all that it is made of.  So every group's newest row is there at any time."""
+    spark = batch.sparkSession
+    if keys and number and number % every == 0:
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = jvm_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(jvm_path(path))] if files.exists(jvm_path(path)) else []
+        merged = f"version={number - 0.5}"
+        earlier = [n for n in names if n.startswith("version=") and float(n.split("=")[1]) < number - 0.5]
+        if earlier and not files.exists(jvm_path(f"{path}/{merged}/_SUCCESS")):
+            rows = spark.read.option("basePath", path).parquet(*[f"{path}/{n}" for n in earlier])
+            newest(rows, keys).write.mode("overwrite").parquet(f"{path}/{merged}")
+        for n in earlier:
+            remove(spark, f"{path}/{n}")
+    batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+
+def upsert(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, keys: Sequence[str] = (), every: int = 20):
     """Keep every group of a streaming aggregate up to date, open windows included.
 
     Each micro-batch writes the groups it changed to a folder of its own, which a batch that runs again
-    replaces; ``latest`` reads the newest version of each group.
+    replaces; ``latest`` reads the newest version of each group.  With the ``keys`` of a group, all versions are merged into one
+    every ``every`` batches, so there are never more than that many.
     """
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+        write_version(path, batch, number, keys, every)
 
     writer = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -97,6 +121,9 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, available_now: bool =
 
 def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The newest version of each group that ``upsert`` has written."""
-    rows = spark.read.parquet(path)
+    return newest(spark.read.parquet(path), keys)
+
+
+def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in (*keys, "version")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_row")).select(*keys, "_row.*")

@@ -47,7 +47,7 @@ def test_climate_windows_are_current_before_they_close(spark):
     land(spark, src, [("s", at(1), 1.0, fv.RAIN), ("s", at(2), 3.0, fv.RAIN)], [("s", at(20), 200.0, fv.RAIN)],
          [("s", at(21), 200.0, fv.RAIN)], [("s", at(2), 9.0, fv.RAIN), ("s", at(25), 1.0, fv.TEMP)])
     stream = st.file_stream(spark, src, spark.createDataFrame([], SCHEMA).schema, files_per_trigger=1)
-    st.upsert(st.climate_alerts(stream), out, shared_path(spark, "offsets")).awaitTermination()
+    st.upsert(st.climate_alerts(stream, delay="1 day"), out, shared_path(spark, "offsets")).awaitTermination()
     rows = st.latest(spark, out, ["window_start", "variable"]).collect()
     first = [r for r in rows if r["window_start"] == dt.datetime(2024, 1, 1)]
     assert first[0]["n"] == 2 and first[0]["mean"] == 2.0 and first[0]["alert"] == "sequia"
@@ -66,3 +66,46 @@ def test_zscore_flags(spark):
     st.to_files(st.zscore_flags(stream, stats), out, shared_path(spark, "offsets")).awaitTermination()
     found = {r["variable"] + str(r["value"]): (r["z"], r["severity"]) for r in spark.read.parquet(out).collect()}
     assert found == {fv.TEMP + "10.0": (0.0, "NORMAL"), fv.TEMP + "16.0": (3.0, "CRÍTICA"), "other1.0": (None, None)}
+
+
+def test_versions_are_merged_and_nothing_is_lost(spark, tmp_path):
+    path, want = str(tmp_path / "v"), {}
+    for number in range(23):
+        rows = [(k, number * 100 + k) for k in {number % 5, number % 7, 40 + number}]
+        want.update(rows)
+        batch = spark.createDataFrame(rows, "k int, v int")
+        st.write_version(path, batch, number, ["k"], 5)
+        if number in (10, 12):  # a batch that runs again
+            st.write_version(path, batch, number, ["k"], 5)
+        assert sum(p.name.startswith("version=") for p in (tmp_path / "v").iterdir()) <= 6
+    assert {(r["k"], r["v"]) for r in st.latest(spark, path, ["k"]).collect()} == set(want.items())
+    # after a crash between the merged version and the end of the clearing, the merged one is not made anew from what is left
+    batch = spark.createDataFrame([(99, 1)], "k int, v int")
+    st.write_version(path, batch, 25, ["k"], 5)
+    spark.createDataFrame([(0, -1)], "k int, v int").write.parquet(f"{path}/version=23")
+    st.write_version(path, batch, 25, ["k"], 5)
+    assert {(r["k"], r["v"]) for r in st.latest(spark, path, ["k"]).collect()} == set(want.items()) | {(99, 1)}
+
+
+def test_loads_leave_no_staged_tables(spark, tmp_path):
+    from pathlib import Path
+
+    from paramo.session import run_root
+    from paramo.sources import loading
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, 2), (1, 3)], "k int, o int")
+    loading.create(spark, path, rows.schema)
+    before = set(Path(run_root(spark).removeprefix("file:")).glob("stage-*"))
+    for n in range(3):
+        loading.insert_once(spark, path, rows.withColumn("k", rows.k + n), ["k"], ["o"], f"l{n}")
+    assert sorted(map(tuple, loading.loaded(spark, path).collect())) == [(1, 2), (2, 2), (3, 2)]
+    assert set(Path(run_root(spark).removeprefix("file:")).glob("stage-*")) == before
+
+
+def test_climate_windows_take_late_rows_without_a_delay(spark):
+    src, out = shared_path(spark, "src"), shared_path(spark, "out")
+    land(spark, src, [("s", at(1), 1.0, fv.RAIN), ("s", at(2), 3.0, fv.RAIN)], [("s", at(21), 200.0, fv.RAIN)], [("s", at(2), 9.0, fv.RAIN)])
+    stream = st.file_stream(spark, src, spark.createDataFrame([], SCHEMA).schema, files_per_trigger=1)
+    st.upsert(st.climate_alerts(stream), out, shared_path(spark, "offsets"), keys=["window_start", "variable"], every=2).awaitTermination()
+    first = [r for r in st.latest(spark, out, ["window_start", "variable"]).collect() if r["window_start"] == dt.datetime(2024, 1, 1)]
+    assert [(r["n"], r["top"]) for r in first] == [(3, 9.0)]
