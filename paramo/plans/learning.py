@@ -16,6 +16,7 @@ from paramo.operators import forecast as fc
 from paramo.operators import models as mo
 from paramo.operators import rules as ru
 from paramo.operators import score as sc
+from paramo.operators import tree_attribution as ta
 from paramo.plans.catalog import Inputs, query
 from paramo.plans.features import CLASS, LABEL, MATRIX, SCORED, SITE_SCORED, matrix, score_sql
 from paramo.plans.features import USES as MATRIX_USES
@@ -255,9 +256,7 @@ def xai_shapley_rows(i: Inputs):
 @query("xai_shapley_model")
 def xai_shapley_model(i: Inputs):
     train, test = split(i)
-    model = mo.fit_forest(train)
-    high = lambda df: mo.forest_proba(model, df).withColumn("_alta", F.col("proba")[2])
-    return at.model_shapley(test, at.summary(train), "row_id", high, "_alta")
+    return ta.tree_shapley(test, train, "row_id", mo.fit_forest(train), 2)
 
 
 @query("xai_global_importance", f"WITH {SHAP} SELECT feature, avg(abs(contribution)) AS importance FROM shap GROUP BY 1", MATRIX_USES)

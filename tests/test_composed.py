@@ -14,6 +14,7 @@ from paramo.operators import cluster as cl
 from paramo.operators import forecast as fc
 from paramo.operators import models as mo
 from paramo.operators import score as sc
+from paramo.operators import tree_attribution as ta
 
 COLUMNS = "id int, upra_indice_total double, upra_var_mensual_pct double, ideam_precipitacion_anomalia double, ideam_temperatura_anomalia double, mes int, anio int"
 
@@ -116,12 +117,17 @@ def test_registered_ensembles_fit_at_the_defaults(name, monkeypatch):
     assert asked == {}
 
 
-def test_registered_model_attribution_takes_the_default_orders(monkeypatch):
-    from paramo.plans import learning
-    asked = {}
-    monkeypatch.setattr(learning, "split", lambda i: (None, None))
-    monkeypatch.setattr(learning.mo, "fit_forest", lambda train: None)
-    monkeypatch.setattr(learning.at, "summary", lambda train: None)
-    monkeypatch.setattr(learning.at, "model_shapley", lambda *a, **how: asked.update(how, given=len(a)))
-    learning.xai_shapley_model(None)
-    assert asked == {"given": 5}
+def test_model_attribution_agrees_with_sampled_orders(spark):
+    # two features: two orders are all there are, so sampling is exact where both are drawn
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 5, (80, 2)).astype(float)
+    df = spark.createDataFrame([(i, *r, int(r[0] + r[1] > 4)) for i, r in enumerate(x.tolist())], "id int, a double, b double, class_id int")
+    model = mo.fit_forest(df, ["a", "b"], trees=5)
+    high = lambda d: mo.forest_proba(model, d).withColumn("_p", F.col("proba")[1])
+    rows = df.where("id < 6")
+    orders = [at.model_shapley(rows, df, "id", high, "_p", ["a", "b"], permutations=1, seed=s).toPandas() for s in range(6)]
+    exact = ta.tree_shapley(rows, df, "id", model, 1).toPandas().sort_values(["id", "feature"]).contribution.to_numpy()
+    seen = [o.sort_values(["id", "feature"]).contribution.to_numpy() for o in orders]
+    first = seen[0]
+    other = next(o for o in seen if not np.allclose(o, first))
+    assert np.allclose((first + other) / 2, exact, atol=1e-9)
