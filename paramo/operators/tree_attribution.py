@@ -118,6 +118,12 @@ def table(tree: Paths, share: np.ndarray, n_features: int) -> tuple[np.ndarray,
     return np.ascontiguousarray(out.T), first
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores is dealt out: a row is far less than the work on it."""
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+
+
 def background_masks(background: DataFrame, model: Forest | Boosting, trees: list[Paths], masks: int) -> np.ndarray:
     """The share of the background that has each mask of each leaf.
 
@@ -144,7 +150,8 @@ def background_masks(background: DataFrame, model: Forest | Boosting, trees: lis
                 take = some[at:at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(take), pa.array(total[take])], names=["mask", "w"])
 
-    given = background.select(filled(model.columns).alias("x"), weight.alias("w")).where("w > 0").mapInArrow(run, "mask long, w double")
+    given = background.select(filled(model.columns).alias("x"), weight.alias("w")).where("w > 0")
+    given = spread(given).mapInArrow(run, "mask long, w double")
     sums = given.groupBy("mask").agg(F.sum("w").alias("w")).toPandas()  # at most ``masks`` rows
     out = np.zeros(masks)
     out[sums["mask"].to_numpy(np.int64)] = sums["w"].to_numpy(float)
@@ -185,7 +192,7 @@ def tree_shapley(rows: DataFrame, background: DataFrame, key: str, model: Forest
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, n, dtype=np.int32)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("_k"), lists], names=["_k", "_c"])
 
-    asked = rows.select(F.col(key).alias("_k"), filled(model.columns).alias("_x"))
+    asked = spread(rows.select(F.col(key).alias("_k"), filled(model.columns).alias("_x")))
     schema = asked.select("_k", F.array(F.lit(0.0)).alias("_c")).schema
     found = asked.mapInArrow(run, schema)
     names = F.array(*[F.struct(F.lit(c).alias("feature"), F.get("_c", F.lit(j)).alias("contribution")) for j, c in enumerate(model.columns)])
