@@ -381,9 +381,10 @@ def pipeline(df: DataFrame, kinds: Mapping[str, str] | str = "log", horizon: int
     """The whole path for many series: (key, month, part, value, low, high, model, direction, changes, intensity, reading).
 
     Series are made regular, transformed by their kind (one for all, or by key, 'none' where not listed), fitted by
-    Holt-Winters with simulated bounds and by seasonal ARIMA, and the two are averaged.  A series that
+    Holt-Winters with simulated bounds and by seasonal ARIMA of greatest likelihood, and the two are averaged.  A series that
     neither can fit, being too short, say, gets the linear trend.
     """
+    from paramo.operators import arima  # which builds on this module
     named = df.select(F.col(key).alias("series_key"), F.col(month).alias("month"), F.col(value).cast("double").alias("y"))
     rows = materialise(named)
     regular = materialise(regularise(rows))
@@ -399,9 +400,9 @@ def pipeline(df: DataFrame, kinds: Mapping[str, str] | str = "log", horizon: int
         fits = cut_lineage(holt_winters(own, kind=kind))
         bands = holt_winters_intervals(fits, horizon).select("series_key", "month", "low", "high")
         hw = holt_winters_forecast(fits, horizon).select("series_key", "month", "hw").join(bands, ["series_key", "month"])
-        arima = sarima_forecast(sarima_fit(own, kind=kind), horizon).drop("step")
+        ar = arima.forecast(arima.fit(own, kind=kind), horizon).drop("step")
         trend = linear_trend(rows.where(mine), horizon, kind=kind).drop("step")
-        parts.append(ensemble(hw, arima, trend))
+        parts.append(ensemble(hw, ar, trend))
     forecast = cut_lineage(reduce(DataFrame.unionByName, parts))
     shown = output(rows, forecast.drop("model")).join(forecast.select("series_key", "month", "model"), ["series_key", "month"], "left")
     up = F.col("change_last_pct") > 0

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from paramo import fixed_values as fv
+from paramo.operators import arima
 from paramo.operators import forecast as fc
 from paramo.plans.catalog import Inputs, query
 from paramo.plans.features import MATRIX, lerp, matrix
@@ -70,6 +71,11 @@ def fc_holt_winters_grid(i: Inputs):
 
 @query("fc_sarima")
 def fc_sarima(i: Inputs):
+    return arima.forecast(arima.fit(regular(i), kind="log"))
+
+
+@query("fc_sarima_two_stage")
+def fc_sarima_two_stage(i: Inputs):
     return fc.sarima_forecast(fc.sarima_fit(regular(i), kind="log"))
 
 
