@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paramo.functions.search import minimise
 from paramo.operators.forecast import SEASON, inverse, series_arrays
 
 # (rank, seasonal, which of phi, season phi, theta, season theta are estimated), tried in this order
@@ -25,10 +26,8 @@ ORDERS = [
 ]
 #: Coefficients stay below this in size, so that a model is stationary and invertible.
 LIMIT = 0.99
-#: Series worked on side by side, steps of the search, and starting values of the autoregressive and moving-average parts.
-SIDE_BY_SIDE, STEPS, STARTS = 256, 60, ((0.0, 0.5), (0.0, -0.6))
-#: Halvings of a step that a line search tries together.
-HALVINGS = 10
+#: Series worked on side by side, and starting values of the autoregressive and moving-average parts.
+SIDE_BY_SIDE, STARTS = 256, ((0.0, 0.5), (0.0, -0.6))
 
 
 def polynomials(params: np.ndarray, seasonal: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +95,7 @@ def kalman(w: np.ndarray, n: np.ndarray, params: np.ndarray, seasonal: bool):
 def estimate(w: np.ndarray, n: np.ndarray, free: tuple[int, ...], seasonal: bool) -> np.ndarray:
     """The likeliest parameters of each row, those not ``free`` being 0.
 
-    A quasi-Newton search from the best of all STARTS, in the hyperbolic tangent of the parameters; slopes are central differences
-    and a step is taken only where the likelihood grows, so it is never below that of any start.  Rows stop on their own.
+    A search from the best of all STARTS, in the hyperbolic tangent of the parameters; the likelihood is never below that of any start.
     """
     p, s = len(free), len(w)
 
@@ -113,51 +111,8 @@ def estimate(w: np.ndarray, n: np.ndarray, free: tuple[int, ...], seasonal: bool
         return (-found / np.maximum(n[at], 1)).reshape(u.shape[:2])
 
     grid = np.arctanh(np.array(list(itertools.product(*[STARTS[0] if k < 2 else STARTS[1] for k in free]))) / LIMIT)
-    rows = np.arange(s)
-    first = cost(rows, np.broadcast_to(grid, (s, *grid.shape)))
-    u, f = grid[first.argmin(axis=1)], first.min(axis=1)
-    todo = rows[np.isfinite(f)]
-    shape = np.broadcast_to(np.eye(p), (s, p, p)).copy()
-    h = 1e-4
-    probes = np.concatenate([h * np.eye(p), -h * np.eye(p)])
-
-    def slope(at: np.ndarray) -> np.ndarray:
-        c = cost(at, u[at][:, None, :] + probes)
-        return (c[:, :p] - c[:, p:]) / (2 * h)
-
-    g = np.zeros((s, p))
-    g[todo] = slope(todo)
-    plain = np.ones(s, bool)  # the next step follows the slope itself
-    for _ in range(STEPS):
-        if not len(todo):
-            break
-        way = -np.einsum("ijk,ik->ij", shape[todo], g[todo])
-        back = (way * g[todo]).sum(axis=1) >= 0
-        way[back] = -g[todo][back]
-        way *= np.minimum(1, 1.5 / np.maximum(np.abs(way).max(axis=1), 1e-300))[:, None]
-        trial = u[todo][:, None, :] + way[:, None, :] * 0.5 ** np.arange(HALVINGS)[None, :, None]
-        c = cost(todo, trial)
-        best = c.argmin(axis=1)
-        better = c[np.arange(len(todo)), best] < f[todo] - 1e-11
-        stuck = todo[~better]
-        shape[stuck] = np.eye(p)
-        stop = stuck[plain[stuck]]
-        plain[stuck] = True
-        moved = todo[better]
-        new = trial[np.nonzero(better)[0], best[better]]
-        step, old = new - u[moved], g[moved]
-        u[moved], f[moved] = new, c[better, best[better]]
-        if len(moved):
-            plain[moved] = False
-            g[moved] = slope(moved)
-            change = g[moved] - old
-            curve = (step * change).sum(axis=1)
-            fit = curve > 1e-14
-            a, y, rho = step[fit], change[fit], 1 / curve[fit]
-            left = np.eye(p) - rho[:, None, None] * a[:, :, None] * y[:, None, :]
-            shape[moved[fit]] = left @ shape[moved[fit]] @ left.transpose(0, 2, 1) + rho[:, None, None] * a[:, :, None] * a[:, None, :]
-        todo = np.setdiff1d(todo, stop)
-        todo = todo[np.abs(g[todo]).max(axis=1, initial=0) > 1e-7]
+    first = cost(np.arange(s), np.broadcast_to(grid, (s, *grid.shape)))
+    u, f = minimise(cost, grid[first.argmin(axis=1)])
     out = given(u)
     out[~np.isfinite(f)] = 0
     return out

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from paramo import fixed_values as fv
 from paramo.functions.linear import cross_products, least_squares, solve, square
 from paramo.functions.parsing import rounded
+from paramo.functions.search import minimise
 from paramo.operators.features import interpolate
 from paramo.session import cut_lineage, materialise
 
@@ -110,11 +111,65 @@ def holt_winters_fit(df: DataFrame, m: int = SEASON, keep_fitted: bool = True) -
 GRID = [(a, b, g, p) for a in (0.1, 0.3, 0.5, 0.8) for b in (0.02, 0.1, 0.3) for g in (0.05, 0.2, 0.5) for p in (0.85, 0.95, 0.98)]
 
 
+#: Least and greatest alpha, beta, gamma and phi of a search; series worked on side by side.
+BOUNDS = np.array([(0.001, 0.999), (0.001, 0.999), (0.001, 0.999), (0.8, 0.98)])
+SIDE_BY_SIDE = 512
+
+
+def smoothing_error(y: np.ndarray, n: np.ndarray, mode: np.ndarray, level: np.ndarray, trend: np.ndarray, season: np.ndarray, params: np.ndarray) -> np.ndarray:
+    """The squared error of the recursion of many series side by side; a row of ``y`` has ``n`` values, then anything."""
+    a, b, g, phi = params.T
+    mul, g = mode == "mul", np.where(mode == "none", 0, g)
+    season, total, m = season.copy(), np.zeros(len(y)), season.shape[1]
+    with np.errstate(all="ignore"):
+        for t in range(int(n.max(initial=0))):
+            live, now, seen = t < n, season[:, t % m], y[:, t]
+            base = level + phi * trend
+            total += np.where(live, (seen - np.where(mul, base * now, base + now)) ** 2, 0)
+            fresh_level = a * np.where(mul, seen / now, seen - now) + (1 - a) * base
+            trend = np.where(live, b * (fresh_level - level) + (1 - b) * phi * trend, trend)
+            season[:, t % m] = np.where(live, g * np.where(mul, seen / base, seen - base) + (1 - g) * now, now)
+            level = np.where(live, fresh_level, level)
+    return total
+
+
+def _refined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows with the parameters of least squared error found from those they have."""
+    n = pdf["n"].to_numpy()
+    y = np.zeros((len(pdf), n.max(initial=1)))
+    for k, v in enumerate(pdf["y"]):
+        y[k, :n[k]] = v
+    season, mode = np.stack([np.asarray(v, float) for v in pdf["s0"]]), pdf["mode"].to_numpy()
+    level, trend = pdf["l0"].to_numpy(float), pdf["b0"].to_numpy(float)
+    names = ["alpha", "beta", "gamma", "phi"]
+    low, wide = BOUNDS[:, 0], BOUNDS[:, 1] - BOUNDS[:, 0]
+    start = pdf[names].to_numpy(float)
+    inside = np.clip((start - low) / wide, 1e-6, 1 - 1e-6)
+
+    def given(u: np.ndarray) -> np.ndarray:
+        return low + wide / (1 + np.exp(-np.clip(u, -30, 30)))
+
+    def errors(rows: np.ndarray, params: np.ndarray) -> np.ndarray:
+        return smoothing_error(y[rows], n[rows], mode[rows], level[rows], trend[rows], season[rows], params)
+
+    before = errors(np.arange(len(pdf)), start)
+    unit = np.where(before > 0, before, 1.0)  # relative costs, whatever the scale of a series
+
+    def cost(rows: np.ndarray, u: np.ndarray) -> np.ndarray:
+        at = np.repeat(rows, u.shape[1])
+        return (errors(at, given(u.reshape(-1, 4))) / unit[at]).reshape(u.shape[:2])
+
+    u, f = minimise(cost, np.log(inside / (1 - inside)))
+    better = (f * unit < before)[:, None]
+    return pdf.assign(**dict(zip(names, np.where(better, given(u), start).T)))
+
+
 def holt_winters(df: DataFrame, key: str = "series_key", kind: str = "none", m: int = SEASON,
-                 grid: Sequence[tuple[float, float, float, float]] = tuple(GRID), remove_bias: bool = True) -> DataFrame:
+                 grid: Sequence[tuple[float, float, float, float]] = tuple(GRID), remove_bias: bool = True, search: bool = False) -> DataFrame:
     """Fit every series (regular months) with the parameters of the grid that err least.
 
-    The grid is unfolded per series, scored, and only the best parameters run again to keep fitted values.
+    The grid is unfolded per series, scored, and only the best parameters run again to keep fitted values.  With ``search``
+    they are first improved by a search within BOUNDS; the squared error is never above that of the grid.
     """
     base = holt_winters_start(series_arrays(df, key, kind), m)
     choices = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("alpha", "beta", "gamma", "phi"), p)]) for p in grid])
@@ -124,7 +179,15 @@ def holt_winters(df: DataFrame, key: str = "series_key", kind: str = "none", m:
         base = base.join(best, key)
     else:
         base = base.withColumn("_g", choices[0])
-    out = holt_winters_fit(base.select("*", "_g.*").drop("_g"), m)
+    base = base.select("*", "_g.*").drop("_g")
+    if search:
+        def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for at in range(0, len(pdf), SIDE_BY_SIDE):
+                    yield _refined(pdf.iloc[at:at + SIDE_BY_SIDE])
+
+        base = base.mapInPandas(refine, base.schema)
+    out = holt_winters_fit(base, m)
     residuals = F.zip_with("y", F.col("fit")["f"], lambda y, f: y - f)
     out = out.withColumn("residuals", residuals)
     return out.withColumn("bias", _mean(F.col("residuals")) if remove_bias else F.lit(0.0))
@@ -397,7 +460,7 @@ def pipeline(df: DataFrame, kinds: Mapping[str, str] | str = "log", horizon: int
     parts = []
     for kind, mine in groups.items():
         own = regular.where(mine)
-        fits = cut_lineage(holt_winters(own, kind=kind))
+        fits = cut_lineage(holt_winters(own, kind=kind, search=True))
         bands = holt_winters_intervals(fits, horizon).select("series_key", "month", "low", "high")
         hw = holt_winters_forecast(fits, horizon).select("series_key", "month", "hw").join(bands, ["series_key", "month"])
         ar = arima.forecast(arima.fit(own, kind=kind), horizon).drop("step")

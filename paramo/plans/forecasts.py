@@ -69,6 +69,11 @@ def fc_holt_winters_grid(i: Inputs):
     return fc.holt_winters_forecast(fc.holt_winters(regular(i), kind="log"))
 
 
+@query("fc_holt_winters_search")
+def fc_holt_winters_search(i: Inputs):
+    return fc.holt_winters_forecast(fc.holt_winters(regular(i), kind="log", search=True))
+
+
 @query("fc_sarima")
 def fc_sarima(i: Inputs):
     return arima.forecast(arima.fit(regular(i), kind="log"))
@@ -94,7 +99,7 @@ def fc_stationarity_no_lags(i: Inputs):
 
 @query("fc_intervals")
 def fc_intervals(i: Inputs):
-    return fc.holt_winters_intervals(fc.holt_winters(regular(i), kind="log", grid=[FIXED]))
+    return fc.holt_winters_intervals(fc.holt_winters(regular(i), kind="log", search=True))
 
 
 @query("fc_pipeline")

@@ -139,7 +139,7 @@ def ano_summary(i: Inputs):
 
 @query("ano_pipeline")
 def ano_pipeline(i: Inputs):
-    return an.ranked(an.detected(i("b_region_month"), "row_id"), "row_id", None).select(
+    return an.ranked(an.detected(i("b_site_month"), "row_id"), "row_id", None).select(
         "row_id", "combined", "if_score", "lof", "kind", "severity", "max_z", "max_feature", "description")
 
 
