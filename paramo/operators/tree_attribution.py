@@ -152,9 +152,9 @@ def background_masks(background: DataFrame, model: Forest | Boosting, trees: lis
 
     given = background.select(filled(model.columns).alias("x"), weight.alias("w")).where("w > 0")
     given = spread(given).mapInArrow(run, "mask long, w double")
-    sums = given.groupBy("mask").agg(F.sum("w").alias("w")).toPandas()  # at most ``masks`` rows
+    sums = given.groupBy("mask").agg(F.sum("w").alias("w")).toArrow()  # at most ``masks`` rows
     out = np.zeros(masks)
-    out[sums["mask"].to_numpy(np.int64)] = sums["w"].to_numpy(float)
+    out[sums["mask"].to_numpy()] = sums["w"].to_numpy()
     first = trees[0]
     total = out[first.start[0]:first.start[0] + (1 << len(first.features[0]))].sum()  # every row has one mask of a leaf
     if not total > 0:
