@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paramo import fixed_values as fv
@@ -19,34 +20,184 @@ from paramo.functions.ranks import exact_quantiles, long_form, running_totals
 from paramo.session import cut_lineage, materialise
 
 EPS, MIN_POINTS = 0.8, 3
-#: Fits that run side by side; each holds its plans in the driver.
-AT_ONCE = 8
-
-
-def at_once(jobs: Sequence) -> list:
-    """The results of independent fits, some side by side: their small Spark jobs fill each other's gaps."""
-    from pyspark import inheritable_thread_target
-    session = SparkSession.builder.getOrCreate()
-    with ThreadPoolExecutor(min(len(jobs), AT_ONCE)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(session)(job)) for job in jobs]]
-
-
-def vectors(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    z = nb.standardised(df, columns, [key])
-    return z.withColumn("features", array_to_vector(F.array(*columns)))
+#: Rows of a block and, about, of a partition of many; tables of up to so many rows are broadcast, and each task runs some of the starts of k-means.
+PASS_ROWS, PART_ROWS, BROADCAST_ROWS = 1 << 14, 1 << 20, 1 << 18
+#: k-means ends when no centre moves further than this (the default of Spark's).
+TOLERANCE = 1e-4
+
+
+def scaled_rows(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The standardised columns, written out once, and a hash of the key that draws the first centres."""
+    return materialise(nb.standardised(df, columns, [key]).withColumn("_draw", F.xxhash64(key)))
+
+
+def points(data: DataFrame, columns: Sequence[str]) -> tuple[RDD, int]:
+    """The columns and hashes as an RDD of blocks (rows, hashes) of PASS_ROWS rows at most, and the number of rows."""
+    def pack(batches):
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+            draws, at = batch.column("_draw").to_numpy(), range(0, len(x), PASS_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i:i + PASS_ROWS].tobytes() for i in at], pa.binary()), pa.array([draws[i:i + PASS_ROWS].tobytes() for i in at], pa.binary()),
+                                              pa.array([len(x[i:i + PASS_ROWS]) for i in at], pa.int64())], names=["x", "draw", "n"])
+
+    def unpack(found):
+        held, size = [], 0
+        for r in itertools.chain(found, [None]):
+            if held and (r is None or size + r["n"] > PASS_ROWS):
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held, size = [], 0
+            if r is not None:
+                held.append((np.frombuffer(bytes(r["x"])).reshape(-1, len(columns)), np.frombuffer(bytes(r["draw"]), np.uint64)))
+                size += r["n"]
+
+    packed = cut_lineage(data.select(*columns, "_draw").mapInArrow(pack, "x binary, draw binary, n long"))
+    n = packed.agg(F.sum("n")).first()[0] or 0
+    wide = max(2 * packed.sparkSession.sparkContext.defaultParallelism, n // PART_ROWS)
+    return packed.rdd.coalesce(max(1, min(packed.rdd.getNumPartitions(), wide))).mapPartitions(unpack), n
+
+
+def uniform(draws: np.ndarray, seed: int, turn: int) -> np.ndarray:
+    """A number from 0 to 1 for each row; it depends on the row's hash alone."""
+    x = draws + np.uint64((seed * 1_000_003 + turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53
+
+
+def closest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, number) of the nearest centre of each row; of equal ones the first."""
+    d = (centres * centres).sum(axis=1)[:, None] - 2 * (centres @ x.T)
+    least, at = d[0].copy(), np.zeros(len(x), np.int16)
+    for j in range(1, len(centres)):
+        at[d[j] < least] = j
+        np.minimum(least, d[j], out=least)
+    return np.maximum(least + (x * x).sum(axis=1), 0), at
+
+
+def sums_of(blocks, centres: Sequence[np.ndarray]) -> list[tuple[list[np.ndarray], np.ndarray]]:
+    """One pair: for each start the sums and the number (last column) of the points nearest to each centre, and its inertia."""
+    sums, cost = [np.zeros((len(c), c.shape[1] + 1)) for c in centres], np.zeros(len(centres))
+    for x, _ in blocks:
+        for i, c in enumerate(centres):
+            least, at = closest(x, c)
+            cost[i] += least.sum()
+            sums[i][:, :-1] += (at == np.arange(len(c))[:, None]).astype(float) @ x
+            sums[i][:, -1] += np.bincount(at, minlength=len(c))
+    return [(sums, cost)]
+
+
+def added(each, centres: Sequence[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+    """(sums and numbers, inertia) of every start over all rows."""
+    found = each(lambda blocks: sums_of(blocks, centres))
+    return [(sum(sums[i] for sums, _ in found), float(sum(cost[i] for _, cost in found))) for i in range(len(centres))]
+
+
+def seeds(each, starts: Sequence[tuple[int, int]]) -> list[np.ndarray]:
+    """The first centres of each start (k, seed) by k-means||: two rounds that draw some 2k rows each by their distance,
+    then k-means++ over what was drawn, weighted by the rows next to it."""
+    def lowest(blocks):
+        best = [None] * len(starts)
+        for x, draws in blocks:
+            for i, (_, seed) in enumerate(starts):
+                u = uniform(draws, seed, 0)
+                at = u.argmin()
+                best[i] = min([b for b in (best[i], (u[at], tuple(x[at]))) if b is not None])
+        return [best]
+
+    found = each(lowest)
+    drawn = [np.array([min(best[i] for best in found if best[i] is not None)[1]]) for i in range(len(starts))]
+    for turn in (1, 2):
+        cost = [c for _, c in added(each, drawn)]
+
+        def more(blocks, drawn=drawn, cost=cost, turn=turn):
+            out = [[c[:0]] for c in drawn]
+            for x, draws in blocks:
+                for i, (k, seed) in enumerate(starts):
+                    out[i].append(x[uniform(draws, seed, turn) * cost[i] < 2 * k * closest(x, drawn[i])[0]])
+            return [[np.unique(np.concatenate(o), axis=0) for o in out]]
+
+        found = each(more)  # some 2k rows for each start
+        drawn = [np.unique(np.concatenate([c, *[f[i] for f in found]]), axis=0) for i, c in enumerate(drawn)]
+    return [plus_plus(c, sums[:, -1], k, seed) for (k, seed), c, (sums, _) in zip(starts, drawn, added(each, drawn))]
+
+
+def plus_plus(rows: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k centres of a few weighted rows: k-means++ and up to 30 steps of k-means; all rows if there are no more than k."""
+    if len(rows) <= k:
+        return rows
+    rng = np.random.default_rng(seed)
+    centres = rows[rng.choice(len(rows), 1, p=weights / weights.sum())]
+    while len(centres) < k:
+        far = weights * closest(rows, centres)[0]
+        if not far.sum() > 0:
+            break
+        centres = np.concatenate([centres, rows[rng.choice(len(rows), 1, p=far / far.sum())]])
+    for _ in range(30):
+        hot = (closest(rows, centres)[1] == np.arange(len(centres))[:, None]) * weights
+        centres, still = moved(centres, np.concatenate([hot @ rows, hot.sum(axis=1, keepdims=True)], axis=1))
+        if still:
+            break
+    return centres
+
+
+def moved(centres: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The means of the points, and whether no centre went further than TOLERANCE; a centre without points stays."""
+    n = sums[:, -1:]
+    new = np.where(n > 0, sums[:, :-1] / np.maximum(n, 1), centres)
+    return new, bool((((new - centres) ** 2).sum(axis=1) <= TOLERANCE ** 2).all())
+
+
+def settled(each, starts: Sequence[tuple[int, int]], max_iter: int) -> list[tuple[np.ndarray, float]]:
+    """(centres, inertia of the last assignment) of every start (k, seed); all that still move share a pass.
+
+    ``each(fn)`` lists what ``fn`` finds in the blocks of every part of the table."""
+    centres, costs, live = seeds(each, starts), [0.0] * len(starts), list(range(len(starts)))
+    for _ in range(max_iter):
+        still = []
+        for i, (sums, costs[i]) in zip(live, added(each, [centres[i] for i in live])):
+            centres[i], stays = moved(centres[i], sums)
+            if not stays:
+                still.append(i)
+        live = still
+        if not live:
+            break
+    return list(zip(centres, costs))
+
+
+def runs(data: DataFrame, columns: Sequence[str], starts: Sequence[tuple[int, int]], max_iter: int) -> list[tuple[np.ndarray, float]]:
+    """``settled`` over all rows: a small table goes to every task, which runs some of the starts to their end; else every pass is a job."""
+    blocks, n = points(data, columns)
+    if not n:
+        raise ValueError("k-means needs rows")
+    if n > BROADCAST_ROWS:
+        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return settled(lambda fn: blocks.mapPartitions(fn).collect(), starts, max_iter)
+        finally:
+            blocks.unpersist()
+    sc = blocks.context
+    held = sc.broadcast(blocks.collect())  # BROADCAST_ROWS rows at most
+
+    def run(numbered):
+        for number, start in numbered:
+            yield number, settled(lambda fn: fn(held.value), [start], max_iter)[0]
+
+    done = sc.parallelize(list(enumerate(starts)), min(len(starts), 2 * sc.defaultParallelism)).mapPartitions(run).collect()
+    return [found for _, found in sorted(done, key=lambda d: d[0])]
+
+
+def nearest(centres: np.ndarray, columns: Sequence[str]) -> Column:
+    """The number of the centre a row is nearest to; of equal ones the first."""
+    gaps = [sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(columns, centre)), F.lit(0.0)) for centre in centres]
+    return F.array_min(F.array(*[F.struct(g.alias("d2"), F.lit(i).alias("id")) for i, g in enumerate(gaps)]))["id"]
 
 
 def kmeans(df: DataFrame, key: str, k: int, columns: Sequence[str] = tuple(fv.MEASURES), starts: int = 20,
            max_iter: int = 500, seed: int = 2026):
-    """Best of several k-means runs on standardised features: (assignment, inertia, model)."""
-    data = vectors(df, key, columns).persist()
-    try:
-        runs = at_once([lambda i=i: KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(data) for i in range(starts)])
-        best = min(runs, key=lambda m: m.summary.trainingCost)
-        out = cut_lineage(best.transform(data).select(key, F.col("prediction").alias("cluster")))
-    finally:
-        data.unpersist()
-    return out, best.summary.trainingCost, best
+    """Best of several k-means runs on standardised features: (assignment, inertia, centres)."""
+    data = scaled_rows(df, key, columns)
+    centres, cost = min(runs(data, columns, [(k, seed + i) for i in range(starts)], max_iter), key=lambda m: m[1])
+    return cut_lineage(data.select(key, nearest(centres, columns).alias("cluster"))), cost, centres
 
 
 def best_k(df: DataFrame, key: str, columns: Sequence[str] = tuple(fv.MEASURES), highest: int = 7, starts: int = 10,
@@ -55,17 +206,14 @@ def best_k(df: DataFrame, key: str, columns: Sequence[str] = tuple(fv.MEASURES),
 
     The silhouette is the squared-Euclidean one, which needs one pass and no pairs.
     """
-    data = vectors(df, key, columns).persist()
-    rows = []
-    try:
-        top = max(2, min(highest, data.count() // 3))
-        judge = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
-        for k in range(2, top + 1):
-            runs = at_once([lambda i=i: KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(data) for i in range(starts)])
-            model = min(runs, key=lambda m: m.summary.trainingCost)
-            rows.append((k, float(judge.evaluate(model.transform(data))), float(model.summary.trainingCost)))
-    finally:
-        data.unpersist()
+    data = scaled_rows(df, key, columns)
+    tried = range(2, max(2, min(highest, data.count() // 3)) + 1)
+    found = runs(data, columns, [(k, seed + i) for k in tried for i in range(starts)], max_iter)
+    judge, rows = ClusteringEvaluator(distanceMeasure="squaredEuclidean"), []
+    points_ = data.withColumn("features", array_to_vector(F.array(*columns)))
+    for n, k in enumerate(tried):
+        centres, cost = min(found[n * starts:(n + 1) * starts], key=lambda m: m[1])
+        rows.append((k, float(judge.evaluate(points_.withColumn("prediction", nearest(centres, columns).cast("double")))), cost))
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, silhouette double, inertia double, chosen boolean")
 
