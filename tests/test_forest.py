@@ -94,3 +94,21 @@ def test_saved_model_predicts_alike(spark, tmp_path):
 def test_cross_validation_reports_all_folds(spark):
     row = mo.cross_validate(table(spark), "id", trees=10, k=5, columns=COLUMNS).first()
     assert row["folds"] == 5 and 0.7 < row["f1_mean"] <= 1 and row["f1_std"] < 0.2 and row["accuracy_mean"] > 0.8
+
+
+def test_no_more_partitions_than_cores(spark):
+    rows = spark.range(0, 4000, 1, 40).selectExpr("id", "double(id % 7) a", "double(id % 11) b", "int(id % 3) class_id")
+    edges = f.value_edges(rows, ["a", "b"], 32)
+    data, n = f.blocks(rows, ["a", "b"], "class_id", None, "id", edges, [0, 1, 2], 0, 10)
+    assert n == 4000 and data.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sum(len(b.y) for b in data.collect()) == 4000
+
+
+def test_bags_at_the_borders_of_the_draws():
+    keys = np.random.default_rng(5).integers(0, 1 << 63, 20000).astype(np.uint64)
+    times = f.bagged(keys, 3, f.Settings())
+    x = keys + np.uint64((2026 * 7_368_787 + 4) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    draws = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53
+    assert (times == np.searchsorted(f.BAG, draws, "right")).all()
