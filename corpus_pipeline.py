@@ -39,7 +39,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     sha = F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")
     ids = bpe.encode(docs.select("doc_id", "lang", "source", "text", sha), tokenizer(), "text", "ids")
-    ids = ids.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("_ids", F.col("ids"))
+    # written out between, so that a task holds the workers of one of the two at a time
+    ids = materialise(ids.withColumn("n_tokens", F.size("ids").cast("long"))).withColumn("_ids", F.col("ids"))
     back = bpe.decode(ids, tokenizer(), "_ids", "_back").withColumn("decodes", F.sha2("_back", 256) == F.col("_sha"))
     return back.select("doc_id", "lang", "source", "n_tokens", "ids", "decodes")
 
