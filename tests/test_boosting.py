@@ -125,3 +125,42 @@ def test_ensemble_end_to_end(spark):
     assert np.mean([r["class_id"] == r["predicted"] for r in rows]) > 0.9
     alone = b.fit(df, COLUMNS, [0, 1, 2], settings=b.Settings(rounds=10), key="id")[0]
     assert np.array_equal(alone.value, model.boosting.value)
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 13])
+def test_joint_counts_are_those_of_each_feature(monkeypatch, most):
+    monkeypatch.setattr(b, "JOINT_CELLS", most)
+    rng = np.random.default_rng(4)
+    codes = np.stack([rng.integers(0, k, 3000) for k in (9, 1, 5, 30, 2)], axis=1).astype(np.uint8)
+    block = b.Block(codes, rng.integers(0, 3, 3000).astype(np.int16), np.full(3000, -1, np.int32), rng.integers(0, 1 << 62, 3000).astype(np.uint64), rng.normal(size=(3000, 1, 3)))
+    s, feature, code = b.Settings(depth=2), np.full((1, 3, 7), -1, np.int16), np.zeros((1, 3, 7), np.int16)
+    feature[:, :, 0], code[:, :, 0], feature[:, :2, 1], code[:, :2, 1] = 3, 11, 0, 4
+    (mine, each), = block.slopes(2, s)
+    for level, nodes in ((0, 1), (1, 1), (2, 2)):
+        found = block.histogram(2, level, (feature, code), s, 30)
+        for c in range(3):
+            node = b.leaves(codes[mine], feature[0, c], code[0, c], level)
+            for slot in range(nodes):
+                at = np.flatnonzero(node == (1 << level) - 1 + 2 * slot)
+                for k in range(5):
+                    for j in range(2):
+                        assert (found[0, c, slot, k, :, j] == np.bincount(codes[mine][at, k], each[c][j][at], 30)).all()
+
+
+def test_small_tables_take_no_job_a_level_and_large_ones_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(b, "BLOCK_ROWS", 64)
+    df, s, sc = table(spark).repartition(5).cache(), b.Settings(rounds=6, depth=3), spark.sparkContext
+    edges = b.value_edges(df, COLUMNS)
+
+    def grown(group):
+        sc.setJobGroup(group, group)
+        models = b.fit(df, COLUMNS, [0, 1, 2], settings=s, fold="fold", folds=3, key="id", edges=edges)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return models, len(sc.statusTracker().getJobIdsForGroup(group))
+
+    few, jobs = grown("boosting in tasks")
+    assert jobs < s.rounds * s.depth
+    monkeypatch.setattr(b, "TASK_ROWS", 1)
+    many, _ = grown("boosting over partitions")
+    for one, other in zip(few, many):
+        assert (one.feature == other.feature).all() and (one.code == other.code).all() and np.array_equal(one.value, other.value)
