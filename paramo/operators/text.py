@@ -13,11 +13,13 @@ from paramo.functions import parsing as p
 from paramo.operators import aggregates as agg
 from paramo.session import fan_out, materialise
 
-def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf) for all one- and two-word terms of the whole text."""
+def term_counts(df: DataFrame, key: str, text: str, among: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf) for all one- and two-word terms of the whole text, or those of the small table ``among``."""
     clean = df.select(key, p.words(p.clean_text(text)).alias("_w"))
-    return (clean.select(key, F.explode(p.text_grams(F.col("_w"))).alias("term"))
-            .groupBy(key, "term").agg(F.count("*").alias("tf")))
+    terms = clean.select(key, F.explode(p.text_grams(F.col("_w"))).alias("term"))
+    if among is not None:
+        terms = terms.join(F.broadcast(among), "term", "left_semi")
+    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tf_weight(tf: Column) -> Column:
@@ -85,7 +87,7 @@ def intent_by_cosine(df: DataFrame, key: str, text: str, corpus: DataFrame | Non
         counts.join(small(vocabulary), "term").select("phrase_id", "term", (tf_weight(F.col("tf")) * F.col("idf")).alias("weight")),
         "phrase_id").join(small(corpus.select("phrase_id", "intent")), "phrase_id").withColumnRenamed("weight", "phrase_weight")
     messages = unit_length(
-        term_counts(df, key, text).join(small(vocabulary), "term")
+        term_counts(df, key, text, vocabulary.select("term") if built_in else None).join(small(vocabulary), "term")
         .select(key, "term", (tf_weight(F.col("tf")) * F.col("idf")).alias("weight")), key)
     # sums arrive in any order: nine decimals make equal similarities equal
     sims = messages.join(small(phrases), "term").groupBy(key, "phrase_id", "intent").agg(

@@ -95,3 +95,16 @@ def test_tfidf_against_numpy(spark):
         for g, x in v.items():
             assert np.isclose(got[(i, g)], x / norm)
     assert len(got) == sum(map(len, bags))
+
+
+def test_cosine_counts_only_terms_of_the_corpus(spark):
+    phrase = fv.CORPUS[0][0]
+    rows = [("a", phrase), ("a", f"{phrase} zzz"), ("b", "zzz qqq zzz"), ("c", None), (None, phrase), ("d", fv.CORPUS[-1][0] + " qqq")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    among = spark.createDataFrame([("zzz",)], "term string")
+    assert sorted(map(tuple, t.term_counts(df, "id", "text", among).collect())) == [("a", "zzz", 1), ("b", "zzz", 2)]
+    found = t.intent_by_cosine(df, "id", "text")
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    # a corpus of the caller takes the way without it
+    given = t.intent_by_cosine(df, "id", "text", t.default_corpus(spark))
+    assert sorted(map(str, found.collect())) == sorted(map(str, given.collect())) and found.count() == 6
