@@ -22,14 +22,14 @@ from paramo.plans.features import CLASS, LABEL, MATRIX, SCORED, SITE_SCORED, mat
 from paramo.plans.features import USES as MATRIX_USES
 from paramo.plans.outliers import z_sql
 from paramo.plans.texts import listed, with_actions
-from paramo.session import cut_lineage, shared_path
+from paramo.session import cut_lineage, materialise, shared_path
 
 SITES = "b_site_month"
 
 
 def labelled(i: Inputs):
-    """Scored and labelled site months, written out once because every fit reads them again."""
-    return cut_lineage(sc.labelled(sc.score(i(SITES), digits=None)).drop("color"))
+    """Scored and labelled site months, written out once because every fit reads them again; the score reads its rows twice."""
+    return cut_lineage(sc.labelled(sc.score(materialise(i(SITES)), digits=None)).drop("color"))
 
 
 def split(i: Inputs):

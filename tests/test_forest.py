@@ -112,3 +112,20 @@ def test_bags_at_the_borders_of_the_draws():
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     draws = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53
     assert (times == np.searchsorted(f.BAG, draws, "right")).all()
+
+
+def test_site_months_are_read_once_for_their_score(spark):
+    from paramo.plans import learning
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x)
+
+    row = {"upra_var_mensual_pct": 1.0, "ideam_precipitacion_anomalia": 2.0, "ideam_temperatura_anomalia": 0.5}
+    sites = spark.range(50).select(F.col("id").alias("row_id"), counted("id").alias("upra_indice_total"), *[F.lit(v).alias(c) for c, v in row.items()],
+                                   F.lit(3).alias("mes"), F.lit(2020).alias("anio"))
+    rows = learning.labelled(lambda name: sites)
+    assert rows.count() == 50 and seen.value == 50
