@@ -160,7 +160,8 @@ def test_small_tables_take_no_job_a_level_and_large_ones_give_the_same(spark, mo
 
     few, jobs = grown("boosting in tasks")
     assert jobs < s.rounds * s.depth
-    monkeypatch.setattr(b, "TASK_ROWS", 1)
+    for name, value in (("TASK_ROWS", 1), ("CHECKPOINT_ROUNDS", 3), ("TREE_FROM", 3)):
+        monkeypatch.setattr(b, name, value)
     many, _ = grown("boosting over partitions")
     for one, other in zip(few, many):
         assert (one.feature == other.feature).all() and (one.code == other.code).all() and np.array_equal(one.value, other.value)
