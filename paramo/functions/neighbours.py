@@ -7,6 +7,9 @@ size.  Blocks carry their bounding box; about sqrt(m) consecutive blocks share a
 distances decide which pairs of blocks have to be looked at, first between outer boxes, then between
 blocks, always by equi-joins.  One task compares at most two blocks and returns sums or the nearest
 few, never all pairs.
+
+``nearest`` lays its blocks out by a k-d tree instead, whose boxes are tighter, and compares a point only
+with the blocks that its own reach touches.
 """
 
 from __future__ import annotations
@@ -159,45 +162,159 @@ def paired(left: DataFrame, right: DataFrame, pairs: DataFrame, fn, schema: str)
     return x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(run, schema)
 
 
+#: Points of the sample that lays out the blocks of ``nearest``: so many for each block, and so many at most.
+LEAF, SAMPLE = 64, 1 << 17
+#: Points that ask a block in one task, in blocks.
+ASKING = 16
+
+
+def split_tree(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(axis, cut, low child) of the nodes of a k-d tree whose leaves hold at most ``most`` rows; axis -1 and the number of the leaf at leaves.
+
+    A node is cut near the median of its widest axis that parts it well; the high child follows the low one."""
+    axis, cut, low = [-1], [0.0], [0]
+    todo, leaves = [(0, np.arange(len(x)))], 0
+    while todo:
+        node, rows = todo.pop()
+        best = (0.0, -1, 0.0)
+        if len(rows) > most:
+            part = x[rows]
+            for j in np.argsort(-part.std(axis=0), kind="stable"):
+                v = np.sort(part[:, j])
+                middle = v[(len(v) - 1) // 2]
+                below = np.searchsorted(v, middle, "left")
+                for n_low, at in ((np.searchsorted(v, middle, "right"), middle), (below, v[below - 1] if below else middle)):
+                    if (share := min(n_low, len(v) - n_low) / len(v)) > best[0]:
+                        best = (share, int(j), float(at))
+                if best[0] >= 0.25:
+                    break
+        if best[1] < 0:
+            low[node] = leaves
+            leaves += 1
+            continue
+        axis[node], cut[node], low[node] = best[1], best[2], len(axis)
+        goes_low = x[rows, best[1]] <= best[2]
+        todo += [(len(axis) + 1, rows[~goes_low]), (len(axis), rows[goes_low])]
+        axis += [-1, -1]
+        cut += [0.0, 0.0]
+        low += [0, 0]
+    return np.array(axis), np.array(cut), np.array(low)
+
+
+def leaf_of(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    axis, cut, low = tree
+    node = np.zeros(len(x), np.int64)
+    open_ = np.arange(len(x))
+    while len(open_ := open_[axis[node[open_]] >= 0]):
+        at = node[open_]
+        node[open_] = low[at] + ~(x[open_, axis[at]] <= cut[at])
+    return low[node]
+
+
+def laid_out(points: DataFrame, dims: int, size: int) -> DataFrame:
+    """Add ``block``: the leaf of a k-d tree of ``size`` points a leaf, about.
+
+    The tree comes from a sample by hash of the points, which is all the driver sees; every point goes down the tree, so the
+    sample decides the shape of the blocks and nothing else."""
+    points = cut_lineage(points)
+    n = points.count()
+    blocks = max(1, -(-n // size))
+    wanted = min(n, LEAF * blocks, SAMPLE)
+    span = 2 ** 32
+    some = points.where(F.pmod(F.xxhash64("uid"), F.lit(span)) < int(span * wanted / max(n, 1))).select("v") if blocks > 1 else points.select("v").limit(0)
+    sample = some.toArrow().column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    tree = split_tree(sample, max(1, -(-len(sample) // blocks)))
+    held = points.sparkSession.sparkContext.broadcast(tree)
+
+    @F.pandas_udf("long")
+    def place(v: pd.Series) -> pd.Series:
+        return pd.Series(leaf_of(np.stack(v.to_numpy()), held.value) if len(v) else [], dtype="int64")
+
+    return cut_lineage(points.withColumn("block", place("v")))
+
+
+def outside(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Distances of points (rows) from boxes; summed axis by axis as ``distances`` does, so never more than the distance of a point in the box."""
+    out = np.zeros((len(x), len(lo)))
+    for j in range(x.shape[1]):
+        out += np.maximum(np.maximum(lo[None, :, j] - x[:, j, None], x[:, j, None] - hi[None, :, j]), 0) ** 2
+    return np.sqrt(out)
+
+
 def nearest(points: DataFrame, dims: int, k: int, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The k nearest other rows of every distinct point, copies counted.
 
-    Returns the blocked points and (uid, other, dist, take): ``take`` copies of ``other`` belong to the
+    Returns the blocked points, with the blocks each ``asks``, and (uid, other, dist, take): ``take`` copies of ``other`` belong to the
     k nearest.  Ties in distance go to the lower uid.
-    """
-    pts = blocked(points, dims, max(size, k + 1))
 
-    def own_reach(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, w = distances(m := matrix(pdf), m), pdf["w"].to_numpy()
-        order = np.argsort(d, axis=1, kind="stable")
-        weights = w[order] - (order == np.arange(len(pdf))[:, None])
-        enough = np.cumsum(weights, axis=1) >= k
-        hit = enough.argmax(axis=1)
-        rows = np.arange(len(pdf))
-        return pdf.assign(reach=np.where(enough.any(axis=1), d[rows, order[rows, hit]], np.inf))
+    The k-th distance within a point's own block is its reach.  A point asks the blocks whose bounding box lies within its reach and no
+    others, so a point of a crowded region asks few.  The boxes (two vectors a block, at most SAMPLE * 2 / LEAF blocks or so) go to
+    every task.  A task answers the points that ask one block, ``ASKING`` blocks' worth of them at most, about.
+    """
+    size = max(size, k + 1)
+    pts = laid_out(points, dims, size)
+    sides = [f(F.col("v")[j]).alias(f"{name}{j}") for name, f in (("lo", F.min), ("hi", F.max)) for j in range(dims)]
+    boxes_ = pts.groupBy("block").agg(*sides).toPandas()
+    sides_ = boxes_[[f"lo{j}" for j in range(dims)]].to_numpy(float), boxes_[[f"hi{j}" for j in range(dims)]].to_numpy(float)
+    held = pts.sparkSession.sparkContext.broadcast((boxes_["block"].to_numpy(), *sides_))
+
+    def asking(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, w, own = matrix(pdf), pdf["w"].to_numpy(), int(pdf["block"].iloc[0])
+        names, lo, hi = held.value
+        few = min(k + 1, len(x))
+        reach, asks = np.empty(len(x)), []
+        for at in range(0, len(x), size):
+            part = np.arange(at, min(at + size, len(x)))
+            d = distances(x[part], x)
+            near = np.argpartition(d, few - 1, axis=1)[:, :few]
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, axis=1), axis=1, kind="stable"), axis=1)
+            enough = np.cumsum(w[near] - (near == part[:, None]), axis=1) >= k
+            hit = near[np.arange(len(part)), enough.argmax(axis=1)]
+            reach[part] = np.where(enough.any(axis=1), d[np.arange(len(part)), hit], np.inf)
+        # boxes that some point may ask, then each point's own
+        widest = np.nanmax(reach) if (~np.isnan(reach)).any() else -1.0
+        gaps = np.zeros(len(names))
+        for j in range(dims):
+            gaps += np.maximum(np.maximum(lo[:, j] - x[:, j].max(), x[:, j].min() - hi[:, j]), 0) ** 2
+        maybe = np.flatnonzero((np.sqrt(gaps) <= widest) & (names != own))
+        step = max(1, (1 << 20) // max(1, len(maybe)))
+        for at in range(0, len(x), step):
+            hits = outside(x[at:at + step], lo[maybe], hi[maybe]) <= reach[at:at + step, None]
+            asks += [[own, *names[maybe[h]].tolist()] for h in hits]
+        return pdf.assign(reach=reach, asks=asks)
 
     pts = cut_lineage(pts.groupBy("block").applyInPandas(
-        own_reach, "uid string, v array<double>, w long, first long, block long, reach double"))
-    inner = boxes(pts, dims, reach=F.max("reach"))
-    outer = outer_boxes(inner, dims, reach=F.max("reach"))
-    pairs = cut_lineage(block_pairs(inner, outer_pairs(outer, F.col("reach")), "reach"))
+        asking, "uid string, v array<double>, w long, first long, block long, reach double, asks array<long>"))
+    asked = pts.select("uid", "v", "reach", F.explode("asks").alias("b"))
+    shares = asked.groupBy("b").agg(F.ceil(F.count("*") / (ASKING * size)).alias("shares"))
+    asked = asked.join(shares, "b").withColumn("share", F.pmod(F.xxhash64("uid"), "shares")).drop("shares")
+    # new column identities: both sides come from the same points
+    offered = pts.select(*[F.col(c).alias(c) for c in ("uid", "v", "w")], F.col("block").alias("b")).join(shares, "b").withColumn(
+        "share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
 
     def best(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if len(p) == 0 or len(q) == 0:
-            return pd.DataFrame({"uid": [], "other": [], "dist": [], "w": []})
-        d, uid, other = distances(matrix(p), matrix(q)), p["uid"].to_numpy(), q["uid"].to_numpy()
-        # columns in order of uid, so that a stable sort by distance leaves ties in that order
-        rank = np.argsort(other, kind="stable")
-        d, other, w = d[:, rank], other[rank], q["w"].to_numpy()[rank]
-        order = np.argsort(d, axis=1, kind="stable")
-        near = np.take_along_axis(d, order, axis=1)
-        weights = w[order] - (other[order] == uid[:, None])
-        weights = np.where(near <= p["reach"].to_numpy()[:, None], weights, 0)
-        i, j = np.nonzero((np.cumsum(weights, axis=1) - weights < k) & (weights > 0))
-        return pd.DataFrame({"uid": uid[i], "other": other[order[i, j]], "dist": near[i, j], "w": weights[i, j]})
-
-    found = paired(pts.select("uid", "v", "reach", "block"), pts.select("uid", "v", "w", "block"), pairs, best,
-                   "uid string, other string, dist double, w long")
+        # rows in order of uid, so that the place of a row decides between equal distances
+        q = q.sort_values("uid", kind="stable")
+        y, other, w = matrix(q), q["uid"].to_numpy(), q["w"].to_numpy()
+        x, uid, reach = matrix(p), p["uid"].to_numpy(), p["reach"].to_numpy()
+        out = []
+        for at in range(0, len(p), size):
+            d = distances(x[at:at + size], y)
+            i, j = np.nonzero(d <= reach[at:at + size, None])
+            dist = d[i, j]
+            order = np.lexsort((j, dist, i))
+            i, j, dist = i[order], j[order], dist[order]
+            weight = w[j] - (other[j] == uid[at + i])
+            before = np.cumsum(weight) - weight
+            first = np.searchsorted(i, i, "left")
+            good = (before - before[first] < k) & (weight > 0)
+            out.append((uid[at + i[good]], other[j[good]], dist[good], weight[good]))
+        found = [np.concatenate(c) for c in zip(*out)] if out else [[], [], [], []]
+        frame = pd.DataFrame(dict(zip(("uid", "other", "dist", "w"), found)))
+        return frame if len(frame) else frame.astype(object)
+
+    found = asked.groupBy("b", "share").cogroup(offered.groupBy("b", "share")).applyInPandas(
+        best, "uid string, other string, dist double, w long")
     before = F.coalesce(F.sum("w").over(W.partitionBy("uid").orderBy("dist", "other").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = found.withColumn("_before", before).where(F.col("_before") < k)
     return pts, cut_lineage(ranked.select("uid", "other", "dist", F.least(F.col("w"), k - F.col("_before")).alias("take")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from paramo import fixed_values as fv
 from paramo.functions import neighbours as nb
 from paramo.functions.ranks import exact_quantiles, long_form, with_row
+from paramo.operators.tree_attribution import spread
 from paramo.session import cut_lineage, materialise
 
 CONTAMINATION = 0.10
@@ -82,14 +83,14 @@ def local_outlier_factor(df: DataFrame, key: str, columns: Sequence[str], k: int
     points = nb.distinct_points(z, columns, key)
     k = k or default_neighbours(z.count())
     pts, near = nb.nearest(points, len(columns), k, size)
-    kdist = near.groupBy("uid").agg(F.max("dist").alias("kdist"))
+    kdist = cut_lineage(near.groupBy("uid").agg(F.max("dist").alias("kdist")))
     to_other = kdist.select(F.col("uid").alias("other"), F.col("kdist").alias("other_kdist"))
 
     def density(rows: DataFrame, name: str) -> DataFrame:
         spread = F.sum(F.greatest("dist", "other_kdist") * F.col("take")) / F.sum("take")
         return rows.join(to_other, "other").groupBy("uid").agg((1 / (spread + 1e-10)).alias(name))
 
-    dense = density(near, "lrd")
+    dense = cut_lineage(density(near, "lrd"))
     to_dense = dense.select(F.col("uid").alias("other"), F.col("lrd").alias("other_lrd"))
 
     def factor(rows: DataFrame, own: DataFrame, name: str) -> DataFrame:
@@ -105,7 +106,8 @@ def local_outlier_factor(df: DataFrame, key: str, columns: Sequence[str], k: int
     with_self = offered.withColumn("_b", before).where(F.col("_b") < k).select(
         "uid", "other", "dist", F.least(F.col("take"), k - F.col("_b")).alias("take"))
     fresh = factor(with_self, density(with_self, "lrd"), "lof")
-    rows = z.select(key, nb.point_key(columns).alias("uid")).join(trained.join(fresh, "uid"), "uid")
+    # written once: the cut needs all of it before the first row can be judged
+    rows = materialise(z.select(key, nb.point_key(columns).alias("uid")).join(trained.join(fresh, "uid"), "uid").select(key, "trained", "lof"))
     cut = exact_quantiles(rows.select((-F.col("trained")).alias("_t")), "_t", {"cut": contamination}).select("cut").scalar()
     return rows.select(key, "lof", (-F.col("lof") < cut).alias("lof_outlier"))
 
@@ -222,10 +224,11 @@ def fit_isolation_forest(df: DataFrame, key: str, columns: Sequence[str] = tuple
                      *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first().asDict()
     n = stats["n"]
     trees, per_tree = trees or min(200, max(50, n * 2)), min(n, per_tree)
-    z = nb.standardised(data, columns, [key])
+    # the draws are the work: a table of few files is dealt out to all cores first
+    z = nb.standardised(spread(data), columns, [key])
     nodes = grow_trees(forest_sample(z, key, columns, trees, per_tree, n, seed), per_tree, seed).toPandas()
     model = IsolationForest(nodes, columns, stats, per_tree)
-    scores = cut_lineage(model.score(data).select("if_score"))
+    scores = cut_lineage(model.score(spread(data)).select("if_score"))
     model.cut = exact_quantiles(scores, "if_score", {"cut": contamination}).first()["cut"]
     return model
 

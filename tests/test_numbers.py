@@ -139,6 +139,24 @@ def test_lof_with_many_copies(spark):
     assert np.allclose(got.lof.to_numpy()[far], lof[far], rtol=1e-6)
 
 
+def test_nearest_asks_few_blocks(spark):
+    # months that share two of the features, as in the site months: boxes that are not tight ask for nearly all others
+    rng = np.random.default_rng(3)
+    climate = rng.normal(0, 1, (40, 2))[rng.integers(0, 40, 8000)]
+    x = np.hstack([rng.normal(0, 1, (8000, 3)), climate, climate])
+    cols = [f"c{j}" for j in range(7)]
+    df = nb.distinct_points(spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(id=range(8000))), cols, "id")
+    pts, near = nb.nearest(df, 7, 10, size=64)
+    p = pts.select("uid", "v", "block", F.size("asks").alias("asks")).toPandas()
+    v = np.stack(p.v.to_numpy())
+    assert p.block.value_counts().max() < 4 * 64 and p.asks.sum() < 0.25 * len(p) * p.block.nunique()
+    some = p.uid[:50].tolist()
+    found = near.where(F.col("uid").isin(some)).toPandas()
+    for i, uid in enumerate(some):
+        d = np.sort(nb.distances(v[[i]], v)[0])[1:11]
+        assert np.array_equal(np.sort(found[found.uid == uid].dist), d)
+
+
 def test_isolation_forest(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(0, 1, (300, 3)), [[15, 15, 15]]])
