@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,28 +45,79 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(width) if df.rdd.getNumPartitions() < width else df
 
 
-def counted_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, terms): per text its distinct one- and two-word terms with their counts, computed inside the row.
-
-    The terms are sorted; a run of equal ones is one term, and its length the count."""
-    grams = df.select(key, F.sort_array(p.text_grams(p.words(p.clean_text(text)))).alias("_g")).withColumn("_n", F.size("_g"))
-    places = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
-    starts = grams.select(key, "_g", "_n", F.filter(places, lambda i: (i == 0) | (F.get("_g", i) != F.get("_g", i - 1))).alias("_s"))
-    pairs = F.transform("_s", lambda i, k: F.struct(F.get("_g", i).alias("term"), (F.coalesce(F.get("_s", k + 1), F.col("_n")) - i).alias("tf")))
-    return starts.select(key, pairs.alias("terms"))
+#: Texts of the sample that names common terms, how many of these there are at most, and their longest.
+SAMPLE_TEXTS, COMMON, LONGEST = 5000, 100_000, 64
+
+
+def common_terms(texts: DataFrame) -> list[str]:
+    """Terms of two or more texts of a bounded sample by hash, the most frequent first.
+
+    They only choose the way a term takes in ``tfidf``: their counts over all texts are made there."""
+    span = 2 ** 32
+    share = min(1.0, SAMPLE_TEXTS / max(texts.count(), 1))
+    grams = texts.where(F.pmod(F.xxhash64("_t"), F.lit(span)) < int(span * share)).select(
+        F.explode(F.array_distinct(p.text_grams(p.words(p.clean_text("_t"))))).alias("term"))
+    counts = grams.where(F.length("term") <= LONGEST).groupBy("term").agg(F.count("*").alias("n")).where("n > 1")
+    return [r["term"] for r in counts.orderBy(F.col("n").desc(), "term").limit(COMMON).select("term").collect()]
+
+
+def counted_terms(texts: DataFrame, common: Sequence[str]) -> DataFrame:
+    """(_k, common, rare): per text its distinct one- and two-word terms with their counts, those of the list by their number."""
+    held = texts.sparkSession.sparkContext.broadcast({term: i for i, term in enumerate(common)})
+    kinds = [pa.struct([("id", pa.int32()), ("tf", pa.int64())]), pa.struct([("term", pa.string()), ("tf", pa.int64())])]
+
+    def run(batches):
+        known = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids, tfs, terms, counts, ends = [], [], [], [], [[0], [0]]
+                for words in part.column("_w").to_pylist():
+                    words = words or []
+                    for term, n in Counter([*words, *[f"{a} {b}" for a, b in zip(words, words[1:])]]).items():
+                        if (i := known.get(term)) is None:
+                            terms.append(term)
+                            counts.append(n)
+                        else:
+                            ids.append(i)
+                            tfs.append(n)
+                    ends[0].append(len(ids))
+                    ends[1].append(len(terms))
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.StructArray.from_arrays([pa.array(x, k[0].type), pa.array(c, pa.int64())], fields=list(k)))
+                         for e, x, c, k in zip(ends, (ids, terms), (tfs, counts), kinds)]
+                yield pa.RecordBatch.from_arrays([part.column("_k"), *lists], names=["_k", "common", "rare"])
+
+    words = texts.select("_k", p.words(p.clean_text("_t")).alias("_w"))
+    key_type = texts.schema["_k"].dataType.simpleString()
+    return words.mapInArrow(run, f"_k {key_type}, common array<struct<id: int, tf: bigint>>, rare array<struct<term: string, tf: bigint>>")
 
 
 def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): logarithmic term counts, smoothed idf, unit length.
 
-    Terms are counted inside each text's row and written once.  Rows of terms are shuffled twice: to meet
-    the idf of the term (a skewed join that AQE splits at common terms) and back to their text.
+    Terms are counted inside each text's row and written once.  Terms that a sample shows to be common (at most COMMON) stay in
+    the row: their exact counts over all texts go to every task, so they are never shuffled.  All other terms meet their idf in a
+    join and go back to the length of their text in another.
     """
-    listed = materialise(counted_terms(spread(df.select(key, text)), key, text))
-    counts = listed.select(key, F.explode("terms").alias("_t")).select(key, "_t.term", F.col("_t.tf").cast("long").alias("tf"))
+    texts = spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")))
+    common = common_terms(texts)
+    listed = materialise(counted_terms(texts, common))
     n = listed.agg(F.count("*")).scalar()
-    weighted = counts.join(term_idf(counts, n).select("term", "idf"), "term").select(key, "term", (tf_weight(F.col("tf")) * F.col("idf")).alias("weight"))
-    return unit_length(weighted, key)
+    names = df.sparkSession.createDataFrame(pd.DataFrame({"id": range(len(common)), "term": common}), "id int, term string")
+    per_id = listed.select(F.explode("common.id").alias("id")).groupBy("id").agg(F.count("*").alias("df"))
+    # a term of the list is in some text, so it has a count
+    idf = F.broadcast(materialise(names.join(per_id, "id").withColumn("idf", F.ln((1 + n) / (1 + F.col("df"))) + 1).drop("df")))
+    weight = (tf_weight(F.col("tf")) * F.col("idf")).alias("weight")
+    counts = listed.select("_k", F.inline("rare"))
+    rare = materialise(counts.join(term_idf(counts, n).select("term", "idf"), "term").select("_k", "term", weight))
+    near = listed.select("_k", F.inline("common")).join(idf, "id").select("_k", weight)
+    square = F.sum(F.col("weight") * F.col("weight")).alias("sq")
+    lengths = materialise(near.groupBy("_k").agg(square).unionByName(rare.groupBy("_k").agg(square)).groupBy(F.col("_k").alias("_of")).agg(
+        F.sqrt(F.sum("sq")).alias("length")))
+    own = F.col("_k").eqNullSafe(F.col("_of"))
+    out = listed.select("_k", "common").join(lengths, own).select("_k", "length", F.inline("common")).join(idf, "id").select("_k", "length", "term", weight)
+    out = out.unionByName(rare.join(lengths, own).select("_k", "length", "term", "weight"))
+    return out.select(F.col("_k").alias(key), "term", (F.col("weight") / F.col("length")).alias("weight"))
 
 
 def default_corpus(spark: SparkSession) -> DataFrame:

@@ -97,6 +97,26 @@ def test_tfidf_against_numpy(spark):
     assert len(got) == sum(map(len, bags))
 
 
+def test_tfidf_ways_agree(spark, monkeypatch):
+    """Terms that take the join and terms that stay in their row weigh the same; keys may repeat or be null, texts too."""
+    rows = [(1, "uno dos dos"), (1, "dos tres"), (None, "dos uno dos"), (None, "x"), (2, None), (3, "uno dos dos"), (4, "tres cuatro"), (5, "yy yy yy")]
+    df = spark.createDataFrame(rows, "id int, text string")
+
+    def found():
+        return sorted(((str(r["id"]), r["term"], round(r["weight"], 12)) for r in t.tfidf(df, "id", "text").collect()))
+
+    both = found()
+    assert "dos" in t.common_terms(df.select(F.col("text").alias("_t"))) and len(both) == 20
+    sums = {}
+    for k, _, w in both:
+        sums[k] = sums.get(k, 0) + w * w
+    assert set(sums) == {"1", "3", "4", "5", "None"} and all(abs(x - 1) < 1e-9 for x in sums.values())
+    monkeypatch.setattr(t, "COMMON", 1)
+    assert found() == both
+    monkeypatch.setattr(t, "SAMPLE_TEXTS", 0)
+    assert found() == both
+
+
 def test_cosine_counts_only_terms_of_the_corpus(spark):
     phrase = fv.CORPUS[0][0]
     rows = [("a", phrase), ("a", f"{phrase} zzz"), ("b", "zzz qqq zzz"), ("c", None), (None, phrase), ("d", fv.CORPUS[-1][0] + " qqq")]
