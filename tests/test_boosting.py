@@ -165,3 +165,34 @@ def test_small_tables_take_no_job_a_level_and_large_ones_give_the_same(spark, mo
     many, _ = grown("boosting over partitions")
     for one, other in zip(few, many):
         assert (one.feature == other.feature).all() and (one.code == other.code).all() and np.array_equal(one.value, other.value)
+
+
+def test_the_child_of_less_weight_is_counted():
+    rng = np.random.default_rng(8)
+    n = 4000
+    codes = np.stack([rng.integers(0, k, n) for k in (9, 30, 5)], axis=1).astype(np.uint8)
+    y = (codes[:, 0] == 8).astype(np.int16) + (codes[:, 1] < 6)
+    block = b.Block(codes, y, (np.arange(n) % 2).astype(np.int32), rng.integers(0, 1 << 62, n).astype(np.uint64), np.zeros((n, 2, 3)))
+    s, counted = b.Settings(depth=4, features=1.0), []
+    work = block.work(5, s)
+
+    def total(level, trees):
+        found = work.histogram(level, trees, 30)
+        if level:
+            feature, code, side = trees
+            for m, (mine, each) in enumerate(work.each):
+                for c in range(3):
+                    at = b.leaves(codes[mine], feature[m, c], code[m, c], level) - ((1 << level) - 1)
+                    for k in np.flatnonzero(feature[m, c, (1 << (level - 1)) - 1:(1 << level) - 1] >= 0):
+                        weights = [each[c][1][at == 2 * k + j].sum() for j in (0, 1)]
+                        assert found[m, c, k, 0, :, 1].sum() == weights[side[m, c, k]] == min(weights)
+                        counted.append(int(side[m, c, k]))
+        return found
+
+    feature, code, value = b.grown(total, 5, (2, 3, 3, 30), s)
+    assert set(counted) == {0, 1}
+    after = block.advanced((feature, code, value)).margins
+    for m in range(2):
+        for c in range(3):
+            leaf = b.leaves(codes, feature[m, c], code[m, c])
+            assert np.array_equal(after[:, m, c], block.margins[:, m, c] + value[m, c][leaf])
