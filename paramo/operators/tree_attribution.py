@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from paramo.operators.boosting import Boosting, coded, filled
 from paramo.operators.forest import Forest
 
-#: Rows whose attributions a task works out side by side.
-ROWS = 1 << 11
+#: Rows whose masks a task works out side by side, of the background and of the rows to explain.
+ROWS, EXPLAINED = 1 << 11, 1 << 13
 
 
 @dataclass
@@ -33,12 +33,25 @@ class Paths:
     value: np.ndarray
     start: np.ndarray
 
-    def places(self, codes: np.ndarray) -> np.ndarray:
-        """(rows, leaves): the number of each row's mask of each leaf."""
+    def masks(self, codes: np.ndarray) -> np.ndarray:
+        """(rows, leaves): each row's mask of each leaf."""
         masks = np.zeros((len(codes), len(self.value)), self.bits.dtype)
         for f in self.users:
-            masks |= self.bits[f][codes[:, f]]
-        return masks + self.start
+            masks |= self.bits[f].take(codes[:, f], axis=0)
+        return masks
+
+    def add(self, out: np.ndarray, given: np.ndarray, codes: np.ndarray) -> None:
+        """Adds to ``out`` (features, rows) what the leaves give each row, by ``table``.
+
+        A leaf's part of the table is short, so it is looked up for all rows before the next leaf's."""
+        by_leaf = np.ascontiguousarray(self.masks(codes).T)
+        found = np.empty(len(codes))
+        for k, features in enumerate(self.features):
+            if len(features):
+                first = int(self.start[k] - self.start[0])
+                mask = by_leaf[k].astype(np.intp)
+                for f in features.tolist():
+                    out[f] += given[f, first:first + (1 << len(features))].take(mask, out=found, mode="clip")
 
 
 def _leaves(feature: np.ndarray, code: np.ndarray, n_features: int, bins: int) -> Iterator[tuple[int, dict[int, np.ndarray]]]:
@@ -124,6 +137,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(width) if df.rdd.getNumPartitions() < width else df
 
 
+def tallied(total: np.ndarray, trees: list[Paths], codes: np.ndarray, weights: np.ndarray) -> None:
+    """Adds the weights of rows to ``total`` by mask of each leaf."""
+    even = bool((weights == 1).all())
+    for tree in trees:
+        first = int(tree.start[0])
+        there = np.add(tree.masks(codes), tree.start - first, dtype=np.int64).ravel()
+        found = np.bincount(there) if even else np.bincount(there, weights=np.repeat(weights, len(tree.value)))
+        total[first:first + len(found)] += found
+
+
 def background_masks(background: DataFrame, model: Forest | Boosting, trees: list[Paths], masks: int) -> np.ndarray:
     """The share of the background that has each mask of each leaf.
 
@@ -138,12 +161,8 @@ def background_masks(background: DataFrame, model: Forest | Boosting, trees: lis
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                w, codes, seen = part.column("w").to_numpy(zero_copy_only=False), coded(x, edges), True
-                for tree in paths_:
-                    first = int(tree.start[0])
-                    there = (tree.places(codes) - first).ravel()
-                    found = np.bincount(there, weights=np.repeat(w, len(tree.value)))
-                    total[first:first + len(found)] += found
+                tallied(total, paths_, coded(x, edges), part.column("w").to_numpy(zero_copy_only=False))
+                seen = True
         if seen:
             some = np.nonzero(total)[0]
             for at in range(0, len(some), 1 << 16):
@@ -182,14 +201,12 @@ def tree_shapley(rows: DataFrame, background: DataFrame, key: str, model: Forest
         paths_, edges, share_ = held.value
         for batch in batches:
             x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            codes, out = coded(x, edges), np.zeros((batch.num_rows, n))
+            codes, out = coded(x, edges), np.zeros((n, batch.num_rows))
             for tree in paths_:
-                given, first = table(tree, share_, n)
-                for at in range(0, len(codes), ROWS):
-                    there = tree.places(codes[at:at + ROWS]) - first
-                    for f, leaves in tree.users.items():
-                        out[at:at + ROWS, f] += given[f][there[:, leaves]].sum(axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, n, dtype=np.int32)), pa.array(out.ravel()))
+                given, _ = table(tree, share_, n)
+                for at in range(0, len(codes), EXPLAINED):
+                    tree.add(out[:, at:at + EXPLAINED], given, codes[at:at + EXPLAINED])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, n, dtype=np.int32)), pa.array(out.T.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("_k"), lists], names=["_k", "_c"])
 
     asked = spread(rows.select(F.col(key).alias("_k"), filled(model.columns).alias("_x")))

@@ -86,3 +86,23 @@ def test_a_tree_without_splits_gives_nothing(spark):
     df = spark.createDataFrame([(i, 1.0, i % 2) for i in range(20)], "id int, a double, class_id int")
     model = forest.fit(df, ["a"], [0, 1], settings=forest.Settings(trees=2), key="id")[0]
     assert {r["contribution"] for r in ta.tree_shapley(df, df, "id", model, 1).collect()} == {0.0}
+
+
+def test_rows_are_looked_up_leaf_by_leaf_and_weights_of_one_are_counts():
+    rng = np.random.default_rng(5)
+    feature, code, value = np.full((1, 2, 15), -1, np.int16), np.zeros((1, 2, 15), np.int16), rng.normal(size=(1, 2, 15))
+    feature[0, 1, [0, 1, 2, 4]], code[0, 1, [0, 1, 2, 4]] = [2, 0, 2, 1], [3, 1, 5, 2]
+    model = boosting.Boosting(("a", "b", "c"), [np.arange(8.0)] * 3, (0, 1), feature, code, value)
+    trees, masks = ta.paths(model, 1)
+    codes, share, out = rng.integers(0, 8, (300, 3)).astype(np.uint8), rng.random(masks), np.ones((3, 300))
+    given, first = ta.table(trees[0], share, 3)
+    trees[0].add(out, given, codes)
+    there = trees[0].masks(codes) + trees[0].start - first
+    wanted = np.array([[1 + sum(given[f, i] for i in row) for row in there] for f in range(3)])
+    assert np.allclose(out, wanted, atol=1e-12)
+    one, other = np.zeros(masks), np.zeros(masks)
+    ta.tallied(one, trees, codes, np.ones(300))
+    ta.tallied(other, trees, codes, np.where(np.arange(300) < 100, 2.0, 0.5))
+    ta.tallied(other, trees, codes[:100], np.full(100, -1.0))
+    ta.tallied(other, trees, codes[100:], np.full(200, 0.5))
+    assert (one == np.bincount(there.ravel(), minlength=masks)).all() and np.allclose(one, other)
