@@ -9,13 +9,14 @@ blocks, always by equi-joins.  One task compares at most two blocks and returns
 few, never all pairs.
 
 ``nearest`` lays its blocks out by a k-d tree instead, whose boxes are tighter, and compares a point only
-with the blocks that its own reach touches.
+with the blocks that its own reach touches.  ``near_lists`` does the same for tables whose neighbours, a row each, would fill disks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paramo.functions.ranks import running_totals, with_row
-from paramo.session import cut_lineage
+from paramo.session import cut_lineage, dropped, materialise
 
 BLOCK = 1024
 
@@ -211,12 +212,12 @@ def leaf_of(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> n
     return low[node]
 
 
-def laid_out(points: DataFrame, dims: int, size: int) -> DataFrame:
-    """Add ``block``: the leaf of a k-d tree of ``size`` points a leaf, about.
+def laid_out(points: DataFrame, dims: int, size: int, written: bool = False) -> DataFrame:
+    """Add ``block``: the leaf of a k-d tree of ``size`` points a leaf, about; points that are ``written`` are not written again.
 
     The tree comes from a sample by hash of the points, which is all the driver sees; every point goes down the tree, so the
     sample decides the shape of the blocks and nothing else."""
-    points = cut_lineage(points)
+    points = points if written else cut_lineage(points)
     n = points.count()
     blocks = max(1, -(-n // size))
     wanted = min(n, LEAF * blocks, SAMPLE)
@@ -230,7 +231,8 @@ def laid_out(points: DataFrame, dims: int, size: int) -> DataFrame:
     def place(v: pd.Series) -> pd.Series:
         return pd.Series(leaf_of(np.stack(v.to_numpy()), held.value) if len(v) else [], dtype="int64")
 
-    return cut_lineage(points.withColumn("block", place("v")))
+    placed = points.withColumn("block", place("v"))
+    return placed if written else cut_lineage(placed)
 
 
 def outside(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -320,6 +322,260 @@ def nearest(points: DataFrame, dims: int, k: int, size: int = BLOCK) -> tuple[Da
     return pts, cut_lineage(ranked.select("uid", "other", "dist", F.least(F.col("w"), k - F.col("_before")).alias("take")))
 
 
+#: Points of a leaf of a block, and of a block at most: larger blocks have fewer points near their sides, but are no task's whole work.
+LEAF_POINTS, BLOCK_POINTS = 256, 1 << 15
+#: A point whose ball touches more leaves of a foreign block than this looks for its nearest there before it names any.
+TOUCHED = 16
+#: Relative error that squared distances by products of vectors may have, amply; such distances only choose candidates.
+LOOSE = 1e-12
+
+
+@dataclass
+class Points:
+    """The points of a block in the order of its leaves: coordinates, copies and names, and where the leaves end."""
+
+    x: np.ndarray
+    w: np.ndarray
+    uid: np.ndarray  # (points, 2), big-endian words
+    ends: np.ndarray
+
+    @classmethod
+    def read(cls, row, dims: int) -> Points:
+        return cls(np.frombuffer(row["x"], float).reshape(dims, -1).T, np.frombuffer(row["w"], np.int64), np.frombuffer(row["uid"], ">u8").reshape(-1, 2),
+                   np.frombuffer(row["ends"], np.int64) if "ends" in row else np.zeros(0, np.int64))
+
+    def leaves(self) -> list[np.ndarray]:
+        return [np.arange(a, b) for a, b in zip([0, *self.ends[:-1].tolist()], self.ends.tolist())]
+
+    def taken(self, rows: np.ndarray) -> dict:
+        return {"x": np.ascontiguousarray(self.x[rows].T).tobytes(), "w": self.w[rows].tobytes(), "uid": self.uid[rows].tobytes()}
+
+
+def squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(squared distances, how far they may be off)."""
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    out = x @ (-2 * y.T)
+    out += xx[:, None]
+    out += yy[None, :]
+    return out, LOOSE * float(max(xx.max(initial=0), yy.max(initial=0)))
+
+
+def box_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x.min(axis=0), x.max(axis=0)
+
+
+def gaps(lo: np.ndarray, hi: np.ndarray, los: np.ndarray, his: np.ndarray) -> np.ndarray:
+    """Distances of a box from many."""
+    return np.sqrt((np.maximum(np.maximum(los - hi, lo - his), 0) ** 2).sum(axis=1)) * (1 - 1e-9)
+
+
+def own_reach(p: Points, k: int) -> np.ndarray:
+    """A distance for each point within which there are k others of its block; without end where the block has fewer."""
+    leaves = p.leaves()
+    sides = [box_of(p.x[rows]) for rows in leaves]
+    los, his = np.array([s[0] for s in sides]), np.array([s[1] for s in sides])
+    out = np.empty(len(p.x))
+    for at, rows in enumerate(leaves):
+        away = gaps(*sides[at], los, his)
+        away[at] = -1
+        order = np.argsort(away, kind="stable")
+        best, reach, done, step = np.full((len(rows), k), np.inf), np.inf, 0, 1
+        while done < len(order) and away[order[done]] <= reach:
+            others = np.concatenate([leaves[i] for i in order[done:done + step].tolist()])
+            d, off = squares(p.x[rows], p.x[others])
+            d += off
+            if not done:
+                np.fill_diagonal(d, np.inf)  # a point is no neighbour of itself; its copies are told apart later
+            both = np.concatenate([best, d], axis=1)
+            best = np.partition(both, k - 1, axis=1)[:, :k]
+            reach = np.sqrt(np.maximum(best[:, -1].max(), 0))
+            done, step = done + step, 8
+        out[rows] = np.sqrt(np.maximum(best[:, -1], 0)) * (1 + 1e-9)
+    return out
+
+
+def wanted_of(p: Points, x: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
+    """Places of the points of a block that are within the reach of any of the given foreign ones, or, where that is far, among its k nearest."""
+    leaves = p.leaves()
+    sides = [box_of(p.x[rows]) for rows in leaves]
+    los, his = np.array([s[0] for s in sides]), np.array([s[1] for s in sides])
+    hit = np.zeros(len(p.x), bool)
+    step = max(1, (1 << 21) // len(leaves))
+    for at in range(0, len(x), step):
+        q, r = x[at:at + step], reach[at:at + step].copy()
+        touched = outside(q, los, his) <= r[:, None]
+        wide = np.flatnonzero(touched.sum(axis=1) > TOUCHED)
+        for some in range(0, len(wide), 64) if len(p.x) > k else ():
+            w = wide[some:some + 64]
+            d, off = squares(q[w], p.x)
+            r[w] = np.minimum(r[w], np.sqrt(np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1] + off, 0)) * (1 + 1e-9))
+            touched[w] = outside(q[w], los, his) <= r[w, None]
+        for j, rows in enumerate(leaves):
+            ask, open_ = np.flatnonzero(touched[:, j]), rows[~hit[rows]]
+            for some in range(0, len(ask), 4096):
+                if not len(open_):
+                    break
+                d, off = squares(q[ask[some:some + 4096]], p.x[open_])
+                found = (d <= (r[ask[some:some + 4096]] ** 2)[:, None] + 2 * off).any(axis=0)
+                hit[open_[found]] = True
+                open_ = open_[~found]
+    return np.flatnonzero(hit)
+
+
+def lists_of(p: Points, reach: np.ndarray, halo: Points, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(count, place, distance, copies) of the k nearest rows of each point, nearest first, equal distances in order of the names.
+
+    Places from len(p.x) on are those of the ``halo``; ``reach`` is no less than the distance of the k-th."""
+    n, leaves = len(p.x), p.leaves()
+    x, w, uid = np.concatenate([p.x, halo.x]), np.concatenate([p.w, halo.w]), np.concatenate([p.uid, halo.uid])
+    rank = np.empty(len(x), np.int64)
+    rank[np.lexsort((uid[:, 1], uid[:, 0]))] = np.arange(len(x))
+    sides = [box_of(p.x[rows]) for rows in leaves]
+    los, his = np.array([s[0] for s in sides]), np.array([s[1] for s in sides])
+    each, counts = [], np.zeros(n, np.int64)
+    for at, rows in enumerate(leaves):
+        r = reach[rows]
+        if np.isnan(r).any():
+            r = np.where(np.isnan(r), -1.0, r)
+        widest = r.max()
+        lo, hi = sides[at]
+        near = np.concatenate([leaves[i] for i in np.flatnonzero(gaps(lo, hi, los, his) <= widest).tolist()] or [rows[:0]])
+        if len(halo.x):
+            beside = np.sqrt((np.maximum(np.maximum(lo - halo.x, halo.x - hi), 0) ** 2).sum(axis=1)) * (1 - 1e-9) <= widest
+            near = np.concatenate([near, n + np.flatnonzero(beside)])
+        for some in range(0, len(rows), step := max(1, (1 << 22) // max(1, len(near)))):
+            part = rows[some:some + step]
+            d, off = squares(p.x[part], x[near])
+            i, j = np.nonzero(d <= (r[some:some + step] ** 2 * (1 + 1e-9))[:, None] + 2 * off)
+            j = near[j]
+            dist = np.zeros(len(i))
+            for axis in range(x.shape[1]):
+                dist += (p.x[part[i], axis] - x[j, axis]) ** 2
+            dist = np.sqrt(dist)
+            order = np.lexsort((rank[j], dist, i))
+            i, j, dist = i[order], j[order], dist[order]
+            copies = w[j] - (j == part[i])
+            before = np.cumsum(copies) - copies
+            before -= before[np.searchsorted(i, i, "left")] if len(i) else 0
+            good = (before < k) & (copies > 0)
+            counts[part] = np.bincount(i[good], minlength=len(part))
+            each.append((j[good], dist[good], np.minimum(copies, k - before)[good]))
+    return counts, *[np.concatenate(c) for c in zip(*each)]
+
+
+def near_lists(points: DataFrame, dims: int, k: int, size: int = BLOCK) -> DataFrame:
+    """The k nearest other rows of every distinct point, copies counted, as one record for each block of points.
+
+    The answer is that of ``nearest``; (block, uid, w, count, place, dist, take, kdist, wants) hold it as bytes, as a row for each neighbour takes
+    ten times the room.  ``kdist`` is the distance of the last.  A neighbour's place is that of a point of the block or, after those, of the points of other blocks that the block
+    ``wants``: (their block, their places) one after another.
+
+    Blocks are leaves of a k-d tree.  A point asks those whose box its ball touches, where the ball holds k others of its own block.  What an
+    asked block sends back are the points that any of the asking ones may need, each once."""
+    spark = points.sparkSession
+    points = materialise(points.select("uid", "v", "w"))
+    cores = spark.sparkContext.defaultParallelism
+    n = points.count()
+    size = max(size, k + 1, min(BLOCK_POINTS, n // (4 * cores)))
+    placed = laid_out(points, dims, size, written=True)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("uid", kind="stable")
+        x = matrix(pdf)
+        leaf = leaf_of(x, split_tree(x, max(k + 1, LEAF_POINTS)))
+        order = np.argsort(leaf, kind="stable")
+        p = Points(x[order], pdf["w"].to_numpy(np.int64)[order], np.frombuffer(bytes.fromhex("".join(pdf["uid"])), ">u8").reshape(-1, 2)[order],
+                   np.cumsum(np.bincount(leaf)).astype(np.int64))
+        lo, hi = box_of(p.x)
+        return pd.DataFrame([{"block": int(pdf["block"].iloc[0]), **p.taken(np.arange(len(x))), "ends": p.ends.tobytes(), "reach": own_reach(p, k).tobytes(),
+                              "lo": lo, "hi": hi}])
+
+    packed = materialise(placed.groupBy("block").applyInPandas(
+        pack, "block long, x binary, w binary, uid binary, ends binary, reach binary, lo array<double>, hi array<double>"))
+    boxes_ = packed.select("block", "lo", "hi").toPandas()  # two vectors a block
+    held = spark.sparkContext.broadcast((boxes_["block"].to_numpy(np.int64), np.array(boxes_["lo"].tolist(), float).reshape(-1, dims), np.array(boxes_["hi"].tolist(), float).reshape(-1, dims)))
+
+    def ask(frames):
+        names, los, his = held.value
+        for row in (r for f in frames for r in f.to_dict("records")):
+            p, reach, found = Points.read(row, dims), np.frombuffer(row["reach"], float), {}
+            for rows in p.leaves():
+                maybe = np.flatnonzero((gaps(*box_of(p.x[rows]), los, his) <= np.nanmax(reach[rows], initial=-1.0)) & (names != row["block"]))
+                touched = outside(p.x[rows], los[maybe], his[maybe]) <= reach[rows, None]
+                for j in np.flatnonzero(touched.any(axis=0)).tolist():
+                    found.setdefault(int(names[maybe[j]]), []).append(rows[touched[:, j]])
+            out = []
+            for b, rows in found.items():
+                # half as long, and the reach longer by what that moves a point
+                rows = np.concatenate(rows)
+                short = p.x[rows].astype(np.float32)
+                longer = (reach[rows] + np.sqrt(((p.x[rows] - short) ** 2).sum(axis=1))) * (1 + 1e-6)
+                out.append({"block": b, "origin": row["block"], "x": np.ascontiguousarray(short.T).tobytes(), "reach": longer.astype(np.float32).tobytes()})
+            if out:
+                yield pd.DataFrame(out)
+
+    asked = packed.select("block", "x", "w", "uid", "ends", "reach").mapInPandas(ask, "block long, origin long, x binary, reach binary")
+
+    def answer(own: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(questions):
+            p = Points.read(own.iloc[0], dims)
+            for q in questions.to_dict("records"):
+                places = wanted_of(p, np.frombuffer(q["x"], np.float32).reshape(dims, -1).T.astype(float), np.frombuffer(q["reach"], np.float32).astype(float), k)
+                if len(places):
+                    out.append({"block": q["origin"], "origin": own.iloc[0]["block"], "places": places.astype(np.int32).tobytes(), **p.taken(places)})
+        return pd.DataFrame(out, columns=["block", "origin", "places", "x", "w", "uid"])
+
+    halo_type = "block long, origin long, places binary, x binary, w binary, uid binary"
+    halos = materialise(packed.select("block", "x", "w", "uid", "ends").groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(answer, halo_type))
+
+    def lists(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        p, sent = Points.read(own.iloc[0], dims), sent.sort_values("origin").to_dict("records")
+        parts = [Points.read(s, dims) for s in sent]
+        none = np.zeros(0)
+        halo = Points(*[np.concatenate([getattr(h, f) for h in [Points(p.x[:0], p.w[:0], p.uid[:0], none), *parts]]) for f in ("x", "w", "uid")], none)
+        counts, place, dist, take = lists_of(p, np.frombuffer(own.iloc[0]["reach"], float), halo, k)
+        # the foreign points that are among the nearest of some point, numbered anew
+        used = np.unique(place[place >= len(p.x)])
+        place = np.where(place < len(p.x), place, len(p.x) + np.searchsorted(used, place))
+        wants, first = [], len(p.x)
+        for s, h in zip(sent, parts):
+            mine = used[(used >= first) & (used < first + len(h.x))] - first
+            if len(mine):
+                wants.append({"origin": s["origin"], "places": np.frombuffer(s["places"], np.int32)[mine].tobytes()})
+            first += len(h.x)
+        return pd.DataFrame([{"block": own.iloc[0]["block"], "uid": own.iloc[0]["uid"], "w": own.iloc[0]["w"], "count": counts.astype(np.int32).tobytes(),
+                              "place": place.astype(np.int32).tobytes(), "dist": dist.tobytes(), "take": take.astype(np.int32).tobytes(),
+                              "kdist": np.where(counts > 0, np.append(dist, np.nan)[np.cumsum(counts) - 1], np.nan).tobytes(), "wants": wants}])
+
+    out = materialise(packed.select("block", "x", "w", "uid", "ends", "reach").groupBy("block").cogroup(halos.groupBy("block")).applyInPandas(
+        lists, "block long, uid binary, w binary, count binary, place binary, dist binary, take binary, kdist binary, wants array<struct<origin: bigint, places: binary>>"))
+    for table in (points, packed, halos):
+        dropped(table)
+    return out
+
+
+def with_values(lists: DataFrame, values: DataFrame, fn, schema: str) -> DataFrame:
+    """Run ``fn(record of a block, values of its points and of those it wants)`` for each block; ``values`` has (block, value, own) as bytes: a
+    number for each point, and what the block itself gets in their place."""
+    wants = lists.select(F.col("block").alias("asker"), F.inline("wants"))
+
+    def answer(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        known = np.frombuffer(own.iloc[0]["value"], float)
+        return pd.DataFrame({"block": asked["asker"], "origin": asked["origin"], "got": [known[np.frombuffer(p, np.int32)].tobytes() for p in asked["places"]]},
+                            columns=["block", "origin", "got"])
+
+    origin = values.select(F.col("block").alias("origin"), "value")
+    sent = origin.groupBy("origin").cogroup(wants.groupBy("origin")).applyInPandas(answer, "block long, origin long, got binary")
+    # a block's own values come first, those it wants in the order of its list
+    sent = sent.unionByName(values.select("block", F.lit(-1).cast("long").alias("origin"), F.col("own").alias("got")))
+
+    def run(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        return fn(own.iloc[0], np.concatenate([np.frombuffer(g, float) for g in got.sort_values("origin")["got"]]))
+
+    return lists.drop("wants").groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(run, schema)
+
+
 #: A node with over 1/HUBS of all edge ends is a hub; there are at most HUBS of them.
 HUBS = 1000
 
