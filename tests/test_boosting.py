@@ -196,3 +196,25 @@ def test_the_child_of_less_weight_is_counted():
         for c in range(3):
             leaf = b.leaves(codes, feature[m, c], code[m, c])
             assert np.array_equal(after[:, m, c], block.margins[:, m, c] + value[m, c][leaf])
+
+
+def test_blocks_are_kept_as_they_are(spark, monkeypatch):
+    """Blocks in memory are bytes already; written into a stream of Java objects once more, each pass over them costs more than its sums."""
+    seen, grown = [], b.grown
+
+    def watched(total, *rest):
+        out = grown(total, *rest)
+        seen.extend(rdd.getStorageLevel().deserialized() for rdd in spark.sparkContext._jsc.getPersistentRDDs().values())
+        return out
+
+    monkeypatch.setattr(b, "TASK_ROWS", 0)
+    monkeypatch.setattr(b, "grown", watched)
+    b.fit(table(spark), COLUMNS, [0, 1, 2], settings=b.Settings(rounds=2, depth=2), key="id")
+    assert seen and all(seen)
+
+
+def test_edges_of_several_sizes_at_once(spark):
+    df = table(spark)
+    both = b.edges_for(df, COLUMNS, [16, 5])
+    for found, bins in zip(both, (16, 5)):
+        assert all(np.array_equal(x, y) for x, y in zip(found, b.value_edges(df, COLUMNS, bins)))
