@@ -129,3 +129,38 @@ def test_site_months_are_read_once_for_their_score(spark):
                                    F.lit(3).alias("mes"), F.lit(2020).alias("anio"))
     rows = learning.labelled(lambda name: sites)
     assert rows.count() == 50 and seen.value == 50
+
+
+def test_counts_of_open_nodes_against_row_by_row():
+    """Rows that are out of the model, of the bag or of every open node do not count, whichever is found out first."""
+    rng = np.random.default_rng(7)
+    n, s = 3000, f.Settings(trees=1, depth=4, features=2, seed=3)
+    codes, fold = rng.integers(0, 6, (n, 4)).astype(np.uint8), rng.integers(0, 3, n).astype(np.int32)
+    y = ((codes[:, 0] > 2) + (codes[:, 1] > codes[:, 2])).astype(np.int16)
+    block = b.Block(codes, y, fold, rng.integers(0, 1 << 62, n).astype(np.uint64), np.zeros((n, 0, 3)))
+    tree, columns = f.seedling(5, 1, 4, 3, s), block.columns()
+    for level in range(s.depth):
+        found = f.histogram(block, tree, level, s, 6, 3, columns)
+        assert np.array_equal(found, f.histogram(block, tree, level, s, 6, 3))
+        times, node = f.bagged(block.keys, 5, s), b.leaves(codes, tree.feature, tree.code, level) - ((1 << level) - 1)
+        drawn, expected = f.drawn_features(5, level, 4, s), np.zeros_like(found)
+        for i in np.flatnonzero((fold != 1) & np.isin(node, tree.open)):
+            at = int(np.searchsorted(tree.open, node[i]))
+            for j, k in enumerate(drawn[node[i]]):
+                expected[at, j, codes[i, k], y[i]] += times[i]
+        assert np.array_equal(found, expected)
+        f.split(tree, found, level, np.ones(3), s)
+
+
+def test_probabilities_are_those_of_the_leaves():
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (500, 3))
+    edges = [np.sort(rng.normal(0, 1, 8)) for _ in range(3)]
+    feature, code = np.full((4, 15), -1, np.int16), np.zeros((4, 15), np.int16)
+    for t in range(4):
+        inner = [0, 1, 2, 5][:t + 1] if t else []
+        feature[t, inner], code[t, inner] = rng.integers(0, 3, len(inner)), rng.integers(0, 7, len(inner))
+    share = rng.random((4, 15, 2))
+    model = f.Forest(("a", "b", "c"), edges, (0, 1), feature, code, share, np.ones(3) / 3)
+    expected = np.mean([share[t][b.leaves(b.coded(x, edges), feature[t], code[t])] for t in range(4)], axis=0)
+    assert np.allclose(model.probabilities(x), expected)
