@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -47,6 +48,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 #: Texts of the sample that names common terms, how many of these there are at most, and their longest.
 SAMPLE_TEXTS, COMMON, LONGEST = 5000, 100_000, 64
+#: Rows of terms that are shuffled at a time, about, and in how many parts at most, as each reads all of the list again.
+PART_TERMS, MOST_PARTS = 1 << 22, 8
 
 
 def common_terms(texts: DataFrame) -> list[str]:
@@ -92,24 +95,34 @@ def counted_terms(texts: DataFrame, common: Sequence[str]) -> DataFrame:
     return words.mapInArrow(run, f"_k {key_type}, common array<struct<id: int, tf: bigint>>, rare array<struct<term: string, tf: bigint>>")
 
 
+def rare_parts(counts: DataFrame, parts: int) -> Iterator[DataFrame]:
+    """(_k, term, tf, df) in parts by hash of the term: what one part shuffles is gone before the next begins, which bounds the disk."""
+    for p in range(parts):
+        part = counts.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == p) if parts > 1 else counts
+        yield part.join(part.groupBy("term").agg(F.count("*").alias("df")), "term").select("_k", "term", "tf", "df")
+
+
 def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): logarithmic term counts, smoothed idf, unit length.
 
     Terms are counted inside each text's row and written once.  Terms that a sample shows to be common (at most COMMON) stay in
-    the row: their exact counts over all texts go to every task, so they are never shuffled.  All other terms meet their idf in a
-    join and go back to the length of their text in another.
+    the row: their exact counts over all texts go to every task, so they are never shuffled.  All other terms meet their count in a
+    join, some of them at a time, and go back to the length of their text in another.
     """
     texts = spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")))
     common = common_terms(texts)
-    listed = materialise(counted_terms(texts, common))
-    n = listed.agg(F.count("*")).scalar()
+    listed = materialise(counted_terms(texts, common), "zstd")
+    n, others = listed.agg(F.count("*"), F.sum(F.size("rare"))).first()
+    n = F.lit(n).cast("bigint")
     names = df.sparkSession.createDataFrame(pd.DataFrame({"id": range(len(common)), "term": common}), "id int, term string")
     per_id = listed.select(F.explode("common.id").alias("id")).groupBy("id").agg(F.count("*").alias("df"))
     # a term of the list is in some text, so it has a count
     idf = F.broadcast(materialise(names.join(per_id, "id").withColumn("idf", F.ln((1 + n) / (1 + F.col("df"))) + 1).drop("df")))
     weight = (tf_weight(F.col("tf")) * F.col("idf")).alias("weight")
-    counts = listed.select("_k", F.inline("rare"))
-    rare = materialise(counts.join(term_idf(counts, n).select("term", "idf"), "term").select("_k", "term", weight))
+    parts = min(MOST_PARTS, max(1, -(-(others or 0) // PART_TERMS)))
+    rare = [materialise(part, "zstd").select("_k", "term", (tf_weight(F.col("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1)).alias("weight"))
+            for part in rare_parts(listed.select("_k", F.inline("rare")), parts)]
+    rare = reduce(DataFrame.unionByName, rare)
     near = listed.select("_k", F.inline("common")).join(idf, "id").select("_k", weight)
     square = F.sum(F.col("weight") * F.col("weight")).alias("sq")
     lengths = materialise(near.groupBy("_k").agg(square).unionByName(rare.groupBy("_k").agg(square)).groupBy(F.col("_k").alias("_of")).agg(

@@ -128,3 +128,24 @@ def test_cosine_counts_only_terms_of_the_corpus(spark):
     # a corpus of the caller takes the way without it
     given = t.intent_by_cosine(df, "id", "text", t.default_corpus(spark))
     assert sorted(map(str, found.collect())) == sorted(map(str, given.collect())) and found.count() == 6
+
+
+def test_tfidf_in_parts_is_that_in_one(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 97}" for j in range(12)) if i % 9 else None) for i in range(120)]
+    df = spark.createDataFrame([*rows, (None, "w1 solo"), (5, "w2 otra vez")], "id int, text string")
+    monkeypatch.setattr(t, "COMMON", 20)
+    written, materialise = [], t.materialise
+
+    def watched(table, *more):
+        written.append(table.columns)
+        return materialise(table, *more)
+
+    monkeypatch.setattr(t, "materialise", watched)
+    found = []
+    for most in (1 << 22, 300):
+        monkeypatch.setattr(t, "PART_TERMS", most)
+        written.clear()
+        found.append({(r["id"], r["term"]): r["weight"] for r in t.tfidf(df, "id", "text").collect()})
+        parts = written.count(["_k", "term", "tf", "df"])
+        assert (parts == 1) if most > 300 else (1 < parts <= t.MOST_PARTS)
+    assert found[0].keys() == found[1].keys() and all(abs(w - found[1][k]) < 1e-12 for k, w in found[0].items())
