@@ -15,8 +15,86 @@ from pyspark.sql import functions as F
 from paramo.operators.boosting import Boosting, coded, filled
 from paramo.operators.forest import Forest
 
-#: Rows whose masks a task works out side by side, of the background and of the rows to explain.
-ROWS, EXPLAINED = 1 << 11, 1 << 13
+#: Rows that a task takes at a time, of these the rows that are looked up side by side, and those whose masks are worked out side by side.
+ROWS, EXPLAINED, TALLIED = 1 << 16, 1 << 13, 1 << 11
+#: Cells of a group of leaves at most, and rows from which groups are worth their tables.
+CELLS, MANY = 1 << 10, 1 << 14
+
+
+@dataclass
+class Group:
+    """Neighbouring leaves of a tree that are looked up as one.
+
+    Codes of a feature that the same conditions of these leaves let pass are one class, so a row's classes give its mask of every leaf.  ``at``
+    are the classes' shares of the number of a cell by feature and code, ``sizes`` how many classes there are, and ``passes`` by leaf
+    the features on the way, by their place in ``features``, and a bit for each class that passes."""
+
+    leaves: range
+    features: list[int]
+    at: np.ndarray
+    sizes: list[int]
+    passes: list[list[tuple[int, int]]]
+
+    @property
+    def cells(self) -> int:
+        return int(np.prod(self.sizes, dtype=np.int64))
+
+    def cell(self, columns: np.ndarray) -> np.ndarray:
+        """The cell of each row; ``columns`` are the codes by feature, as places."""
+        out = np.zeros(columns.shape[1], np.intp)
+        for f, at in zip(self.features, self.at):
+            out += at.take(columns[f])
+        return out
+
+    def masks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, the leaf's mask in each cell)."""
+        strides = np.cumprod([1, *self.sizes])[:-1].tolist()
+        every = np.arange(self.cells)
+        classes = [(every // stride % n).astype(np.uint64) for stride, n in zip(strides, self.sizes)]
+        for leaf, ways in zip(self.leaves, self.passes):
+            mask = np.zeros(len(every), np.uint64)
+            for i, (f, bits) in enumerate(ways):
+                mask |= (np.uint64(bits) >> classes[f] & np.uint64(1)) << np.uint64(i)
+            yield leaf, mask.astype(np.intp)
+
+
+def grouped(ways: list[dict[int, np.ndarray]]) -> list[Group]:
+    """Leaves, from the left, in groups of at most CELLS cells each (one leaf may have more)."""
+    out: list[Group] = []
+    first, signs, known = 0, {}, {}
+
+    def close(end: int) -> None:
+        at, sizes, passing, features = [], [], {}, sorted(signs)
+        for f in features:
+            found, number = np.unique(signs[f], return_inverse=True)
+            at.append(number * int(np.prod(sizes, dtype=np.int64)))
+            sizes.append(len(found))
+            passing[f] = found.tolist()
+
+        def bits(f: int, passes: np.ndarray) -> int:
+            at_ = known[f, passes.tobytes()]
+            return sum((sign >> at_ & 1) << i for i, sign in enumerate(passing[f]))
+
+        out.append(Group(range(first, end), features, np.array(at, np.intp) if at else np.zeros((0, 1), np.intp), sizes,
+                         [[(features.index(f), bits(f, ways[k][f])) for f in sorted(ways[k])] for k in range(first, end)]))
+
+    for k, way in enumerate(ways):
+        while True:
+            more, names, bits = dict(signs), dict(known), {f: sum(1 for g, _ in known if g == f) for f in way}
+            for f, passes in way.items():
+                if (f, passes.tobytes()) not in names:
+                    names[f, passes.tobytes()] = bits[f]
+                    more[f] = more.get(f, np.zeros(len(passes), np.int64)) | passes.astype(np.int64) << bits[f]
+            cells = 1
+            for sign in more.values():
+                cells *= len(set(sign.tolist()))
+            if k == first or cells <= CELLS and max(bits.values(), default=0) < 60:
+                signs, known = more, names
+                break
+            close(k)
+            first, signs, known = k, {}, {}
+    close(len(ways))
+    return out
 
 
 @dataclass
@@ -32,6 +110,7 @@ class Paths:
     users: dict[int, np.ndarray]  # leaves with a condition on a feature
     value: np.ndarray
     start: np.ndarray
+    groups: list[Group]
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
         """(rows, leaves): each row's mask of each leaf."""
@@ -43,15 +122,26 @@ class Paths:
     def add(self, out: np.ndarray, given: np.ndarray, codes: np.ndarray) -> None:
         """Adds to ``out`` (features, rows) what the leaves give each row, by ``table``.
 
-        A leaf's part of the table is short, so it is looked up for all rows before the next leaf's."""
-        by_leaf = np.ascontiguousarray(self.masks(codes).T)
-        found = np.empty(len(codes))
-        for k, features in enumerate(self.features):
-            if len(features):
-                first = int(self.start[k] - self.start[0])
-                mask = by_leaf[k].astype(np.intp)
+        A leaf's part of the table is short, so it is looked up for all rows before the next leaf's.  Of many rows, what the leaves of a group
+        give is added up by cell first and looked up once, a stretch of rows at a time."""
+        if len(codes) < MANY:
+            by_leaf, found = np.ascontiguousarray(self.masks(codes).T), np.empty(len(codes))
+            for k, features in enumerate(self.features):
+                first, mask = int(self.start[k] - self.start[0]), by_leaf[k].astype(np.intp)
                 for f in features.tolist():
                     out[f] += given[f, first:first + (1 << len(features))].take(mask, out=found, mode="clip")
+            return
+        columns, found = np.ascontiguousarray(codes.T).astype(np.intp), np.empty(min(EXPLAINED, len(codes)))
+        for group in self.groups:
+            sums: dict[int, np.ndarray] = {}
+            for leaf, mask in group.masks():
+                mask += int(self.start[leaf] - self.start[0])
+                for f in self.features[leaf].tolist():
+                    sums[f] = sums[f] + given[f].take(mask) if f in sums else given[f].take(mask)
+            for at in range(0, len(codes) if sums else 0, EXPLAINED):
+                cell = group.cell(columns[:, at:at + EXPLAINED])
+                for f, each in sums.items():
+                    out[f, at:at + EXPLAINED] += each.take(cell, out=found[:len(cell)], mode="clip")
 
 
 def _leaves(feature: np.ndarray, code: np.ndarray, n_features: int, bins: int) -> Iterator[tuple[int, dict[int, np.ndarray]]]:
@@ -89,7 +179,7 @@ def paths(model: Forest | Boosting, output: int) -> tuple[list[Paths], int]:
             start.append(first)
             first += 1 << len(way)
         users = {f: np.array([k for k, (_, way) in enumerate(found) if f in way], np.int64) for f in range(n)}
-        out.append(Paths(bits, names, {f: k for f, k in users.items() if len(k)}, value[[node for node, _ in found]], np.array(start, np.int64)))
+        out.append(Paths(bits, names, {f: k for f, k in users.items() if len(k)}, value[[node for node, _ in found]], np.array(start, np.int64), grouped([way for _, way in found])))
     return out, first
 
 
@@ -138,13 +228,40 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def tallied(total: np.ndarray, trees: list[Paths], codes: np.ndarray, weights: np.ndarray) -> None:
-    """Adds the weights of rows to ``total`` by mask of each leaf."""
+    """Adds the weights of rows to ``total`` by mask of each leaf; many rows are counted by cell of a group of leaves, and cells by mask."""
     even = bool((weights == 1).all())
+    if len(codes) < MANY:
+        for at in range(0, len(codes), TALLIED):
+            part, own = codes[at:at + TALLIED], weights[at:at + TALLIED]
+            for tree in trees:
+                first = int(tree.start[0])
+                there = np.add(tree.masks(part), tree.start - first, dtype=np.int64).ravel()
+                found = np.bincount(there) if even else np.bincount(there, weights=np.repeat(own, len(tree.value)))
+                total[first:first + len(found)] += found
+        return
+    columns = np.ascontiguousarray(codes.T).astype(np.intp)
     for tree in trees:
-        first = int(tree.start[0])
-        there = np.add(tree.masks(codes), tree.start - first, dtype=np.int64).ravel()
-        found = np.bincount(there) if even else np.bincount(there, weights=np.repeat(weights, len(tree.value)))
-        total[first:first + len(found)] += found
+        for group in tree.groups:
+            held = np.zeros(group.cells)
+            for at in range(0, len(codes), EXPLAINED):
+                cell = group.cell(columns[:, at:at + EXPLAINED])
+                held += np.bincount(cell, None if even else weights[at:at + EXPLAINED], len(held))
+            for leaf, mask in group.masks():
+                found = np.bincount(mask, held)
+                total[tree.start[leaf]:tree.start[leaf] + len(found)] += found
+
+
+def gathered_batches(batches, rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``rows`` rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def background_masks(background: DataFrame, model: Forest | Boosting, trees: list[Paths], masks: int) -> np.ndarray:
@@ -157,12 +274,10 @@ def background_masks(background: DataFrame, model: Forest | Boosting, trees: lis
     def run(batches):
         paths_, edges = held.value
         total, seen = np.zeros(masks), False
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                tallied(total, paths_, coded(x, edges), part.column("w").to_numpy(zero_copy_only=False))
-                seen = True
+        for batch in gathered_batches(batches, ROWS):
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            tallied(total, paths_, coded(x, edges), batch.column("w").to_numpy(zero_copy_only=False))
+            seen = True
         if seen:
             some = np.nonzero(total)[0]
             for at in range(0, len(some), 1 << 16):
@@ -199,13 +314,12 @@ def tree_shapley(rows: DataFrame, background: DataFrame, key: str, model: Forest
 
     def run(batches):
         paths_, edges, share_ = held.value
-        for batch in batches:
+        for batch in gathered_batches(batches, ROWS):
             x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             codes, out = coded(x, edges), np.zeros((n, batch.num_rows))
             for tree in paths_:
                 given, _ = table(tree, share_, n)
-                for at in range(0, len(codes), EXPLAINED):
-                    tree.add(out[:, at:at + EXPLAINED], given, codes[at:at + EXPLAINED])
+                tree.add(out, given, codes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, n, dtype=np.int32)), pa.array(out.T.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("_k"), lists], names=["_k", "_c"])
 

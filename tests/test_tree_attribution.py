@@ -106,3 +106,25 @@ def test_rows_are_looked_up_leaf_by_leaf_and_weights_of_one_are_counts():
     ta.tallied(other, trees, codes[:100], np.full(100, -1.0))
     ta.tallied(other, trees, codes[100:], np.full(200, 0.5))
     assert (one == np.bincount(there.ravel(), minlength=masks)).all() and np.allclose(one, other)
+
+
+def test_leaves_are_looked_up_in_groups(monkeypatch):
+    rng = np.random.default_rng(9)
+    feature, code = np.full((1, 1, 63), -1, np.int16), np.zeros((1, 1, 63), np.int16)
+    for node in [0, 1, 2, 3, 5, 6, 8, 12, 13, 14, 17]:
+        feature[0, 0, node], code[0, 0, node] = rng.integers(0, 4), rng.integers(0, 7)
+    model = boosting.Boosting(("a", "b", "c", "d"), [np.arange(8.0)] * 4, (0,), feature, code, rng.normal(size=(1, 1, 63)))
+    codes = rng.integers(0, 8, (20000, 4)).astype(np.uint8)
+    for most, least, many in ((1 << 10, 1, 1), (12, 3, 1), (12, 3, 1 << 20)):
+        monkeypatch.setattr(ta, "CELLS", most)
+        monkeypatch.setattr(ta, "MANY", many)
+        trees, masks = ta.paths(model, 0)
+        tree, = trees
+        assert least <= len(tree.groups) < len(tree.value) and [k for g in tree.groups for k in g.leaves] == list(range(len(tree.value)))
+        total, each = np.zeros(masks), tree.masks(codes).astype(np.int64)
+        ta.tallied(total, trees, codes, np.ones(len(codes)))
+        assert np.array_equal(total, np.bincount((each + tree.start).ravel(), minlength=masks))
+        given, _ = ta.table(tree, total / len(codes), 4)
+        out = np.zeros((4, len(codes)))
+        tree.add(out, given, codes)
+        assert np.allclose(out, given[:, each + tree.start].sum(axis=2), atol=1e-12)
